@@ -113,6 +113,12 @@ def local_wall_clock(ts: Column, tz: str) -> Column:
     return F.convert_timezone(None, F.lit(tz), ts)
 
 
+def local_midnight(d: Column, tz: str) -> Column:
+    """The instant at which local day ``d`` starts in zone ``tz``."""
+    z = F.lit(0)
+    return F.make_timestamp(F.year(d), F.month(d), F.dayofmonth(d), z, z, z, F.lit(tz))
+
+
 def local_date(ts: Column, tz: str) -> Column:
     return F.to_date(local_wall_clock(ts, tz))
 
@@ -176,19 +182,23 @@ def rounded_minutes_nonneg(start: Column, end: Column) -> Column:
     return F.when(m >= 0, m)
 
 
-def round_mean_minutes(sum_us: Column, weight: Column) -> Column:
-    """Exact ``round(sum_us / weight / 60e6)`` half away from zero, as BIGINT.
+def round_ratio(num: Column, den: Column) -> Column:
+    """Exact ``round(num / den)`` half away from zero as BIGINT, for integer
+    (or integral decimal) ``num`` and positive integer ``den``; NULL when
+    ``den`` is 0 or NULL. PostgreSQL ``ROUND(AVG(int))`` semantics, computed
+    without an intermediate rounded quotient."""
+    d2 = den.cast("decimal(38,0)") * F.lit(2).cast("decimal(38,0)")
+    n2 = (F.abs(num).cast("decimal(38,0)") * F.lit(2).cast("decimal(38,0)")
+          + den.cast("decimal(38,0)")).cast("decimal(38,0)")
+    # floor(n2 / d2): subtract the remainder first so the division is exact.
+    q = ((n2 - n2 % d2) / d2).cast("bigint")
+    return F.when(den > 0, q * F.signum(num).cast("bigint"))
 
-    ``sum_us`` is an exact decimal sum of microsecond differences and
-    ``weight`` an integer count; NULL when the weight is 0 or NULL.
-    """
-    den = (weight.cast("decimal(38,0)") * F.lit(2 * _US_PER_MINUTE).cast("decimal(38,0)"))
-    num = F.abs(sum_us).cast("decimal(38,0)") * F.lit(2).cast("decimal(38,0)") + den / F.lit(2)
-    num = num.cast("decimal(38,0)")
-    # floor(num / den) without rounding the quotient: subtract the remainder
-    # first so the decimal division is exact.
-    q = ((num - num % den) / den).cast("bigint")
-    return F.when(weight > 0, q * F.signum(sum_us).cast("bigint"))
+
+def round_mean_minutes(sum_us: Column, weight: Column) -> Column:
+    """Exact ``round(sum_us / weight / 60e6)`` half away from zero, as BIGINT:
+    the rounded mean, in minutes, of microsecond differences."""
+    return round_ratio(sum_us, weight.cast("decimal(38,0)") * F.lit(_US_PER_MINUTE).cast("decimal(38,0)"))
 
 
 def fmt_minutes(m: Column) -> Column:
