@@ -55,6 +55,13 @@ def _case(key: Column, mapping, default=None) -> Column:
     return out.otherwise(F.lit(default)) if default is not None else out
 
 
+def _literal_table(spark: SparkSession, rows, names: tuple[str, str], types: tuple[str, str]) -> DataFrame:
+    """A small literal table evaluated in the JVM (no Python-side RDD)."""
+    structs = [F.struct(F.lit(a).cast(types[0]).alias(names[0]), F.lit(b).cast(types[1]).alias(names[1]))
+               for a, b in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def read_source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in SOURCE_TABLES}
 
@@ -117,9 +124,9 @@ def star_from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
 
     frames = {
         "vouchers": vouchers,
-        "voucher_types": spark.createDataFrame(VOUCHER_TYPE_ROWS, "id int, code string"),
+        "voucher_types": _literal_table(spark, VOUCHER_TYPE_ROWS, ("id", "code"), ("int", "string")),
         "parties": parties,
-        "party_groups": spark.createDataFrame(PARTY_GROUP_ROWS, "id int, name string"),
+        "party_groups": _literal_table(spark, PARTY_GROUP_ROWS, ("id", "name"), ("int", "string")),
         "sites": src["region"].select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
         "items": src["part"].select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")),
         "voucher_items": li.select(
