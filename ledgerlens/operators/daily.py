@@ -99,9 +99,10 @@ def site_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     total = X.money_or_zero(F.col("_total"))
     hero_rev = F.coalesce(F.col("_hero"), F.lit(0.0))
     pct = F.when(hero_rev > 0, X.js_round(total / hero_rev * F.lit(1000.0)) / F.lit(10.0)).otherwise(F.lit(0.0))
-    return sites.select("report_date", "site_id", "site_name", total.alias("total_revenue"),
-                        F.col("invoice_count").cast("bigint").alias("invoice_count"), "breakdown",
-                        pct.cast("double").alias("revenue_pct"))
+    return sites.orderBy("report_date", "site_id").select(
+        "report_date", "site_id", "site_name", total.alias("total_revenue"),
+        F.col("invoice_count").cast("bigint").alias("invoice_count"), "breakdown",
+        pct.cast("double").alias("revenue_pct"))
 
 
 def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
