@@ -36,12 +36,13 @@ def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recen
     undated). Sorted by usual hour, then days until the order, NULLS LAST.
 
     Plan: instead of one window over a customer's whole history (a hot
-    customer would be one task), orders are first reduced to one row per
-    (customer, day) — first order's branch, last order — with map-side
-    combine; the ``lag`` window then runs over at most one row per calendar
-    day per customer. A day's first order carries the gap to the previous
-    order day, its other orders a gap of 0, so per-branch gap sums and
-    counts follow from two aggregates keyed by (customer, branch).
+    customer would be one task), the orders are reduced in one map-side
+    combined pass to (customer, day, branch) partials, and from those to
+    one row per (customer, day) — first order's branch, last order. The
+    ``lag`` window then runs over at most one row per calendar day per
+    customer. A day's first order carries the gap to the previous order
+    day, its other orders a gap of 0, so per-branch gap sums and counts
+    follow from two aggregates keyed by (customer, branch).
 
     Columns: party_id, customer_name, branch, sales_rep, phone,
     last_purchase_date, last_order_amount, total_orders, avg_cycle_days,
@@ -54,20 +55,28 @@ def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recen
               .select("party_id", "branch", "transaction_date", "id", "total_amount",
                       X.local_hour(F.col("created_at"), p.tz).alias("_hour")))
 
+    # One pass over the orders: (customer, day, branch) partials. The
+    # per-day and per-branch views below are both derived from this much
+    # smaller aggregate.
+    cells = orders.groupBy("party_id", "transaction_date", "branch").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_hour").alias("_hour_sum"), F.count("_hour").alias("_hour_n"),
+        F.min("id").alias("_min_id"), F.max("id").alias("_max_id"),
+        F.max_by("total_amount", "id").alias("_amount_of_max_id"))
     # One row per (customer, day): the day's first order's branch and its
     # last order, in (date, id) order.
-    days = orders.groupBy("party_id", "transaction_date").agg(
-        F.min_by("branch", "id").alias("_first_branch"),
-        F.max_by(F.struct("branch", "total_amount"), "id").alias("_last"))
+    days = cells.groupBy("party_id", "transaction_date").agg(
+        F.min_by("branch", "_min_id").alias("_first_branch"),
+        F.max_by(F.struct(F.col("branch"), F.col("_amount_of_max_id").alias("total_amount")), "_max_id")
+        .alias("_last"))
     w = Window.partitionBy("party_id").orderBy(d.asc_nulls_last())
     days = days.withColumn("_gap", X.days_between(d, F.lag(d).over(w)))
 
     gaps = (days.filter(F.col("_gap").isNotNull())
             .groupBy("party_id", F.col("_first_branch").alias("branch"))
             .agg(F.sum("_gap").alias("_gap_sum")))
-    per_branch = orders.groupBy("party_id", "branch").agg(
-        F.count(F.lit(1)).alias("total_orders"), F.sum("_hour").alias("_hour_sum"),
-        F.count("_hour").alias("_hour_n"))
+    per_branch = cells.groupBy("party_id", "branch").agg(
+        F.sum("_n").alias("total_orders"), F.sum("_hour_sum").alias("_hour_sum"),
+        F.sum("_hour_n").alias("_hour_n"))
     latest = (days.groupBy("party_id").agg(
                   F.max(d).alias("last_purchase_date"),
                   F.count(F.when(d.isNull(), 1)).alias("_undated"),

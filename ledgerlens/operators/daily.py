@@ -59,12 +59,17 @@ def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAUL
 
 
 def _site_group_agg(t: Tables, p: ReportParams, from_date, to_date) -> DataFrame:
-    v = (_invoices(t, p, from_date, to_date)
-         .join(B.customers(t, "party_group_id"), "party_id")
+    # (day, site, customer) partial sums first: the customer lookup then
+    # joins one row per customer and day, and a dominant customer is
+    # combined map-side instead of skewing the join.
+    per_party = (_invoices(t, p, from_date, to_date)
+                 .groupBy("report_date", "site_id", "party_id")
+                 .agg(F.sum("total_amount").alias("_rev"), F.count(F.lit(1)).alias("_n")))
+    v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
          .join(B.group_names(t), "party_group_id", "left")
          .join(B.site_names(t), "site_id"))
     return v.groupBy("report_date", "site_id", "site_name", "group_name").agg(
-        F.sum("total_amount").alias("_rev"), F.count(F.lit(1)).alias("invoice_count"))
+        F.sum("_rev").alias("_rev"), F.sum("_n").cast("bigint").alias("invoice_count"))
 
 
 def site_group_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
@@ -110,15 +115,17 @@ def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams =
     customers outside the salesman-excluded groups (NULL group kept); no
     representative shows as ``Unassigned`` (after grouping).
 
-    Plan: invoices are aggregated per (day, site, representative id) before
-    the representative names are looked up, so the name join sees one row
-    per representative and day instead of one per invoice.
+    Plan: invoices are summed per (day, site, customer) before the customer
+    join, and per (day, site, representative id) before the representative
+    names are looked up, so neither join sees one row per invoice.
     Columns: report_date, site_id, site_name, salesperson, revenue."""
     cust = (B.customers(t, "party_group_id", "responsible_party_id")
             .filter(~F.coalesce(F.col("party_group_id"), F.lit(0)).isin(*p.salesman_excluded_group_ids)))
-    per_rep = (_invoices(t, p, from_date, to_date).join(cust, "party_id")
+    per_party = (_invoices(t, p, from_date, to_date).groupBy("report_date", "site_id", "party_id")
+                 .agg(F.sum("total_amount").alias("_rev")))
+    per_rep = (per_party.join(cust, "party_id")
                .groupBy("report_date", "site_id", "responsible_party_id")
-               .agg(F.sum("total_amount").alias("_rev")))
+               .agg(F.sum("_rev").alias("_rev")))
     agg = (per_rep.join(B.rep_names(t, "_rep"), "responsible_party_id", "left")
            .join(B.site_names(t), "site_id")
            .groupBy("report_date", "site_id", "site_name", "_rep").agg(F.sum("_rev").alias("_rev")))

@@ -75,7 +75,10 @@ def delivery_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = D
     them have a delivered status. A semi-join replaces the distinct count
     over the challan fan-out. Columns: report_date, delivered, delivery_total."""
     v = _day_vouchers(t, p, from_date, to_date)
-    with_challan = v.join(B.challans_of(t).select(F.col("voucher_id").alias("id")), "id", "left_semi")
+    # Distinct invoice ids of challans (combined map-side) before the
+    # semi-join, so an invoice with very many challans is one row.
+    invoiced = B.challans_of(t).select(F.col("voucher_id").alias("id")).distinct()
+    with_challan = v.join(invoiced, "id", "left_semi")
     return with_challan.groupBy(F.col("transaction_date").alias("report_date")).agg(
         F.count(F.when(X.status_in(F.col("delivery_status"), X.DELIVERED_STATUSES), 1)).alias("delivered"),
         F.count(F.lit(1)).alias("delivery_total"))

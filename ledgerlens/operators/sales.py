@@ -89,11 +89,15 @@ def sales_by_group(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFr
     is really named ``Other`` stays a separate row.
     Columns: period, site_id, group_name, invoice_count, total_amount.
     """
-    v = _two_day_invoices(t, as_of, p)
-    v = (v.join(B.customers(t, "party_group_id"), "party_id")
+    # Pre-aggregate per customer so the customer join sees one row per
+    # (day, site, customer); a customer with a huge share of invoices is
+    # collapsed map-side before any shuffle.
+    per_party = _two_day_invoices(t, as_of, p).groupBy("transaction_date", "site_id", "party_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("total_amount").alias("_amt"))
+    v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
          .join(B.group_names(t), "party_group_id", "left"))
     agg = v.groupBy("transaction_date", "site_id", "group_name").agg(
-        F.count(F.lit(1)).alias("invoice_count"), F.sum("total_amount").alias("_amt"))
+        F.sum("_n").cast("bigint").alias("invoice_count"), F.sum("_amt").alias("_amt"))
     return (agg.orderBy(F.col("transaction_date").desc_nulls_first(), F.col("_amt").desc_nulls_first())
             .select(_period(("today", "yesterday"), as_of).alias("period"), "site_id",
                     F.coalesce(F.col("group_name"), F.lit("Other")).alias("group_name"),
@@ -118,9 +122,16 @@ def sales_trend(t: Tables, from_date, to_date, granularity: str = "daily",
     unit = GRANULARITY_UNITS[granularity]
     d = F.col("transaction_date")
     v = B.sales_invoices(t, p, extra=d.between(X.as_date(from_date), X.as_date(to_date)))
+    bucket = X.trunc_date(unit, d).alias("date")
     if exclude_corporate:
-        v = (v.join(B.customers(t, "party_group_id"), "party_id")
+        # Sum per (bucket, site, customer) first, then drop corporate
+        # customers on that aggregate: the customer join sees one row per
+        # customer and bucket instead of one per invoice.
+        per_party = v.groupBy(bucket, "site_id", "party_id").agg(F.sum("total_amount").alias("total_amount"))
+        v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
              .join(B.group_names(t), "party_group_id", "left")
              .filter(F.col("group_name").isNull() | ~F.col("group_name").ilike(p.corporate_like)))
-    agg = v.groupBy(X.trunc_date(unit, d).alias("date")).agg(*_pivot_sums(p))
+        agg = v.groupBy("date").agg(*_pivot_sums(p))
+    else:
+        agg = v.groupBy(bucket).agg(*_pivot_sums(p))
     return agg.select("date", *_pivot_output(p)).orderBy(F.col("date").asc_nulls_last())
