@@ -43,40 +43,60 @@ def _desc(c: Column) -> Column:
     return -c
 
 
-def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def day_cells(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+    """Invoice and receipt totals per (report_date, site_id, party_id,
+    type_code): ``_amt`` (exact decimal sum) and ``_n`` (count).
+
+    The revenue / collection sections (R12, R14, R15, R16) are all sums over
+    these cells, so the composite report reads the voucher fact once: the
+    sections share this subplan and Spark reuses its exchange.
+    """
+    v = _invoices(t, p, from_date, to_date, (p.invoice_code, p.receipt_code))
+    return v.groupBy("report_date", "site_id", "party_id", "type_code").agg(
+        F.sum("total_amount").alias("_amt"), F.count(F.lit(1)).alias("_n"))
+
+
+def _cells_of(t, from_date, to_date, p, cells, code):
+    cells = cells if cells is not None else day_cells(t, from_date, to_date, p)
+    return cells.filter(F.col("type_code") == code)
+
+
+def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+               cells: DataFrame | None = None) -> DataFrame:
     """Per day, invoice revenue and count, receipt collections and count
     (one conditional aggregate over both voucher types).
     Columns: report_date, revenue, invoice_count, collections, receipt_count."""
-    v = _invoices(t, p, from_date, to_date, (p.invoice_code, p.receipt_code))
+    cells = cells if cells is not None else day_cells(t, from_date, to_date, p)
     inv, rct = F.col("type_code") == p.invoice_code, F.col("type_code") == p.receipt_code
-    agg = v.groupBy("report_date").agg(
-        F.sum(F.when(inv, F.col("total_amount"))).alias("_rev"),
-        F.count(F.when(inv, 1)).alias("invoice_count"),
-        F.sum(F.when(rct, F.col("total_amount"))).alias("_coll"),
-        F.count(F.when(rct, 1)).alias("receipt_count"))
-    return agg.select("report_date", X.money_or_zero(F.col("_rev")).alias("revenue"), "invoice_count",
-                      X.money_or_zero(F.col("_coll")).alias("collections"), "receipt_count")
-
-
-def _site_group_agg(t: Tables, p: ReportParams, from_date, to_date) -> DataFrame:
-    # (day, site, customer) partial sums first: the customer lookup then
-    # joins one row per customer and day, and a dominant customer is
-    # combined map-side instead of skewing the join.
-    per_party = (_invoices(t, p, from_date, to_date)
-                 .groupBy("report_date", "site_id", "party_id")
-                 .agg(F.sum("total_amount").alias("_rev"), F.count(F.lit(1)).alias("_n")))
+    agg = cells.groupBy("report_date").agg(
+        F.sum(F.when(inv, F.col("_amt"))).alias("_rev"),
+        F.sum(F.when(inv, F.col("_n"))).alias("_inv_n"),
+        F.sum(F.when(rct, F.col("_amt"))).alias("_coll"),
+        F.sum(F.when(rct, F.col("_n"))).alias("_rct_n"))
+    return agg.select("report_date", X.money_or_zero(F.col("_rev")).alias("revenue"),
+                      X.count_or_zero(F.col("_inv_n")).alias("invoice_count"),
+                      X.money_or_zero(F.col("_coll")).alias("collections"),
+                      X.count_or_zero(F.col("_rct_n")).alias("receipt_count"))
+
+
+def _site_group_agg(t: Tables, p: ReportParams, from_date, to_date, cells: DataFrame | None = None) -> DataFrame:
+    # Per (day, site, customer) invoice cells: the customer lookup joins one
+    # row per customer and day, and a dominant customer is combined
+    # map-side instead of skewing the join.
+    per_party = _cells_of(t, from_date, to_date, p, cells, p.invoice_code)
     v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
          .join(B.group_names(t), "party_group_id", "left")
          .join(B.site_names(t), "site_id"))
     return v.groupBy("report_date", "site_id", "site_name", "group_name").agg(
-        F.sum("_rev").alias("_rev"), F.sum("_n").cast("bigint").alias("invoice_count"))
+        F.sum("_amt").alias("_rev"), F.sum("_n").cast("bigint").alias("invoice_count"))
 
 
-def site_group_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def site_group_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                       cells: DataFrame | None = None) -> DataFrame:
     """R14 rows: per day, site and customer group, invoice revenue and count
     (NULL group shown as ``Other`` after grouping).
     Columns: report_date, site_id, site_name, party_group, revenue, invoice_count."""
-    agg = _site_group_agg(t, p, from_date, to_date)
+    agg = _site_group_agg(t, p, from_date, to_date, cells)
     return (agg.orderBy("report_date", "site_id", F.col("_rev").desc_nulls_first())
             .select("report_date", "site_id", "site_name",
                     F.coalesce(F.col("group_name"), F.lit("Other")).alias("party_group"),
@@ -84,14 +104,15 @@ def site_group_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams
 
 
 def site_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                 hero: DataFrame | None = None) -> DataFrame:
+                 hero: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """R14 site rollup: per day and site, total revenue and invoice count,
     the group breakdown (revenue descending) and the share of the day's
     hero revenue in percent with one decimal (0 when that revenue is not
     positive; shares need not add up to 100).
     Columns: report_date, site_id, site_name, total_revenue, invoice_count,
     breakdown, revenue_pct."""
-    agg = _site_group_agg(t, p, from_date, to_date)
+    cells = cells if cells is not None else day_cells(t, from_date, to_date, p)
+    agg = _site_group_agg(t, p, from_date, to_date, cells)
     entry = F.struct(F.coalesce(F.col("group_name"), F.lit("Other")).alias("party_group"),
                      X.money_or_zero(F.col("_rev")).alias("revenue"), F.col("invoice_count"))
     sites = agg.groupBy("report_date", "site_id").agg(
@@ -99,7 +120,7 @@ def site_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
         F.sum("_rev").alias("_total"),
         F.sum("invoice_count").alias("invoice_count"),
         _sorted_entries(entry, _desc(F.col("_rev")), F.col("group_name")).alias("breakdown"))
-    hero = hero if hero is not None else daily_hero(t, from_date, to_date, p)
+    hero = hero if hero is not None else daily_hero(t, from_date, to_date, p, cells)
     sites = sites.join(hero.select("report_date", F.col("revenue").alias("_hero")), "report_date", "left")
     total = X.money_or_zero(F.col("_total"))
     hero_rev = F.coalesce(F.col("_hero"), F.lit(0.0))
@@ -110,7 +131,8 @@ def site_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
         pct.cast("double").alias("revenue_pct"))
 
 
-def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                     cells: DataFrame | None = None) -> DataFrame:
     """R15 rows: per day, site and sales representative, invoice revenue of
     customers outside the salesman-excluded groups (NULL group kept); no
     representative shows as ``Unassigned`` (after grouping).
@@ -121,8 +143,8 @@ def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams =
     Columns: report_date, site_id, site_name, salesperson, revenue."""
     cust = (B.customers(t, "party_group_id", "responsible_party_id")
             .filter(~F.coalesce(F.col("party_group_id"), F.lit(0)).isin(*p.salesman_excluded_group_ids)))
-    per_party = (_invoices(t, p, from_date, to_date).groupBy("report_date", "site_id", "party_id")
-                 .agg(F.sum("total_amount").alias("_rev")))
+    per_party = _cells_of(t, from_date, to_date, p, cells, p.invoice_code).select(
+        "report_date", "site_id", "party_id", F.col("_amt").alias("_rev"))
     per_rep = (per_party.join(cust, "party_id")
                .groupBy("report_date", "site_id", "responsible_party_id")
                .agg(F.sum("_rev").alias("_rev")))
@@ -135,12 +157,13 @@ def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams =
                     X.money_or_zero(F.col("_rev")).alias("revenue")))
 
 
-def collections_by_site(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def collections_by_site(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                        cells: DataFrame | None = None) -> DataFrame:
     """Per day and site, receipt total and count.
     Columns: report_date, site_id, site_name, collections, receipt_count."""
-    v = _invoices(t, p, from_date, to_date, (p.receipt_code,)).join(B.site_names(t), "site_id")
+    v = _cells_of(t, from_date, to_date, p, cells, p.receipt_code).join(B.site_names(t), "site_id")
     agg = v.groupBy("report_date", "site_id", "site_name").agg(
-        F.sum("total_amount").alias("_coll"), F.count(F.lit(1)).alias("receipt_count"))
+        F.sum("_amt").alias("_coll"), F.sum("_n").cast("bigint").alias("receipt_count"))
     return (agg.orderBy("report_date", F.col("_coll").desc_nulls_first())
             .select("report_date", "site_id", "site_name", X.money_or_zero(F.col("_coll")).alias("collections"),
                     "receipt_count"))
@@ -186,16 +209,17 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     ``outstanding`` does not depend on the day: it is computed once as a
     scalar subquery over a one-row aggregate.
     """
-    hero = daily_hero(t, from_date, to_date, p)
+    cells = day_cells(t, from_date, to_date, p)
+    hero = daily_hero(t, from_date, to_date, p, cells)
     scope = B.voucher_scope(t, p, not_cancelled=False)
     cal = B.calendar(scope, from_date, to_date)
 
-    sites = (site_revenue(t, from_date, to_date, p, hero=hero)
+    sites = (site_revenue(t, from_date, to_date, p, hero=hero, cells=cells)
              .groupBy("report_date").agg(_sorted_entries(
                  F.struct("site_id", "site_name", "total_revenue", "invoice_count", "breakdown", "revenue_pct"),
                  F.col("site_id")).alias("sites")))
 
-    sm = salesman_revenue(t, from_date, to_date, p)
+    sm = salesman_revenue(t, from_date, to_date, p, cells)
     sm_site = sm.groupBy("report_date", "site_id").agg(
         F.first("site_name").alias("site_name"),
         _sorted_entries(F.struct(F.col("salesperson").alias("name"), "revenue"),
@@ -203,7 +227,7 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     salesmen = sm_site.groupBy("report_date").agg(
         _sorted_entries(F.struct("site_id", "site_name", "salesmen"), F.col("site_id")).alias("salesman_by_site"))
 
-    coll = collections_by_site(t, from_date, to_date, p).groupBy("report_date").agg(
+    coll = collections_by_site(t, from_date, to_date, p, cells).groupBy("report_date").agg(
         _sorted_entries(F.struct("site_id", "site_name", "collections", "receipt_count"),
                         _desc(F.col("collections")), F.col("site_id")).alias("collections_by_site"))
 
