@@ -105,7 +105,12 @@ def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams
     ids = v.select("id")
     weight = (B.challans_of(t, ids).groupBy("voucher_id").agg(F.count(F.lit(1)).alias("_n"))
               .withColumnRenamed("voucher_id", "id"))
-    rows = v.join(weight, "id").join(B.milestones(t, ids).withColumnRenamed("voucher_id", "id"), "id", "left")
+    # A bounded day range is usually a small invoice subset: let milestones
+    # check it for a broadcast. An open range spans the whole history, where
+    # the check would only cost an extra pass.
+    bounded = from_date is not None and to_date is not None
+    ms = B.milestones(t, ids, B.SUBSET_BROADCAST_ROWS if bounded else 0)
+    rows = v.join(weight, "id").join(ms.withColumnRenamed("voucher_id", "id"), "id", "left")
     w = F.lit(1) if dedupe else F.col("_n")
 
     def stage(a: str, b: str):
