@@ -34,3 +34,15 @@ def test_stream_refresh_matches_batch(spark):
     assert got.select(*cols).exceptAll(want).count() == 0
     assert want.exceptAll(got.select(*cols)).count() == 0
     assert got.count() > 0
+
+
+def test_write_report_replaces_only_written_days(spark):
+    from ledgerlens.sources.sinks import write_report
+    from tests.star import D, rows, star, voucher
+    t = star(spark, vouchers=[voucher(1, transaction_date=D(2024, 3, 1)), voucher(2, transaction_date=D(2024, 3, 2))])
+    path = tempfile.mkdtemp(prefix="ledgerlens-sink-") + "/hero"
+    write_report(daily.daily_hero(t), path)
+    t2 = star(spark, vouchers=[voucher(3, transaction_date=D(2024, 3, 2), total_amount=7)])
+    write_report(daily.daily_hero(t2), path)
+    got = {r["report_date"]: r["revenue"] for r in rows(spark.read.parquet(path))}
+    assert got == {D(2024, 3, 1): 100.0, D(2024, 3, 2): 7.0}
