@@ -8,7 +8,7 @@ from collections.abc import Mapping
 # Fixed defaults: the operational values the reports were written for.
 DEFAULT_ORG_ID = 2
 DEFAULT_SITE_IDS = (1, 4)
-DEFAULT_SITE_PIVOT = {"mogappair": 1, "medavakkam": 4}
+DEFAULT_SITE_PIVOT = {"sales_site_1": 1, "sales_site_4": 4}
 DEFAULT_TZ = "Asia/Kolkata"
 DEFAULT_EXCLUDE_NAME_LIKE = "%emp%"
 DEFAULT_CORPORATE_LIKE = "%corporate%"

@@ -47,8 +47,8 @@ def test_r2_monthly_window_and_pivot(spark):
           voucher(3, transaction_date=D(2023, 3, 31)), voucher(4, transaction_date=D(2024, 5, 1), site_id=4)]
     got = rows(sales.monthly_sales(star(spark, vouchers=vs), AS_OF))
     assert got == [
-        {"month": D(2023, 4, 1), "mogappair": 100.0, "medavakkam": 100.0, "total_sales": 200.0},
-        {"month": D(2024, 5, 1), "mogappair": 0.0, "medavakkam": 100.0, "total_sales": 100.0},
+        {"month": D(2023, 4, 1), "sales_site_1": 100.0, "sales_site_4": 100.0, "total_sales": 200.0},
+        {"month": D(2024, 5, 1), "sales_site_1": 0.0, "sales_site_4": 100.0, "total_sales": 100.0},
     ]
 
 
