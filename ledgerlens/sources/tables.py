@@ -138,3 +138,33 @@ def write_parquet_tables(tables: Tables, root: str, mode: str = "overwrite") ->
         if t in cluster:
             df = df.sortWithinPartitions(cluster[t])
         df.write.mode(mode).parquet(f"{root.rstrip('/')}/{t}")
+
+
+# Bucket keys of the event-sized tables: both sides of the history ⋈ challan
+# join (milestones, agents) and of the line ⋈ invoice join (top products)
+# share a key and a bucket count, so those joins need no shuffle.
+BUCKET_KEYS = {
+    "vouchers": "id",
+    "voucher_items": "voucher_id",
+    "delivery_challans": "id",
+    "document_status_history": "document_id",
+    "parties": "id",
+}
+
+
+def write_bucketed_tables(tables: Tables, root: str, database: str | None = None,
+                          buckets: int = 64, prefix: str = "", mode: str = "overwrite") -> None:
+    """Save the star schema as catalog tables at ``{root}/{table}``, the
+    event-sized ones bucketed (and sorted) on their join key with one bucket
+    count. Read back with :func:`read_catalog_tables` (same ``database`` and
+    ``prefix`` via ``names``). Size ``buckets`` so one bucket of the largest
+    table is a few hundred MB."""
+    spark = tables.spark
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    qual = f"{database}." if database else ""
+    for t in STAR_SCHEMAS:
+        w = getattr(tables, t).write.mode(mode).format("parquet").option("path", f"{root.rstrip('/')}/{t}")
+        if t in BUCKET_KEYS:
+            w = w.bucketBy(buckets, BUCKET_KEYS[t]).sortBy(BUCKET_KEYS[t])
+        w.saveAsTable(f"{qual}{prefix}{t}")

@@ -46,3 +46,27 @@ def test_write_report_replaces_only_written_days(spark):
     write_report(daily.daily_hero(t2), path)
     got = {r["report_date"]: r["revenue"] for r in rows(spark.read.parquet(path))}
     assert got == {D(2024, 3, 1): 100.0, D(2024, 3, 2): 7.0}
+
+
+def test_bucketed_star_joins_history_without_shuffle(spark):
+    import re
+    from ledgerlens.plans import base as B
+    from ledgerlens.sources.tables import read_catalog_tables, write_bucketed_tables
+    root = tempfile.mkdtemp(prefix="ledgerlens-bucketed-")
+    write_bucketed_tables(registry.tables_for(spark, SF), root, buckets=4, prefix="bk_")
+    t = read_catalog_tables(spark, names={n: f"bk_{n}" for n in
+                                          ("vouchers voucher_types parties party_groups sites items voucher_items "
+                                           "delivery_challans document_status_history users").split()})
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = B.milestones(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the history / challan sort-merge join reads both sides straight from
+    # their buckets: the only exchanges are for the users join / aggregate
+    smj = plan[plan.index("SortMergeJoin [document_id"):]
+    assert re.search(r"SortMergeJoin \[document_id", plan)
+    assert "Exchange hashpartitioning(document_id" not in plan
+    assert smj.count("FileScan") >= 2
+    assert B.milestones(t).count() == B.milestones(registry.tables_for(spark, SF)).count()
