@@ -281,3 +281,11 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     if nest_new_customers:
         cols.insert(11, F.coalesce("new_customers", F.array()).alias("new_customers"))
     return out.select(*cols).orderBy("report_date")
+
+
+def daily_report_for_day(t: Tables, day=None, p: ReportParams = DEFAULT_PARAMS, **kw) -> DataFrame:
+    """R22 for one date (default: today's UTC date). Always one row: a day
+    without data gets zeros and empty lists."""
+    import datetime as _dt
+    day = day if day is not None else _dt.datetime.now(_dt.timezone.utc).date()
+    return daily_report(t, day, day, p, **kw)

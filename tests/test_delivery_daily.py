@@ -173,3 +173,10 @@ def test_r22_batch_equals_single_days(spark):
     for d in (D(2024, 3, 1), D(2024, 3, 2), D(2024, 3, 3)):
         single = rows(daily.daily_report(t, d, d))
         assert single == [batch[d]]
+
+
+def test_r22_single_day_always_one_row(spark):
+    t = _ops_star(spark)
+    got = rows(daily.daily_report_for_day(t, D(2030, 1, 1)))
+    assert len(got) == 1 and got[0]["revenue"] == 0.0 and got[0]["delivery_by_site"] == []
+    assert got[0]["outstanding"]["total"] == 0.0
