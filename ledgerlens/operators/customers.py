@@ -49,49 +49,57 @@ def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recen
     usual_order_hour, predicted_next_order_date, days_until_order.
     """
     d = F.col("transaction_date")
+    # Branches are site names (sites sharing a name are one branch). Carry a
+    # small integer key per name through the aggregates so min_by / max_by
+    # have fixed-width buffers (hash aggregation); names are joined at the end.
+    site_branch = t.lookup("sites", t.sites.select(
+        F.col("id").alias("site_id"), F.col("name").alias("branch"),
+        F.min("id").over(Window.partitionBy("name")).alias("branch_key")))
     orders = (B.sales_invoices(t, p)
-              .join(B.site_names(t, "site_id", "branch"), "site_id")
+              .join(site_branch.select("site_id", "branch_key"), "site_id")
               .join(_listed_customers(t, p).select("party_id"), "party_id", "left_semi")
-              .select("party_id", "branch", "transaction_date", "id", "total_amount",
+              .select("party_id", "branch_key", "transaction_date", "id", "total_amount",
                       X.local_hour(F.col("created_at"), p.tz).alias("_hour")))
 
     # One pass over the orders: (customer, day, branch) partials. The
     # per-day and per-branch views below are both derived from this much
     # smaller aggregate.
-    cells = orders.groupBy("party_id", "transaction_date", "branch").agg(
+    cells = orders.groupBy("party_id", "transaction_date", "branch_key").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_hour").alias("_hour_sum"), F.count("_hour").alias("_hour_n"),
         F.min("id").alias("_min_id"), F.max("id").alias("_max_id"),
         F.max_by("total_amount", "id").alias("_amount_of_max_id"))
     # One row per (customer, day): the day's first order's branch and its
     # last order, in (date, id) order.
     days = cells.groupBy("party_id", "transaction_date").agg(
-        F.min_by("branch", "_min_id").alias("_first_branch"),
-        F.max_by(F.struct(F.col("branch"), F.col("_amount_of_max_id").alias("total_amount")), "_max_id")
-        .alias("_last"))
+        F.min_by("branch_key", "_min_id").alias("_first_branch"),
+        F.max_by("branch_key", "_max_id").alias("_last_branch"),
+        F.max_by("_amount_of_max_id", "_max_id").alias("_last_amount"))
     w = Window.partitionBy("party_id").orderBy(d.asc_nulls_last())
     days = days.withColumn("_gap", X.days_between(d, F.lag(d).over(w)))
 
     gaps = (days.filter(F.col("_gap").isNotNull())
-            .groupBy("party_id", F.col("_first_branch").alias("branch"))
+            .groupBy("party_id", F.col("_first_branch").alias("branch_key"))
             .agg(F.sum("_gap").alias("_gap_sum")))
-    per_branch = cells.groupBy("party_id", "branch").agg(
+    per_branch = cells.groupBy("party_id", "branch_key").agg(
         F.sum("_n").alias("total_orders"), F.sum("_hour_sum").alias("_hour_sum"),
         F.sum("_hour_n").alias("_hour_n"))
     latest = (days.groupBy("party_id").agg(
                   F.max(d).alias("last_purchase_date"),
                   F.count(F.when(d.isNull(), 1)).alias("_undated"),
-                  F.max_by("_last", d).alias("_last"),
+                  F.max_by("_last_branch", d).alias("branch_key"),
+                  F.max_by("_last_amount", d).alias("_last_amount"),
                   F.min_by("_first_branch", d).alias("_opening_branch"))
               .filter((F.col("_undated") == 0)
                       & (F.col("last_purchase_date") >= F.date_sub(X.as_date(as_of), recent_days)))
-              .select("party_id", "last_purchase_date", F.col("_last.branch").alias("branch"),
-                      F.col("_last.total_amount").alias("_last_amount"), "_opening_branch"))
+              .drop("_undated"))
+    branch_names = site_branch.select("branch_key", "branch").dropDuplicates(["branch_key"])
 
-    rows = (latest.join(per_branch, ["party_id", "branch"])
-            .join(gaps, ["party_id", "branch"], "left")
+    rows = (latest.join(per_branch, ["party_id", "branch_key"])
+            .join(gaps, ["party_id", "branch_key"], "left")
+            .join(branch_names, "branch_key")
             .join(_listed_customers(t, p, "phone", "responsible_party_id"), "party_id")
             .join(B.rep_names(t, "sales_rep"), "responsible_party_id", "left"))
-    n_gaps = F.col("total_orders") - F.when(F.col("_opening_branch") == F.col("branch"), 1).otherwise(0)
+    n_gaps = F.col("total_orders") - F.when(F.col("_opening_branch") == F.col("branch_key"), 1).otherwise(0)
     avg_cycle = X.round_ratio(F.coalesce(F.col("_gap_sum"), F.lit(0)), n_gaps)
     rows = rows.withColumn("avg_cycle_days", avg_cycle).withColumn(
         "usual_order_hour", X.round_ratio(F.col("_hour_sum"), F.col("_hour_n")))

@@ -234,11 +234,17 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     top = top_products(t, from_date, to_date, p).groupBy("report_date").agg(
         _sorted_entries(F.struct("rank", "name", "units", "revenue"), F.col("rank")).alias("top_products"))
 
-    agents = D.delivery_agents(t, from_date, to_date, p).groupBy("report_date", "site_id").agg(
+    events = D.day_events(t, from_date, to_date, p)
+    agents = D.delivery_agents(t, from_date, to_date, p, events=events).groupBy("report_date", "site_id").agg(
         _sorted_entries(F.struct(F.col("agent_name").alias("name"), "order_count"),
                         _desc(F.col("order_count")), F.col("agent_name")).alias("agents"))
-    ops = D.delivery_operations(t, from_date, to_date, p, dedupe=dedupe_delivery).join(
-        agents, ["report_date", "site_id"], "left")
+    ops_rows = D.delivery_operations(t, from_date, to_date, p, dedupe=dedupe_delivery, events=events)
+    # R13 (invoices with challans / delivered) is the per-day sum of R20's
+    # per-site counts: same voucher scope, no second challan pass.
+    counts = ops_rows.groupBy("report_date").agg(
+        F.sum("delivered").cast("bigint").alias("delivered"),
+        F.sum("total").cast("bigint").alias("delivery_total"))
+    ops = ops_rows.join(agents, ["report_date", "site_id"], "left")
     delivery = ops.groupBy("report_date").agg(_sorted_entries(
         F.struct("site_id", "total", "delivered", "avg_packed_to_shipped_min", "avg_shipped_to_delivered_min",
                  "avg_end_to_end_min", F.coalesce(F.col("agents"), F.array()).alias("agents"),
@@ -256,7 +262,7 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     outstanding = R.outstanding_summary(t, p).select(F.struct("total", "by_site").alias("o")).scalar()
 
     out = (cal.join(hero, "report_date", "left")
-           .join(D.delivery_counts(t, from_date, to_date, p), "report_date", "left")
+           .join(counts, "report_date", "left")
            .join(newc_day, "report_date", "left")
            .join(sites, "report_date", "left")
            .join(salesmen, "report_date", "left")

@@ -84,8 +84,19 @@ def delivery_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = D
         F.count(F.lit(1)).alias("delivery_total"))
 
 
+def day_events(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+    """Status events of the range's vouchers (see
+    :func:`ledgerlens.plans.base.status_events`); shared by R20 and R21 in
+    the composite report. A bounded range is checked for a broadcast of its
+    challans; an open range spans the whole history, where the check would
+    only cost an extra pass."""
+    ids = _day_vouchers(t, p, from_date, to_date).select("id")
+    bounded = from_date is not None and to_date is not None
+    return B.status_events(t, ids, B.SUBSET_BROADCAST_ROWS if bounded else 0)
+
+
 def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                        dedupe: bool = False) -> DataFrame:
+                        dedupe: bool = False, events: DataFrame | None = None) -> DataFrame:
     """Per day and site, invoices with challans, how many are delivered,
     and mean stage durations (packed->shipped, shipped->delivered,
     packed->delivered) in minutes, rounded half away from zero, with
@@ -105,11 +116,8 @@ def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams
     ids = v.select("id")
     weight = (B.challans_of(t, ids).groupBy("voucher_id").agg(F.count(F.lit(1)).alias("_n"))
               .withColumnRenamed("voucher_id", "id"))
-    # A bounded day range is usually a small invoice subset: let milestones
-    # check it for a broadcast. An open range spans the whole history, where
-    # the check would only cost an extra pass.
-    bounded = from_date is not None and to_date is not None
-    ms = B.milestones(t, ids, B.SUBSET_BROADCAST_ROWS if bounded else 0)
+    events = events if events is not None else day_events(t, from_date, to_date, p)
+    ms = B.milestones(t, events=events)
     rows = v.join(weight, "id").join(ms.withColumnRenamed("voucher_id", "id"), "id", "left")
     w = F.lit(1) if dedupe else F.col("_n")
 
@@ -140,19 +148,19 @@ def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams
         X.fmt_minutes(F.col("avg_end_to_end_min")).alias("end_to_end"))
 
 
-def delivery_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def delivery_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                    events: DataFrame | None = None) -> DataFrame:
     """Per day, site and user, the number of distinct invoices the user
     marked shipped / in transit. Events of unknown users are dropped.
     Columns: report_date, site_id, agent_name, order_count; sorted by site,
     count descending."""
     v = _day_vouchers(t, p, from_date, to_date).select(
         F.col("id").alias("voucher_id"), "site_id", F.col("transaction_date").alias("report_date"))
+    events = events if events is not None else day_events(t, from_date, to_date, p)
     _, shipped, _ = B.stage_flags(F.col("new_status"))
-    ev = (t.document_status_history.filter(shipped).select("document_id", "changed_by")
-          .join(B.challans_of(t, v.select("voucher_id")), "document_id")
-          .join(v, "voucher_id")
-          .join(t.users.select(F.col("id").alias("changed_by"), F.col("full_name").alias("agent_name")),
-                "changed_by"))
+    ev = (events.filter(shipped & F.col("_user_found"))
+          .select("voucher_id", F.col("full_name").alias("agent_name"))
+          .join(v, "voucher_id"))
     agg = ev.groupBy("report_date", "site_id", "agent_name").agg(
         F.count_distinct("voucher_id").alias("order_count"))
     return agg.orderBy("report_date", "site_id", F.col("order_count").desc(), F.col("agent_name").asc_nulls_last())

@@ -106,24 +106,21 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def milestones(t: Tables, invoice_ids: DataFrame | None = None,
-               broadcast_rows: int = SUBSET_BROADCAST_ROWS) -> DataFrame:
-    """Per invoice: first packed / shipped / delivered time and first actors.
-
-    One pass over the status history: events are joined to their challan
-    (and, for actor names, left-joined to ``users``) and reduced with
-    conditional ``min`` / ``min_by`` in a single aggregate keyed by voucher,
-    which combines map-side, so an invoice with a huge history does not
-    land in one task. ``invoice_ids`` restricts the challans (and thereby
-    the history) before the join; the result is unchanged for those ids.
-    When that restricted challan set is checked to hold at most
-    ``broadcast_rows`` rows it is broadcast, so the history is filtered
-    while it is scanned instead of being shuffled; above the bound the join
-    stays a shuffle join (AQE may still pick a broadcast at run time).
+def status_events(t: Tables, invoice_ids: DataFrame | None = None,
+                  broadcast_rows: int = SUBSET_BROADCAST_ROWS) -> DataFrame:
+    """Stage events of the status history joined to their invoice:
+    (document_id, voucher_id, new_status, changed_at, changed_by, full_name,
+    _user_found). Events with a status outside the packed / shipped /
+    delivered stages are dropped at the scan.
+
+    ``invoice_ids`` restricts the challans (and thereby the history) before
+    the join. When that restricted challan set is checked to hold at most
+    ``broadcast_rows`` rows it is broadcast, so the history is filtered while
+    it is scanned instead of being shuffled; above the bound the join stays
+    a shuffle join (AQE may still pick a broadcast at run time).
     ``broadcast_rows=0`` skips the check (for subsets known to be large).
-
-    Output: voucher_id, packed_at, shipped_at, delivered_at, delivered_by,
-    shipped_by, delivery_person.
+    Milestones and delivery agents read the same frame, so a report needing
+    both scans the history once.
     """
     ch = challans_of(t, invoice_ids)
     if invoice_ids is not None and broadcast_rows > 0 and at_most(ch, broadcast_rows):
@@ -135,7 +132,24 @@ def milestones(t: Tables, invoice_ids: DataFrame | None = None,
     users = t.users.select(F.col("id").alias("changed_by"), "full_name",
                            F.lit(True).alias("_user_found"))
     ev = h.join(ch, "document_id").join(users, "changed_by", "left")
-    ev = ev.withColumn("_user_found", F.coalesce(F.col("_user_found"), F.lit(False)))
+    return ev.withColumn("_user_found", F.coalesce(F.col("_user_found"), F.lit(False)))
+
+
+def milestones(t: Tables, invoice_ids: DataFrame | None = None,
+               broadcast_rows: int = SUBSET_BROADCAST_ROWS, events: DataFrame | None = None) -> DataFrame:
+    """Per invoice: first packed / shipped / delivered time and first actors.
+
+    One pass over the status events (:func:`status_events`, or ``events``
+    when given): conditional ``min`` / ``min_by`` in a single aggregate keyed
+    by voucher, which combines map-side, so an invoice with a huge history
+    does not land in one task. Restricting to ``invoice_ids`` leaves the
+    result for those ids unchanged.
+
+    Output: voucher_id, packed_at, shipped_at, delivered_at, delivered_by,
+    shipped_by, delivery_person.
+    """
+    ev = events if events is not None else status_events(t, invoice_ids, broadcast_rows)
+    packed, shipped, delivered = stage_flags(F.col("new_status"))
     out = ev.groupBy("voucher_id").agg(
         F.min(F.when(packed, F.col("changed_at"))).alias("packed_at"),
         F.min(F.when(shipped, F.col("changed_at"))).alias("shipped_at"),
