@@ -142,7 +142,8 @@ def customer_locations(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days:
                     "last_order_date", "orders_last_30d", X.money(F.col("_rev")).alias("revenue_last_30d")))
 
 
-def new_customers(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def new_customers(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                  with_created_at: bool = False) -> DataFrame:
     """Customers created on each local day (zone ``p.tz``) of the range,
     at their home site (a report site), not in the new-customer excluded
     groups (NULL group kept), with the representative who added them
@@ -150,8 +151,8 @@ def new_customers(t: Tables, from_date=None, to_date=None, p: ReportParams = DEF
 
     The local-day bounds are also stated on ``created_at`` itself so the
     range is pushed into the scan.
-    Columns: report_date, customer_name, site_name, site_id, added_by;
-    sorted by report_date, created_at.
+    Columns: report_date, customer_name, site_name, site_id, added_by (and
+    created_at with ``with_created_at``); sorted by report_date, created_at.
     """
     created = F.col("created_at")
     local_day = X.local_date(created, p.tz)
@@ -171,7 +172,8 @@ def new_customers(t: Tables, from_date=None, to_date=None, p: ReportParams = DEF
             .join(B.rep_names(t, "_rep"), "responsible_party_id", "left"))
     return (rows.orderBy("report_date", F.col("created_at").asc_nulls_last(), "customer_name")
             .select("report_date", "customer_name", "site_name", "site_id",
-                    F.coalesce(F.col("_rep"), F.lit("Unknown")).alias("added_by")))
+                    F.coalesce(F.col("_rep"), F.lit("Unknown")).alias("added_by"),
+                    *(["created_at"] if with_created_at else [])))
 
 
 def new_customer_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:

@@ -251,11 +251,13 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
                  "packed_to_shipped", "shipped_to_delivered", "end_to_end"),
         F.col("site_id")).alias("delivery_by_site"))
 
-    newc = C.new_customers(t, from_date, to_date, p)
+    newc = C.new_customers(t, from_date, to_date, p, with_created_at=True)
     if nest_new_customers:
         newc_day = newc.groupBy("report_date").agg(
             F.count(F.lit(1)).alias("new_customer_count"),
-            F.collect_list(F.struct("customer_name", "site_name", "site_id", "added_by")).alias("new_customers"))
+            _sorted_entries(F.struct("customer_name", "site_name", "site_id", "added_by"),
+                            F.isnull("created_at"), F.col("created_at"), F.col("customer_name"))
+            .alias("new_customers"))
     else:
         newc_day = newc.groupBy("report_date").agg(F.count(F.lit(1)).alias("new_customer_count"))
 
@@ -285,7 +287,7 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
         F.coalesce("delivery_by_site", F.array()).alias("delivery_by_site"),
     ]
     if nest_new_customers:
-        cols.insert(11, F.coalesce("new_customers", F.array()).alias("new_customers"))
+        cols.insert(10, F.coalesce("new_customers", F.array()).alias("new_customers"))
     return out.select(*cols).orderBy("report_date")
 
 

@@ -180,3 +180,14 @@ def test_r22_single_day_always_one_row(spark):
     got = rows(daily.daily_report_for_day(t, D(2030, 1, 1)))
     assert len(got) == 1 and got[0]["revenue"] == 0.0 and got[0]["delivery_by_site"] == []
     assert got[0]["outstanding"]["total"] == 0.0
+
+
+def test_r22_nested_new_customers_in_creation_order(spark):
+    ps = [party(1, created_at=TS(2024, 3, 5, 6, 0), name="Late"),
+          party(2, created_at=TS(2024, 3, 5, 1, 0), name="Early"),
+          party(3, created_at=TS(2024, 3, 5, 3, 0), party_group_id=4)]
+    t = star(spark, parties=ps, vouchers=[voucher(1, transaction_date=DAY)])
+    got = rows(daily.daily_report(t, DAY, DAY, nest_new_customers=True))[0]
+    assert got["new_customer_count"] == 2
+    assert [c["customer_name"] for c in got["new_customers"]] == ["Early", "Late"]
+    assert list(got)[10:12] == ["new_customers", "top_products"]
