@@ -123,3 +123,22 @@ def test_milestones_subset_equals_full(spark):
     full = {r["voucher_id"]: r for r in B.milestones(t).join(ids.withColumnRenamed("id", "voucher_id"),
                                                               "voucher_id", "left_semi").collect()}
     assert sub == full and len(sub) > 0
+
+
+def test_followup_window_runs_over_daily_aggregate(spark):
+    # R9's lag window must consume one row per (customer, day), never raw
+    # orders: its input is an aggregate keyed by party_id and date.
+    from ledgerlens.operators import customers
+    plan = customers.followup_customers(registry.tables_for(spark, SF), registry.AS_OF) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    lines = plan.split("\n")
+    idx = [i for i, line in enumerate(lines) if "Window [lag(" in line]
+    assert idx, plan
+    below = "\n".join(lines[idx[0] + 1: idx[0] + 4])
+    assert re.search(r"Aggregate \[party_id#\d+L?, transaction_date#\d+\]", below), below
+
+
+def test_top_products_limits_before_exchange(spark):
+    plan = registry.QUERIES["r18_top_products"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
