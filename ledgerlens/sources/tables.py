@@ -125,19 +125,30 @@ def read_jdbc_tables(spark: SparkSession, url: str, properties: Mapping[str, str
     return Tables.from_frames(frames)
 
 
-def write_parquet_tables(tables: Tables, root: str, mode: str = "overwrite") -> None:
+def write_parquet_tables(tables: Tables, root: str, mode: str = "overwrite",
+                         partition_vouchers_by_date: bool = False) -> None:
     """Persist a star schema (e.g. the synthetic one) as Parquet datasets.
 
-    The three event-sized tables are clustered on the column reports filter or
-    join on, so Parquet row-group statistics prune date ranges.
+    The event-sized tables are clustered on the column reports filter or
+    join on, so Parquet row-group statistics prune date ranges. With
+    ``partition_vouchers_by_date`` the fact is laid out in one directory per
+    ``transaction_date`` (the deployment layout: every date-windowed report
+    filters on that column, so whole days are pruned before any file is
+    opened); it is off by default because tiny test data would become
+    thousands of tiny files.
     """
     cluster = {"vouchers": "transaction_date", "voucher_items": "voucher_id",
                "document_status_history": "document_id", "delivery_challans": "related_invoice_voucher_id"}
     for t in STAR_SCHEMAS:
         df = getattr(tables, t)
+        path = f"{root.rstrip('/')}/{t}"
+        if t == "vouchers" and partition_vouchers_by_date:
+            (df.repartition("transaction_date").sortWithinPartitions("transaction_date", "id")
+             .write.mode(mode).partitionBy("transaction_date").parquet(path))
+            continue
         if t in cluster:
             df = df.sortWithinPartitions(cluster[t])
-        df.write.mode(mode).parquet(f"{root.rstrip('/')}/{t}")
+        df.write.mode(mode).parquet(path)
 
 
 # Bucket keys of the event-sized tables: both sides of the history ⋈ challan

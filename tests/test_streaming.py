@@ -1,6 +1,7 @@
 """The voucher-stream refresh reproduces the batch day-keyed reports."""
 
 import os
+import re
 import tempfile
 
 import pytest
@@ -70,3 +71,21 @@ def test_bucketed_star_joins_history_without_shuffle(spark):
     assert "Exchange hashpartitioning(document_id" not in plan
     assert smj.count("FileScan") >= 2
     assert B.milestones(t).count() == B.milestones(registry.tables_for(spark, SF)).count()
+
+
+def test_date_partitioned_fact_prunes_days(spark):
+    from ledgerlens.operators import sales
+    from tests.star import D, rows, star, voucher
+    t = star(spark, vouchers=[voucher(i, transaction_date=D(2024, 3, 1 + i % 20)) for i in range(1, 41)])
+    root = tempfile.mkdtemp(prefix="ledgerlens-part-") + "/star"
+    write_parquet_tables(t, root, partition_vouchers_by_date=True)
+    tp = read_parquet_tables(spark, root)
+    df = sales.sales_summary(tp, D(2024, 3, 10))
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", old)
+    assert re.search(r"PartitionFilters: \[transaction_date#\d+ IN \(2024-03-10,2024-03-09\)\]", plan)
+    assert rows(df) == rows(sales.sales_summary(t, D(2024, 3, 10)))
