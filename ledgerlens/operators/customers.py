@@ -55,9 +55,12 @@ def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recen
     site_branch = t.lookup("sites", t.sites.select(
         F.col("id").alias("site_id"), F.col("name").alias("branch"),
         F.min("id").over(Window.partitionBy("name")).alias("branch_key")))
+    # Customer exclusions apply to whole customers, so they commute with the
+    # per-customer aggregates: they are applied by the final customer join,
+    # never as a join of the raw orders (which would shuffle every order by
+    # customer before any map-side combine).
     orders = (B.sales_invoices(t, p)
               .join(site_branch.select("site_id", "branch_key"), "site_id")
-              .join(_listed_customers(t, p).select("party_id"), "party_id", "left_semi")
               .select("party_id", "branch_key", "transaction_date", "id", "total_amount",
                       X.local_hour(F.col("created_at"), p.tz).alias("_hour")))
 

@@ -157,8 +157,7 @@ def delivery_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = D
     v = _day_vouchers(t, p, from_date, to_date).select(
         F.col("id").alias("voucher_id"), "site_id", F.col("transaction_date").alias("report_date"))
     events = events if events is not None else day_events(t, from_date, to_date, p)
-    _, shipped, _ = B.stage_flags(F.col("new_status"))
-    ev = (events.filter(shipped & F.col("_user_found"))
+    ev = (events.filter(F.col("has_shipped") & F.col("_user_found"))
           .select("voucher_id", F.col("full_name").alias("agent_name"))
           .join(v, "voucher_id"))
     agg = ev.groupBy("report_date", "site_id", "agent_name").agg(

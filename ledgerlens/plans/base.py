@@ -77,12 +77,13 @@ def stage_flags(status: Column) -> tuple[Column, Column, Column]:
     return (s.isin(*X.PACKED_STATUSES), s.isin(*X.SHIPPED_STATUSES), s.isin(*X.DELIVERED_STATUSES))
 
 
-def _first_actor(stage: Column) -> Column:
+def _first_actor(has_stage: str, at: str) -> Column:
     # Earliest event of the stage whose user exists; changed_at NULLS LAST as
-    # in an ascending SQL sort, ties broken by name (non-NULL first).
-    order = F.struct(F.col("changed_at").isNull(), F.col("changed_at"),
-                     F.col("full_name").isNull(), F.col("full_name"))
-    return F.min_by(F.col("full_name"), F.when(stage & F.col("_user_found"), order))
+    # in an ascending SQL sort, ties broken by name (non-NULL first). Rows
+    # are (challan, user) cells: ``at`` is that user's earliest time for the
+    # stage (NULL when all their events of the stage lack a time).
+    order = F.struct(F.col(at).isNull(), F.col(at), F.col("full_name").isNull(), F.col("full_name"))
+    return F.min_by(F.col("full_name"), F.when(F.col(has_stage) & F.col("_user_found"), order))
 
 
 def challans_of(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
@@ -108,16 +109,20 @@ def at_most(df: DataFrame, n: int) -> bool:
 
 def status_events(t: Tables, invoice_ids: DataFrame | None = None,
                   broadcast_rows: int = SUBSET_BROADCAST_ROWS) -> DataFrame:
-    """Stage events of the status history joined to their invoice:
-    (document_id, voucher_id, new_status, changed_at, changed_by, full_name,
-    _user_found). Events with a status outside the packed / shipped /
-    delivered stages are dropped at the scan.
-
-    ``invoice_ids`` restricts the challans (and thereby the history) before
-    the join. When that restricted challan set is checked to hold at most
-    ``broadcast_rows`` rows it is broadcast, so the history is filtered while
-    it is scanned instead of being shuffled; above the bound the join stays
-    a shuffle join (AQE may still pick a broadcast at run time).
+    """Per (challan, user) stage cells of the status history, joined to the
+    invoice and the user: voucher_id, changed_by, full_name, _user_found,
+    packed_at / shipped_at / delivered_at (the user's earliest time of the
+    stage on that challan) and has_packed / has_shipped / has_delivered.
+
+    The history is reduced to these cells before any join, with map-side
+    combine, so a challan carrying a large share of all events is collapsed
+    in the scan tasks instead of skewing the join. Events outside the
+    packed / shipped / delivered stages are dropped at the scan.
+
+    ``invoice_ids`` restricts the challans before the join. When that
+    restricted challan set is checked to hold at most ``broadcast_rows`` rows
+    it is broadcast, so the join is evaluated map-side; above the bound it
+    stays a shuffle join (AQE may still pick a broadcast at run time).
     ``broadcast_rows=0`` skips the check (for subsets known to be large).
     Milestones and delivery agents read the same frame, so a report needing
     both scans the history once.
@@ -126,12 +131,20 @@ def status_events(t: Tables, invoice_ids: DataFrame | None = None,
     if invoice_ids is not None and broadcast_rows > 0 and at_most(ch, broadcast_rows):
         ch = F.broadcast(ch)
     packed, shipped, delivered = stage_flags(F.col("new_status"))
-    h = (t.document_status_history
-         .select("document_id", "new_status", "changed_at", "changed_by")
-         .filter(packed | shipped | delivered))
+    at = F.col("changed_at")
+    cells = (t.document_status_history
+             .select("document_id", "new_status", "changed_at", "changed_by")
+             .filter(packed | shipped | delivered)
+             .groupBy("document_id", "changed_by").agg(
+                 F.min(F.when(packed, at)).alias("packed_at"),
+                 F.min(F.when(shipped, at)).alias("shipped_at"),
+                 F.min(F.when(delivered, at)).alias("delivered_at"),
+                 F.max(packed).alias("has_packed"),
+                 F.max(shipped).alias("has_shipped"),
+                 F.max(delivered).alias("has_delivered")))
     users = t.users.select(F.col("id").alias("changed_by"), "full_name",
                            F.lit(True).alias("_user_found"))
-    ev = h.join(ch, "document_id").join(users, "changed_by", "left")
+    ev = cells.join(ch, "document_id").join(users, "changed_by", "left")
     return ev.withColumn("_user_found", F.coalesce(F.col("_user_found"), F.lit(False)))
 
 
@@ -139,23 +152,21 @@ def milestones(t: Tables, invoice_ids: DataFrame | None = None,
                broadcast_rows: int = SUBSET_BROADCAST_ROWS, events: DataFrame | None = None) -> DataFrame:
     """Per invoice: first packed / shipped / delivered time and first actors.
 
-    One pass over the status events (:func:`status_events`, or ``events``
-    when given): conditional ``min`` / ``min_by`` in a single aggregate keyed
-    by voucher, which combines map-side, so an invoice with a huge history
-    does not land in one task. Restricting to ``invoice_ids`` leaves the
+    One aggregate keyed by voucher over the (challan, user) stage cells of
+    :func:`status_events` (or ``events`` when given): conditional ``min`` /
+    ``min_by``, combined map-side. Restricting to ``invoice_ids`` leaves the
     result for those ids unchanged.
 
     Output: voucher_id, packed_at, shipped_at, delivered_at, delivered_by,
     shipped_by, delivery_person.
     """
     ev = events if events is not None else status_events(t, invoice_ids, broadcast_rows)
-    packed, shipped, delivered = stage_flags(F.col("new_status"))
     out = ev.groupBy("voucher_id").agg(
-        F.min(F.when(packed, F.col("changed_at"))).alias("packed_at"),
-        F.min(F.when(shipped, F.col("changed_at"))).alias("shipped_at"),
-        F.min(F.when(delivered, F.col("changed_at"))).alias("delivered_at"),
-        _first_actor(delivered).alias("delivered_by"),
-        _first_actor(shipped).alias("shipped_by"),
+        F.min("packed_at").alias("packed_at"),
+        F.min("shipped_at").alias("shipped_at"),
+        F.min("delivered_at").alias("delivered_at"),
+        _first_actor("has_delivered", "delivered_at").alias("delivered_by"),
+        _first_actor("has_shipped", "shipped_at").alias("shipped_by"),
     )
     return out.withColumn("delivery_person", F.coalesce("delivered_by", "shipped_by"))
 
