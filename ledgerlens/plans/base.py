@@ -121,20 +121,25 @@ def status_events(t: Tables, invoice_ids: DataFrame | None = None,
 
     ``invoice_ids`` restricts the challans before the join. When that
     restricted challan set is checked to hold at most ``broadcast_rows`` rows
-    it is broadcast, so the join is evaluated map-side; above the bound it
-    stays a shuffle join (AQE may still pick a broadcast at run time).
+    it is broadcast: the history is semi-joined against it in the scan tasks
+    before the cells are built, and the join is evaluated map-side; above
+    the bound it stays a shuffle join (AQE may still pick a broadcast).
     ``broadcast_rows=0`` skips the check (for subsets known to be large).
     Milestones and delivery agents read the same frame, so a report needing
     both scans the history once.
     """
     ch = challans_of(t, invoice_ids)
+    packed, shipped, delivered = stage_flags(F.col("new_status"))
+    hist = (t.document_status_history
+            .select("document_id", "new_status", "changed_at", "changed_by")
+            .filter(packed | shipped | delivered))
     if invoice_ids is not None and broadcast_rows > 0 and at_most(ch, broadcast_rows):
+        # Small subset: filter the history against it in the scan tasks
+        # (broadcast semi-join) before anything is shuffled.
+        hist = hist.join(F.broadcast(ch.select("document_id")), "document_id", "left_semi")
         ch = F.broadcast(ch)
-    packed, shipped, delivered = stage_flags(F.col("new_status"))
     at = F.col("changed_at")
-    cells = (t.document_status_history
-             .select("document_id", "new_status", "changed_at", "changed_by")
-             .filter(packed | shipped | delivered)
+    cells = (hist
              .groupBy("document_id", "changed_by").agg(
                  F.min(F.when(packed, at)).alias("packed_at"),
                  F.min(F.when(shipped, at)).alias("shipped_at"),
