@@ -196,7 +196,7 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
                  nest_new_customers: bool = False, dedupe_delivery: bool = False) -> DataFrame:
     """The composite daily report, one row per day of the range.
 
-    Columns: report_date, revenue, invoice_count, collections,
+    Columns: date, revenue, invoice_count, collections,
     new_customer_count, delivered, delivery_total, sites[],
     salesman_by_site[], collections_by_site[], top_products[],
     outstanding{total, by_site[]}, delivery_by_site[] and, with
@@ -272,7 +272,7 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
            .join(top, "report_date", "left")
            .join(delivery, "report_date", "left"))
     cols = [
-        "report_date",
+        F.col("report_date").alias("date"),
         F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
         F.coalesce("invoice_count", F.lit(0).cast("bigint")).alias("invoice_count"),
         F.coalesce("collections", F.lit(0.0)).alias("collections"),
@@ -288,7 +288,7 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     ]
     if nest_new_customers:
         cols.insert(10, F.coalesce("new_customers", F.array()).alias("new_customers"))
-    return out.select(*cols).orderBy("report_date")
+    return out.select(*cols).orderBy("date")
 
 
 def daily_report_for_day(t: Tables, day=None, p: ReportParams = DEFAULT_PARAMS, **kw) -> DataFrame:

@@ -155,7 +155,7 @@ def test_r18_null_revenue_first_and_names_merged(spark):
 def test_r22_composite_empty_day_and_sections(spark):
     t = _ops_star(spark)
     got = rows(daily.daily_report(t, D(2024, 3, 4), DAY))
-    assert [r["report_date"] for r in got] == [D(2024, 3, 4), DAY]
+    assert [r["date"] for r in got] == [D(2024, 3, 4), DAY]
     empty, day = got
     assert empty["revenue"] == 0.0 and empty["delivery_total"] == 0 and empty["sites"] == []
     assert empty["top_products"] == [] and empty["outstanding"]["total"] == 0.0
@@ -169,7 +169,7 @@ def test_r22_batch_equals_single_days(spark):
     vs = [voucher(i, transaction_date=D(2024, 3, 1 + i % 3), party_id=1 + i % 2, site_id=1 if i % 2 else 4,
                   voucher_type_id=1 if i % 4 else 2, total_amount=i) for i in range(1, 13)]
     t = star(spark, vouchers=vs, parties=[party(1), party(2, party_group_id=3)])
-    batch = {r["report_date"]: r for r in rows(daily.daily_report(t, D(2024, 3, 1), D(2024, 3, 3)))}
+    batch = {r["date"]: r for r in rows(daily.daily_report(t, D(2024, 3, 1), D(2024, 3, 3)))}
     for d in (D(2024, 3, 1), D(2024, 3, 2), D(2024, 3, 3)):
         single = rows(daily.daily_report(t, d, d))
         assert single == [batch[d]]
