@@ -29,16 +29,14 @@ HISTORY_STATUS_BY_RETURNFLAG = {"A": "Packed", "N": "in_transit", "R": "Delivere
 SOURCE_TABLES = ("orders", "lineitem", "customer", "nation", "region", "part", "supplier")
 
 
-def _utc_instant(ntz: Column, session_tz: str) -> Column:
+def _utc_instant(ntz: Column) -> Column:
     """A zone-less UTC wall-clock value as an instant.
 
-    Under a UTC session this is a plain cast; otherwise the instant is built
-    from the wall-clock fields with an explicit zone, so the result never
-    depends on ``spark.sql.session.timeZone``.
+    Built from the wall-clock fields with an explicit zone, so the value
+    never depends on ``spark.sql.session.timeZone`` — not even when the zone
+    changes between building and running a plan.
     """
-    if session_tz in ("UTC", "Etc/UTC", "Z", "+00:00", "GMT"):
-        return ntz.cast("timestamp")
-    micros = (F.unix_micros(ntz.cast("timestamp")) % 1_000_000).cast("decimal(8,6)") / 1_000_000
+    micros = F.pmod(F.unix_micros(ntz.cast("timestamp")), F.lit(1_000_000)).cast("decimal(8,6)") / 1_000_000
     secs = (F.second(ntz).cast("decimal(8,6)") + micros).cast("decimal(8,6)")
     return F.make_timestamp(F.year(ntz), F.month(ntz), F.dayofmonth(ntz), F.hour(ntz), F.minute(ntz),
                             secs, F.lit("UTC"))
@@ -68,7 +66,6 @@ def read_source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def star_from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
     src = read_source(spark, sf_dir)
-    tz = spark.conf.get("spark.sql.session.timeZone")
     o, li, c = src["orders"], src["lineitem"], src["customer"]
 
     money = F.col("o_totalprice").cast("decimal(18,2)")
@@ -81,7 +78,7 @@ def star_from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
         F.col("o_custkey").alias("party_id"),
         (k % 5).cast("int").alias("site_id"),
         F.to_date(F.col("o_orderdate")).alias("transaction_date"),
-        _plus_minutes(_utc_instant(F.col("o_orderdate"), tz), k % 1440).alias("created_at"),
+        _plus_minutes(_utc_instant(F.col("o_orderdate")), k % 1440).alias("created_at"),
         money.alias("total_amount"),
         F.when(F.col("o_orderstatus") == "O", money)
          .when(F.col("o_orderstatus") == "P", (money - PARTIAL_PAYMENT_OFFSET).cast("decimal(18,2)"))
@@ -105,7 +102,7 @@ def star_from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
             F.when(ck % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("c_nationkey").cast("string")).alias("geo_location"),
             _case(F.col("c_mktsegment"), [(n, i) for i, n in PARTY_GROUP_ROWS]).cast("int").alias("party_group_id"),
             F.when(ck % 7 == 0, F.lit(None)).otherwise(ck % 10).cast("bigint").alias("responsible_party_id"),
-            _plus_minutes(_utc_instant(F.col("first_order"), tz), ck % 1440).alias("created_at"),
+            _plus_minutes(_utc_instant(F.col("first_order")), ck % 1440).alias("created_at"),
         )
     )
 
@@ -113,7 +110,7 @@ def star_from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
     history = li.select(
         doc_id("document_id"),
         _case(F.col("l_returnflag"), HISTORY_STATUS_BY_RETURNFLAG.items()).alias("new_status"),
-        _plus_minutes(_utc_instant(F.col("l_shipdate"), tz), F.col("l_suppkey") % 1440).alias("changed_at"),
+        _plus_minutes(_utc_instant(F.col("l_shipdate")), F.col("l_suppkey") % 1440).alias("changed_at"),
         F.col("l_suppkey").alias("changed_by"),
     )
     # (l_orderkey, l_linenumber) repeats; one challan per distinct id. The

@@ -142,3 +142,20 @@ def test_followup_window_runs_over_daily_aggregate(spark):
 def test_top_products_limits_before_exchange(spark):
     plan = registry.QUERIES["r18_top_products"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_results_do_not_depend_on_session_zone(spark, duck):
+    from ledgerlens.sources.tpch import star_from_tpch
+    names = ["r09_followup_customers", "r11_delivery_board", "r11a_milestones", "r17_new_customers"]
+    t = star_from_tpch(spark, SF)  # built under UTC ...
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # ... run elsewhere
+    try:
+        for name in names:
+            df = registry.REPORTS[name](t)
+            rel = duck.sql(registry.ORACLE_SQL[name])
+            cols = sorted(df.columns)
+            got = _canon([tuple(r) for r in df.collect()], cols, df.columns)
+            assert got == _canon(rel.fetchall(), cols, rel.columns), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
