@@ -23,9 +23,12 @@ def delivery_board(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int
     shown normalised; ``current_status_since`` is the time of the latest
     known milestone not after the current status.
 
-    Plan: the recent-invoice filter is pushed into the voucher scan; only
-    challans (and so history events) of those invoices enter the milestone
-    aggregate, which is then left-joined by invoice id.
+    Plan: the recent-invoice filter is pushed into the voucher scan; when
+    that subset is checked to be small it is broadcast into the customer
+    scan and the representative lookup is narrowed to the representatives
+    it needs (no shuffle of the customer table). Only challans (and so
+    history events) of those invoices enter the milestone aggregate, which
+    is then left-joined by invoice id.
     Sorted by stage rank (pending/unknown 0, packed 1, shipped 2,
     delivered 3), date descending, voucher number.
     """
@@ -36,9 +39,17 @@ def delivery_board(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int
     recent = B.sales_invoices(t, p, extra=(F.col("transaction_date") >= F.date_sub(today, days)) & open_or_today)
     cust = (B.customers(t, F.col("name").alias("party_name"), "party_group_id", "responsible_party_id")
             .filter(F.col("party_group_id") != F.lit(p.excluded_group_id)))
-    v = (recent.join(cust, "party_id")
-         .join(B.site_names(t), "site_id")
-         .join(B.rep_names(t, "salesperson_name"), "responsible_party_id", "left"))
+    reps = B.rep_names(t, "salesperson_name")
+    if B.at_most(recent, B.SUBSET_BROADCAST_ROWS):
+        # Checked-small invoice subset: broadcast it into the customer scan,
+        # and narrow the representative lookup to the representatives those
+        # customers name, so the customer table is never shuffled.
+        v = F.broadcast(recent).join(cust, "party_id")
+        rep_ids = v.select("responsible_party_id").distinct()
+        reps = reps.join(F.broadcast(rep_ids), "responsible_party_id", "left_semi")
+    else:
+        v = recent.join(cust, "party_id")
+    v = v.join(B.site_names(t), "site_id").join(reps, "responsible_party_id", "left")
     ms = B.milestones(t, recent.select("id"))
     v = v.join(ms, F.col("id") == F.col("voucher_id"), "left")
 

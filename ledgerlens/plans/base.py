@@ -86,14 +86,15 @@ def _first_actor(has_stage: str, at: str) -> Column:
     return F.min_by(F.col("full_name"), F.when(F.col(has_stage) & F.col("_user_found"), order))
 
 
-def challans_of(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
+def challans_of(t: Tables, invoice_ids: DataFrame | None = None, broadcast_ids: bool = False) -> DataFrame:
     """(document_id, voucher_id) of every challan, optionally only for the
-    invoices in ``invoice_ids`` (a one-column frame of voucher ids)."""
+    invoices in ``invoice_ids`` (a one-column frame of voucher ids; pass
+    ``broadcast_ids`` only for a frame checked to be small)."""
     ch = t.delivery_challans.select(F.col("id").alias("document_id"),
                                     F.col("related_invoice_voucher_id").alias("voucher_id"))
     if invoice_ids is not None:
         ids = invoice_ids.select(F.col(invoice_ids.columns[0]).alias("voucher_id"))
-        ch = ch.join(ids, "voucher_id", "left_semi")
+        ch = ch.join(F.broadcast(ids) if broadcast_ids else ids, "voucher_id", "left_semi")
     return ch
 
 
@@ -119,21 +120,24 @@ def status_events(t: Tables, invoice_ids: DataFrame | None = None,
     in the scan tasks instead of skewing the join. Events outside the
     packed / shipped / delivered stages are dropped at the scan.
 
-    ``invoice_ids`` restricts the challans before the join. When that
-    restricted challan set is checked to hold at most ``broadcast_rows`` rows
-    it is broadcast: the history is semi-joined against it in the scan tasks
-    before the cells are built, and the join is evaluated map-side; above
-    the bound it stays a shuffle join (AQE may still pick a broadcast).
+    ``invoice_ids`` restricts the challans before the join. When the ids and
+    then the restricted challan set are each checked to hold at most
+    ``broadcast_rows`` rows, both are broadcast: the challan scan is filtered
+    against the ids and the history against the challans in their scan
+    tasks, before the cells are built; above the bound these stay shuffle
+    joins (AQE may still pick a broadcast).
     ``broadcast_rows=0`` skips the check (for subsets known to be large).
     Milestones and delivery agents read the same frame, so a report needing
     both scans the history once.
     """
-    ch = challans_of(t, invoice_ids)
+    checked = invoice_ids is not None and broadcast_rows > 0
+    small_ids = checked and at_most(invoice_ids, broadcast_rows)
+    ch = challans_of(t, invoice_ids, broadcast_ids=small_ids)
     packed, shipped, delivered = stage_flags(F.col("new_status"))
     hist = (t.document_status_history
             .select("document_id", "new_status", "changed_at", "changed_by")
             .filter(packed | shipped | delivered))
-    if invoice_ids is not None and broadcast_rows > 0 and at_most(ch, broadcast_rows):
+    if small_ids and at_most(ch, broadcast_rows):
         # Small subset: filter the history against it in the scan tasks
         # (broadcast semi-join) before anything is shuffled.
         hist = hist.join(F.broadcast(ch.select("document_id")), "document_id", "left_semi")

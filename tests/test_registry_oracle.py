@@ -80,6 +80,18 @@ def test_board_reads_history_once(spark, tmp_path):
         spark.conf.set("spark.sql.maxMetadataStringLength", old)
     scans = re.findall(r"FileScan parquet[^\n]*document_status_history", plan)
     assert len(scans) == 1
+    # With size-based broadcasting off, only the checked subset broadcasts
+    # remain: neither the customer table nor the challans are shuffled.
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        strict = delivery.delivery_board(t, registry.AS_OF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert "Exchange hashpartitioning(party_id" not in strict
+    assert "Exchange hashpartitioning(related_invoice_voucher_id" not in strict
+    # the history is only exchanged as pre-aggregated (challan, user) cells
+    assert not re.search(r"hashpartitioning\(document_id#\d+L?, \d+\)", strict)
     # the date filter of the board reaches the voucher scan
     assert re.search(r"FileScan parquet[^\n]*vouchers[^\n]*PushedFilters: \[[^\]]*transaction_date", plan)
 
