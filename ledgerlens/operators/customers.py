@@ -127,7 +127,8 @@ def customer_locations(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days:
     location and phone. Unlike R7 / R9 no customer group is excluded.
 
     Plan: invoices are aggregated per (customer, site) first; customer and
-    site attributes are then looked up on that aggregate.
+    site attributes are then looked up on that aggregate, which is
+    broadcast into the customer scan when checked small.
     Columns: party_id, customer_name, site_id, branch, geo_location, phone,
     last_order_date, orders_last_30d, revenue_last_30d.
     """
@@ -137,6 +138,8 @@ def customer_locations(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days:
         F.count(F.lit(1)).alias("orders_last_30d"), F.sum("total_amount").alias("_rev"))
     cust = (B.customers(t, F.col("name").alias("customer_name"), "geo_location", "phone")
             .filter(~F.col("customer_name").ilike(p.exclude_name_like)))
+    # A 30-day aggregate: broadcast into the customer scan when checked small.
+    agg, _ = B.broadcast_if_small(agg)
     rows = agg.join(cust, "party_id").join(B.site_names(t, "site_id", "branch"), "site_id")
     return (rows.orderBy(F.col("_rev").desc_nulls_first(), "party_id", "site_id")
             .select("party_id", "customer_name", "site_id", "branch",

@@ -40,15 +40,14 @@ def delivery_board(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int
     cust = (B.customers(t, F.col("name").alias("party_name"), "party_group_id", "responsible_party_id")
             .filter(F.col("party_group_id") != F.lit(p.excluded_group_id)))
     reps = B.rep_names(t, "salesperson_name")
-    if B.at_most(recent, B.SUBSET_BROADCAST_ROWS):
-        # Checked-small invoice subset: broadcast it into the customer scan,
-        # and narrow the representative lookup to the representatives those
+    side, small = B.broadcast_if_small(recent)
+    v = side.join(cust, "party_id")
+    if small:
+        # Checked-small invoice subset, broadcast into the customer scan;
+        # narrow the representative lookup to the representatives those
         # customers name, so the customer table is never shuffled.
-        v = F.broadcast(recent).join(cust, "party_id")
         rep_ids = v.select("responsible_party_id").distinct()
         reps = reps.join(F.broadcast(rep_ids), "responsible_party_id", "left_semi")
-    else:
-        v = recent.join(cust, "party_id")
     v = v.join(B.site_names(t), "site_id").join(reps, "responsible_party_id", "left")
     ms = B.milestones(t, recent.select("id"))
     v = v.join(ms, F.col("id") == F.col("voucher_id"), "left")

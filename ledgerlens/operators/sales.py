@@ -94,6 +94,9 @@ def sales_by_group(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFr
     # collapsed map-side before any shuffle.
     per_party = _two_day_invoices(t, as_of, p).groupBy("transaction_date", "site_id", "party_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("total_amount").alias("_amt"))
+    # Two days of customer totals: broadcast into the customer scan when
+    # checked small, so the customer table is not shuffled.
+    per_party, _ = B.broadcast_if_small(per_party)
     v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
          .join(B.group_names(t), "party_group_id", "left"))
     agg = v.groupBy("transaction_date", "site_id", "group_name").agg(

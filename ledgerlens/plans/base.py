@@ -108,6 +108,15 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def broadcast_if_small(df: DataFrame, n: int = SUBSET_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``(broadcast(df), True)`` when ``df`` is checked to hold at most ``n``
+    rows, else ``(df, False)``. Meant for date-windowed subsets (a pruned
+    scan is cheap to count) joined to a large table that should then be
+    scanned, not shuffled."""
+    small = at_most(df, n)
+    return (F.broadcast(df) if small else df), small
+
+
 def status_events(t: Tables, invoice_ids: DataFrame | None = None,
                   broadcast_rows: int = SUBSET_BROADCAST_ROWS) -> DataFrame:
     """Per (challan, user) stage cells of the status history, joined to the
