@@ -61,6 +61,17 @@ def _cells_of(t, from_date, to_date, p, cells, code):
     return cells.filter(F.col("type_code") == code)
 
 
+def _bounded(from_date, to_date) -> bool:
+    return from_date is not None and to_date is not None
+
+
+def _small_side(df: DataFrame, from_date, to_date) -> DataFrame:
+    """For a bounded day range (typically one day), broadcast ``df`` into the
+    join with a large table when it is checked to be small; open ranges span
+    the whole history and keep shuffle joins."""
+    return B.broadcast_if_small(df)[0] if _bounded(from_date, to_date) else df
+
+
 def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
                cells: DataFrame | None = None) -> DataFrame:
     """Per day, invoice revenue and count, receipt collections and count
@@ -83,7 +94,7 @@ def _site_group_agg(t: Tables, p: ReportParams, from_date, to_date, cells: DataF
     # Per (day, site, customer) invoice cells: the customer lookup joins one
     # row per customer and day, and a dominant customer is combined
     # map-side instead of skewing the join.
-    per_party = _cells_of(t, from_date, to_date, p, cells, p.invoice_code)
+    per_party = _small_side(_cells_of(t, from_date, to_date, p, cells, p.invoice_code), from_date, to_date)
     v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
          .join(B.group_names(t), "party_group_id", "left")
          .join(B.site_names(t), "site_id"))
@@ -143,8 +154,8 @@ def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams =
     Columns: report_date, site_id, site_name, salesperson, revenue."""
     cust = (B.customers(t, "party_group_id", "responsible_party_id")
             .filter(~F.coalesce(F.col("party_group_id"), F.lit(0)).isin(*p.salesman_excluded_group_ids)))
-    per_party = _cells_of(t, from_date, to_date, p, cells, p.invoice_code).select(
-        "report_date", "site_id", "party_id", F.col("_amt").alias("_rev"))
+    per_party = _small_side(_cells_of(t, from_date, to_date, p, cells, p.invoice_code).select(
+        "report_date", "site_id", "party_id", F.col("_amt").alias("_rev")), from_date, to_date)
     per_rep = (per_party.join(cust, "party_id")
                .groupBy("report_date", "site_id", "responsible_party_id")
                .agg(F.sum("_rev").alias("_rev")))
@@ -178,7 +189,8 @@ def top_products(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     aggregate and merged per name; a ``row_number`` window limited to ``k``
     (planned as a group limit before the exchange) ranks each day.
     Columns: report_date, rank, name, units, revenue."""
-    inv = _invoices(t, p, from_date, to_date).select(F.col("id").alias("voucher_id"), "report_date")
+    inv = _small_side(_invoices(t, p, from_date, to_date).select(F.col("id").alias("voucher_id"), "report_date"),
+                      from_date, to_date)
     per_item = (t.voucher_items.join(inv, "voucher_id")
                 .groupBy("report_date", "item_id")
                 .agg(F.sum("quantity").alias("_units"), F.sum("total_amount").alias("_rev")))
