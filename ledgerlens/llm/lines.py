@@ -10,9 +10,11 @@ Only DataFrame functions are used. The plan:
 2. Equal lines: one aggregation finds the first occurrence of every hash.
 3. Two lines within one edit have the same first or the same last half (up to
    rounding). Lines that share neither with another line cannot have a
-   partner and stop here; that is a count per key, not a join of lines.
+   partner and stop here; that is a count per key, not a join of lines. The
+   same is done once more with the words of the rest: all but one quarter
+   must agree, which also tells in which quarter the edit lies.
 4. The others emit their deletion neighbourhood: the line itself and the line
-   without its i-th word, as hashed keys. Lines with one key in common are
+   without its i-th word, for the places in such a quarter, as hashed keys. Lines with one key in common are
    within one edit when both lack the same position or one lacks none. The
    earliest line of each key is found by aggregation, so a key that thousands
    of lines share costs a row per line, never a pair per pair.
@@ -43,8 +45,15 @@ _HASH = ["h1", "h2"]
 _PLACE = ["id", "rid", "pos"]
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _clean(line: Column) -> Column:
+    """The words of a line with one blank between; most lines are so already,
+    and only the others are taken apart by a pattern."""
+    plain = F.trim(line)
+    odd = F.lit(False)
+    for x in ("\t", "\r", "\x0b", "\x0c", "  "):
+        odd = odd | F.contains(plain, F.lit(x))
+    words = F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(odd, F.array_join(words, " ")).otherwise(plain)
 
 
 def _half(n: Column) -> Column:
@@ -52,24 +61,24 @@ def _half(n: Column) -> Column:
     return (F.floor(n / 8) * 4).cast("int")
 
 
-def _keys(words: Column, n: Column) -> Column:
-    """Hashes of the start and of the end, for partners of n or n - 1 words (the
-    same keys unless n is a multiple of 8)."""
+def _keys(line: Column, n: Column) -> Column:
+    """Hashes of the start and of the end of a clean line, for partners of n or
+    n - 1 words (the same keys unless n is a multiple of 8)."""
     def pair(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(1), m, F.slice(words, F.lit(1), m)),
-                F.xxhash64(F.lit(2), m, F.slice(words, n - m + 1, m))]
+        part = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
+        return [F.xxhash64(F.lit(1), m, part(m)), F.xxhash64(F.lit(2), m, part(-m))]
 
-    return F.array_distinct(F.array(*pair(_half(n)), *pair(_half(n - 1))))
+    return F.when(n % 8 == 0, F.array(*pair(_half(n)), *pair(_half(n - 1)))).otherwise(F.array(*pair(_half(n))))
 
 
 def _lines(docs: DataFrame, near_words: int) -> DataFrame:
-    """id, rid, pos, h1, h2, keys (empty for short lines) of every line with a word."""
+    """id, rid, pos, h1, h2, keys (null for short lines) of every line with a word."""
     lines = docs.select("id", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("id", "rid", "pos", _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
-    n = F.size("words")
+    lines = lines.select("id", "rid", "pos", _clean(F.col("line")).alias("line")).filter("line <> ''")
+    lines = lines.withColumn("n", F.size(F.split("line", " ")))
     return lines.select(
-        "id", "rid", "pos", F.xxhash64("words").alias("h1"), F.hash(F.lit(7), F.col("words")).alias("h2"),
-        F.when(n >= near_words, _keys(F.col("words"), n)).alias("keys"))
+        "id", "rid", "pos", F.xxhash64("line").alias("h1"), F.hash(F.lit(7), F.col("line")).alias("h2"),
+        F.when(F.col("n") >= near_words, _keys(F.col("line"), F.col("n"))).alias("keys"))
 
 
 def _first() -> Column:
@@ -86,15 +95,44 @@ def _place_sums(seed: int, back: int) -> Column:
     return F.transform("words", lambda w, i: _place_sum(i - back, w, seed))
 
 
+def _quarters(words: DataFrame) -> DataFrame:
+    """h1, h2, begin, end, key: a line's key without one of its quarters, which
+    are the words from begin to before end. Partners of n or n - 1 words have
+    the same length of a quarter unless n is a multiple of 4."""
+    n = F.size("words")
+
+    def parts(size: Column) -> list[Column]:
+        out = []
+        for s in range(4):
+            before, after = size * s, size * (3 - s)
+            key = F.xxhash64(F.lit(s), size, F.slice("words", F.lit(1), before), F.slice("words", n - after + 1, after))
+            out.append(F.struct(before.alias("begin"), (n - after).alias("end"), key.alias("key")))
+        return out
+
+    size = lambda m: F.floor(m / 4).cast("int")
+    each = F.when(n % 4 == 0, F.array(*parts(size(n)), *parts(size(n - 1)))).otherwise(F.array(*parts(size(n))))
+    return words.select(*_HASH, F.explode(each).alias("q")).select(*_HASH, "q.*")
+
+
+def _with_quarters(words: DataFrame) -> DataFrame:
+    """The lines that agree with another in all but a quarter, with those quarters."""
+    quarters = _quarters(words)
+    shared = stored(quarters.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key"), "lines-quarters")
+    places = quarters.join(shared, "key", "left_semi").groupBy(*_HASH).agg(F.collect_set(F.struct("begin", "end")).alias("quarters"))
+    return words.join(stored(places, "lines-places"), _HASH)
+
+
 def _deletions(lines: DataFrame) -> DataFrame:
     """One row per deletion key: left (words left), a and b (sums over the
-    remaining words at their new places), at (place deleted, -1: none)."""
+    remaining words at their new places), at (place deleted, -1: none). Places
+    outside the line's ``quarters`` are left out."""
     carried = [*_HASH, "first"]
+    wanted = lambda at: F.exists("quarters", lambda q: (at >= q["begin"]) & (at < q["end"]))
     total = lambda arr: F.aggregate(arr, F.lit(0).cast("long"), lambda s, x: s + x)
     out = []
     for seed, name in ((11, "a"), (13, "b")):
         out += [_place_sums(seed, 0).alias(f"{name}_here"), _place_sums(seed, 1).alias(f"{name}_moved")]
-    arrays = lines.filter(F.size("words") <= ARRAY_WORDS).select(*carried, F.size("words").alias("n"), *out)
+    arrays = lines.filter(F.size("words") <= ARRAY_WORDS).select(*carried, "quarters", F.size("words").alias("n"), *out)
 
     def running(name: str) -> Column:
         """Element i: the sum without word i. Each differs from the one before by two terms."""
@@ -105,19 +143,20 @@ def _deletions(lines: DataFrame) -> DataFrame:
     own = F.struct(F.col("n").alias("left"), total(F.col("a_here")).alias("a"), total(F.col("b_here")).alias("b"), F.lit(-1).alias("at"))
     gone = F.transform(F.arrays_zip(running("a").alias("x"), running("b").alias("y")),
                        lambda z, i: F.struct((F.col("n") - 1).alias("left"), z["x"].alias("a"), z["y"].alias("b"), i.alias("at")))
+    gone = F.filter(gone, lambda z: wanted(z["at"]))
     short = arrays.select(*carried, F.explode(F.concat(F.array(own), gone)).alias("k")).select(*carried, "k.*")
 
-    words = lines.filter(F.size("words") > ARRAY_WORDS).select(*carried, F.size("words").alias("n"), F.posexplode("words").alias("at", "w"))
+    words = lines.filter(F.size("words") > ARRAY_WORDS).select(*carried, "quarters", F.size("words").alias("n"), F.posexplode("words").alias("at", "w"))
     line = W.partitionBy(*_HASH)
     before = line.orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     after = line.orderBy("at").rowsBetween(1, W.unboundedFollowing)
-    sums = words.select(*carried, "n", "at", *(
+    sums = words.select(*carried, "quarters", "n", "at", *(
         (F.coalesce(F.sum(_place_sum(F.col("at"), F.col("w"), seed)).over(before), F.lit(0))
          + F.coalesce(F.sum(_place_sum(F.col("at") - 1, F.col("w"), seed)).over(after), F.lit(0))).alias(name)
         for seed, name in ((11, "a"), (13, "b"))))
     whole = words.groupBy(*_HASH, "n").agg(F.first("first").alias("first"), *(
         F.sum(_place_sum(F.col("at"), F.col("w"), seed)).alias(name) for seed, name in ((11, "a"), (13, "b"))))
-    long = sums.select(*carried, (F.col("n") - 1).alias("left"), "a", "b", "at").unionByName(
+    long = sums.filter(wanted(F.col("at"))).select(*carried, (F.col("n") - 1).alias("left"), "a", "b", "at").unionByName(
         whole.select(*carried, F.col("n").alias("left"), "a", "b", F.lit(-1).alias("at")))
     return short.unionByName(long)
 
@@ -146,8 +185,9 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     texts = one_each.withColumn("lines", F.split("text", "\n")).select(F.explode(F.transform(
         "wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["first"].alias("first"),
                                      F.element_at("lines", w["first"]["pos"] + 1).alias("line")))).alias("x")).select("x.*")
-    texts = stored(texts.dropDuplicates(_HASH).withColumn("words", _words(F.col("line"))).drop("line"), "lines-words")
+    texts = stored(texts.dropDuplicates(_HASH).withColumn("words", F.split(_clean(F.col("line")), " ")).drop("line"), "lines-words")
 
+    texts = stored(_with_quarters(texts), "lines-candidates")
     keys = stored(_deletions(texts), "lines-deletions")
     same = ["left", "a", "b"]
     by_place = keys.groupBy(*same, "at").agg(_first_of(), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("at") >= 0))
