@@ -2,8 +2,8 @@
 
 Each round is two aggregations with a join on node ids. A hub's links are
 pre-aggregated to a minimum in every task, and its rows may be split by the
-join, so a node of any degree is fine. Only a count and a checksum of the
-links reach the driver.
+join, so a node of any degree is fine. Nothing of the links reaches the
+driver but whether they are settled.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import stored
 
-_MAX_ROUNDS = 60
+_MAX_ROUNDS = 100
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -35,16 +35,22 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (from greater to lesser) are stars already: no node has
+    two, and no centre is a leaf of another."""
+    ends = links.select("a", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(
+        links.select(F.col("b").alias("a"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    sums = ends.groupBy("a").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return not sums.filter("leaf > 1 OR (leaf > 0 AND centre > 0)").take(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (columns a, b: longs); the root is
     the least node id of the component."""
-    links = stored(links.filter("a <> b").select("a", "b").distinct(), "links")
-    before = None
+    links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(_MAX_ROUNDS):
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
         links = stored(_star(stored(_star(links, True), "links-large"), False), "links-small")
+        if _settled(links):
+            break
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -6,16 +6,17 @@
 2. Texts with equal sets form one class (an aggregation by digest).
 3. Classes that share a band key are candidates. Their similarity is estimated
    from the packed bits by bit counts, corrected for chance collisions.
-   Candidates well below the threshold (``MARGIN``, about five standard
+   Candidates well below the threshold (``MARGIN``, about four standard
    deviations) go; the others are confirmed on the full shingle sets.
 4. Confirmed links give components.
 
 A band key that thousands of classes share is never expanded into all pairs.
-Star rounds come first: per band key the members outside the key's largest
-component are compared with one member of that component. Then come all
-remaining candidate pairs between different components (every such pair has a
-member outside the largest component of its key). A pair inside one component
-cannot change the result and is not confirmed.
+A star round comes first: every key has a leader, taken at random by a hash,
+and every class is compared with the three likeliest leaders of its keys.
+Then come all remaining candidate pairs between different components (every
+such pair has a member outside the largest component of its key); sizes and
+bits are compared within the join, which returns likely pairs only. A pair
+inside one component cannot change the result and is not confirmed.
 
 A pair of similarity 0.8 shares no band key with probability 0.59 ** 24, about
 3 in a million. Null and empty texts, and texts without words, have an empty
@@ -40,8 +41,8 @@ from ledgerlens.llm.components import components
 
 BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
-MARGIN = 0.2
-STAR_ROUNDS = 2
+MARGIN = 0.17
+LEADERS = 3
 _WORDS_KEPT = 400_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLIERS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,51 +131,63 @@ def estimate(a: str, b: str) -> Column:
     return ((1 - differing / HASHES) - chance) / (1 - chance)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b, estimate of the pairs that may reach the threshold."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    return (both.filter(100 * small >= round(100 * threshold) * large)
-            .select("a", "b", estimate("a_bits", "b_bits").alias("estimate")).filter(F.col("estimate") >= threshold - MARGIN))
+def _likely(a: str, b: str, threshold: float) -> Column:
+    """Whether sizes and bits of two sides allow the threshold."""
+    small, large = F.least(f"{a}size", f"{b}size"), F.greatest(f"{a}size", f"{b}size")
+    return (100 * small >= round(100 * threshold) * large) & (estimate(f"{a}bits", f"{b}bits") >= threshold - MARGIN)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
-    side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"{x}_text"))
+def _first_common(a: str, b: str) -> Column:
+    """The first band key that two key arrays share."""
+    out = F.lit(None).cast("long")
+    for i in reversed(range(BANDS)):
+        out = F.when(F.col(a)[i] == F.col(b)[i], F.col(a)[i]).otherwise(out)
+    return out
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """cid, shingles (the sorted hashes as bytes) of cid, text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, width, hashes).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid long, shingles binary")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, left = WordHashes(), None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, left = a[i], shingle_set(ta[i], width, hashes)
-                right = shingle_set(tb[i], width, hashes)
-                common = len(np.intersect1d(left, right, assume_unique=True))
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                left, right = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+                common = int((right[at] == left).sum())
                 ok[i] = 100 * common >= percent * (len(left) + len(right) - common)
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
-    # the smaller shuffle first: each pair takes one text along, then the other
-    rows = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"{x}_set"))
+    rows = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_set", "b_set")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, dict[str, str]]:
-    """``df``'s rows (without their texts) with the size of the shingle set, the
-    component (its smallest id), and ``first``: the one row of the component
-    that stays (smallest id; among rows that share it the least row hash).
+    """``df``'s ids with the size of the shingle set and the component (its
+    smallest id) of every row.
 
     Returns the frame and the names given to its new columns: size, component,
-    first, and rid, which identifies a row by id and text.
+    root (names the component also where ids are null; null for empty sets),
+    and rid, which identifies a row by id and text.
     """
-    names = {c: fresh(df, f"near_{c}") for c in ("rid", "size", "component", "first")}
+    names = {c: fresh(df, f"near_{c}") for c in ("rid", "size", "component", "root")}
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("id", "text"))
     signatures = stored(_signatures(docs, width), "near-signatures")
     classes = stored(signatures.filter("size > 0").groupBy("cid").agg(
@@ -182,48 +195,58 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.first("keys").alias("keys"), F.first("bits").alias("bits")), "near-classes")
 
     banded = classes.select("cid", F.explode("keys").alias("key"))
-    shared = stored(banded.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("key"), "near-keys")
-    members = stored(banded.join(shared, "key", "left_semi"), "near-members")
-    active = stored(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "rid", "size", "bits"), "near-active")
-    texts = docs.select("rid", "text").join(active.select("rid", "cid"), "rid")
-    texts = stored(texts.dropDuplicates(["cid"]).select("cid", "text"), "near-texts")  # identical rows share a rid
-
-    links = roots = None
-    for step in range(STAR_ROUNDS + 1):
-        placed = members.withColumn("root", F.col("cid")) if roots is None else (
-            members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
-        placed = stored(placed, "near-placed")
-        groups = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cid", "key").alias("h"), "cid")).alias("one"))
-        groups = stored(groups.select("key", "root", "n", F.col("one.cid").alias("cid")), "near-groups")
-        largest = (groups.groupBy("key").agg(F.max(F.struct("n", "root", "cid")).alias("top"), F.count("*").alias("n"))
-                   .filter("n > 1").select("key", F.col("top.root").alias("top_root"), F.col("top.cid").alias("top_cid")))
-        largest = stored(largest, "near-largest")
-        if step < STAR_ROUNDS:
-            star = groups.join(largest, "key").filter("root <> top_root").select(
-                *_ordered("cid", "top_cid"), F.col("root").alias("mine"))
-            star = star.groupBy("a", "b").agg(F.min("mine").alias("mine"))
-            likely = _likely(star, active, threshold)
-            best = star.join(likely, ["a", "b"]).groupBy("mine").agg(F.max(F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-            pairs = stored(best, "near-pairs")
-        else:
-            inside = placed.join(largest, "key").select("key", "cid", "root", "top_root")
-            outside = inside.filter("root <> top_root").select("key", F.col("cid").alias("other"), F.col("root").alias("other_root"))
-            inside = stored(inside.select("key", "cid", "root"), "near-inside")
-            cross = inside.join(stored(outside, "near-outside"), "key").filter("root <> other_root").select(*_ordered("cid", "other"))
-            pairs = stored(_likely(cross.distinct(), active, threshold).select("a", "b"), "near-cross")
-        found = _confirm(pairs, texts, width, threshold)
-        links = stored(found if links is None else links.unionByName(found), "near-links")
-        roots = stored(components(links), "near-roots")
-
-    lowest = classes.select("cid", "id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = stored(lowest, "near-rooted")
-    least = stored(lowest.groupBy("root").agg(F.min("id").alias("component")), "near-least")
-    placed = stored(lowest.join(least, "root").select("cid", "component", "root"), "near-components")
+    shared = banded.groupBy("key").agg(F.min_by("cid", F.xxhash64("cid", "key")).alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    members = stored(banded.join(stored(shared.select("key", "leader"), "near-keys"), "key"), "near-members")
+    active = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    active = stored(active.select("cid", "rid", "size", "keys", "bits"), "near-active")
+    texts = docs.select("rid", "text").join(active.select("rid", "cid"), "rid").dropDuplicates(["cid"])  # identical rows share a rid
+    sets = stored(_sets(texts, width), "near-sets")
+
+    # the star round: every class with the likeliest leaders of its keys
+    star = members.filter("cid <> leader").select(F.col("cid").alias("a_cid"), F.col("leader").alias("b_cid")).distinct()
+    star = star.join(_prefixed(active, "a_"), "a_cid").join(_prefixed(active, "b_"), "b_cid").filter(_likely("a_", "b_", threshold))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(estimate("a_bits", "b_bits").alias("e"), F.col("b_cid").alias("b"))), False), 1, LEADERS)
+    star = star.groupBy(F.col("a_cid").alias("a")).agg(best.alias("x")).select("a", F.explode("x.b").alias("b"))
+    links = stored(_confirm(stored(star, "near-star"), sets, threshold), "near-links")
+    roots = stored(components(links), "near-roots").withColumnRenamed("node", "cid")
+
+    # what the star round left apart: per key all members outside its largest
+    # component; a pair that shares several keys is taken at the first of them
+    placed = stored(members.select("cid", "key").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "near-placed")
+    largest = (placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+               .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+               .select("key", F.col("top.root").alias("top")))
+    split = placed.join(stored(largest, "near-largest"), "key").join(active, "cid")
+    split = stored(split.select("key", "cid", "root", "top", "size", "keys", "bits"), "near-split")
+    outside = split.filter("root <> top")
+    # of two members outside the largest component each would meet the other: the lesser id looks
+    cross = _prefixed(split, "a_").join(_prefixed(outside, "b_"), (
+        (F.col("a_key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root"))
+        & ((F.col("a_root") == F.col("a_top")) | (F.col("a_cid") < F.col("b_cid")))
+        & _likely("a_", "b_", threshold) & (_first_common("a_keys", "b_keys") == F.col("a_key"))))
+    cross = stored(cross.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), "near-cross")
+    links = stored(links.unionByName(_confirm(cross, sets, threshold)), "near-all-links")
+    roots = stored(components(links), "near-all-roots").withColumnRenamed("node", "cid")
+
+    least = stored(roots.join(classes.select("cid", "id"), "cid").groupBy("root").agg(F.min("id").alias("component")), "near-least")
+    linked = roots.join(least, "root").select("cid", "component", "root")
+    placed = stored(classes.select("cid", "id").join(linked, "cid", "left")
+                    .select("cid", F.coalesce("component", "id").alias("component"), F.coalesce("root", "cid").alias("root")), "near-components")
     rows = signatures.select("id", "rid", "size", "cid").join(placed, "cid", "left")
-    rows = rows.withColumn("component", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")))
-    rows = stored(rows, "near-rows")
-    stays = stored(rows.filter("size > 0").groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("id"), F.lit(2**63 - 1)).alias("i"), "rid")).alias("stay"))
-                   .select("root", F.col("stay.rid").alias("stay")), "near-stays")
-    rows = rows.join(stays, "root", "left").withColumn("first", F.when(F.col("size") > 0, F.col("rid") == F.col("stay")).otherwise(F.lit(True)))
     return rows.select(F.col("id").alias(id_col), F.col("rid").alias(names["rid"]), F.col("size").alias(names["size"]),
-                       F.col("component").alias(names["component"]), F.col("first").alias(names["first"])), names
+                       F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias(names["component"]),
+                       F.col("root").alias(names["root"])), names
+
+
+def without_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``df`` with one row of each group of near duplicates (that of the smallest
+    id); of rows with the same id and text one stays."""
+    rows, names = near_duplicates(df, id_col, text_col, width, threshold)
+    rid = fresh(df, "near_row")
+    rows = stored(rows, "near-rows")
+    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(names["rid"]).alias("rid"))
+    of_groups = rows.filter(F.col(names["size"]) > 0).groupBy(names["root"]).agg(F.min(key).alias("stay")).select("stay.rid")
+    alone = rows.filter(F.col(names["size"]) == 0).select(F.col(names["rid"]).alias("rid")).distinct()
+    stay = stored(of_groups.unionByName(alone).withColumnRenamed("rid", rid), "near-stay")
+    marked = df.withColumn(rid, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    return marked.join(stay, rid, "left_semi").dropDuplicates([rid]).drop(rid)
