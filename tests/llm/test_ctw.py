@@ -1,0 +1,117 @@
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from fixtures import docs, prose
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import ctw
+from ledgerlens.llm.queries import op9_context_tree
+
+
+class SlowTree:
+    """Context-tree weighting by its definition, one decision at a time."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.children = depth, defaultdict(lambda: [0, 0]), defaultdict(set)
+        for t in texts:
+            for context, decisions in self.steps(t):
+                for d in range(depth + 1):
+                    own = context[len(context) - d:]
+                    if d:
+                        self.children[own[1:]].add(own)
+                    for node, bit in decisions:
+                        self.counts[own, node][bit] += 1
+        self.memo = {}
+
+    def steps(self, text):
+        raw = b"\xff" * self.depth + text.encode() + b"\xff"
+        for i in range(self.depth, len(raw)):
+            yield raw[i - self.depth:i], [((256 | raw[i]) >> (8 - k), (raw[i] >> (7 - k)) & 1) for k in range(8)]
+
+    def log_kt(self, own, node):
+        a, b = self.counts.get((own, node), (0, 0))
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def log_weighted(self, own, node):
+        if (own, node) not in self.memo:
+            kt = self.log_kt(own, node)
+            if len(own) < self.depth:
+                below = sum(self.log_weighted(c, node) for c in self.children[own])
+                kt = math.log(0.5) + max(kt, below) + math.log1p(math.exp(-abs(kt - below)))
+            self.memo[own, node] = kt
+        return self.memo[own, node]
+
+    def probability(self, context, node, bit):
+        p, rest, d = 0.0, 1.0, 0
+        while True:
+            own = context[len(context) - d:]
+            a, b = self.counts.get((own, node), (0, 0))
+            kt = ((b if bit else a) + 0.5) / (a + b + 1)
+            deeper = context[len(context) - d - 1:]
+            if d == self.depth or deeper not in self.children[own]:
+                return p + rest * kt
+            stop = math.exp(math.log(0.5) + self.log_kt(own, node) - self.log_weighted(own, node))
+            p, rest, d = p + rest * stop * kt, rest * (1 - stop), d + 1
+
+    def score(self, text):
+        return sum(math.log10(self.probability(c, node, bit)) for c, decisions in self.steps(text) for node, bit in decisions)
+
+
+def test_lgamma():
+    x = np.concatenate([np.linspace(0.5, 20, 200), [1e3, 1e6, 1e9]])
+    assert np.allclose(ctw._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-10)
+
+
+def test_scores_equal_the_definition(spark):
+    train = ["abracadabra", "abra cadabra abracadabra", "é ü abra", "", "cadabra " * 12]
+    model, _ = ctw.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    slow = SlowTree(train, ctw.DEPTH)
+    texts = [*train, "unseen words", "abr", "", "zzz ß"]
+    assert ctw.byte_scores(model, texts) == pytest.approx([slow.score(t) for t in texts], rel=1e-4)
+
+
+def test_bytes_sum_to_one(spark):
+    model, _ = ctw.fit(spark.createDataFrame([(prose(i, 50),) for i in range(20)], "text string"))
+    assert np.allclose((10.0 ** model.rows.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def brute_base(rows, held):
+    tokens = [(t or "").encode().lower().split() + [None] for t in rows]
+    c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    n, v = sum(c.values()), len(c)
+    return n, [(len(t), sum(c[w] > 0 for w in t), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)) for t in tokens]
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    got = op9_context_tree(spark, sf).orderBy("doc_id").collect()
+    n, want = brute_base([r["text"] for r in rows], [r["held_out"] for r in got])
+    assert {r["train_tokens"] for r in got} == {n}
+    for r, (tokens, known, base) in zip(got, want, strict=True):
+        assert (r["n_tokens"], r["n_known"]) == (tokens, known) and r["base_score"] == pytest.approx(base, rel=1e-9)
+
+
+def test_rare_words_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "WORD_SHARE_BITS", 3)  # next to no word is given to the tasks
+    df = docs(spark)
+    model, words = ctw.fit(df.filter("doc_id > 3"))
+    assert len(model.words) < 5
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in ctw.scored(df, model, words).collect())
+    rows = df.collect()
+    _, want = brute_base([r["text"] for r in rows], [not (r["doc_id"] or 0) > 3 for r in rows])
+    assert got == sorted((r["doc_id"] or -1, t, k, round(b, 6)) for r, (t, k, b) in zip(rows, want, strict=True))
+
+
+def test_no_training_text_and_empty_table(spark):
+    df = docs(spark)
+    model, words = ctw.fit(df.limit(0))
+    got = ctw.scored(df, model, words).collect()
+    assert len(got) == df.count()
+    empty = [r for r in got if r["n_tokens"] == 1]
+    assert empty and all(r["n_known"] == 0 and r["base_score"] == 0 for r in empty)
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    model, words = ctw.fit(df)
+    assert ctw.scored(df.filter(F.lit(False)), model, words).count() == 0
