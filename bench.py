@@ -49,7 +49,7 @@ def main() -> None:
     for name, build in registry.REPORTS.items():
         if only and name not in only:
             continue
-        _run(build(tables))  # warm-up: plan caches, broadcast size checks
+        _run(build(tables))  # warm-up: code generation, file listings
         times = []
         for _ in range(runs):
             s = time.perf_counter()

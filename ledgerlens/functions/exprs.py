@@ -53,7 +53,10 @@ _US_PER_MINUTE = 60_000_000
 
 
 def as_date(value) -> Column:
-    """A Python date / ISO string / Column as a DATE column."""
+    """A Python date / ISO string / Column as a DATE column; None is today
+    (the session's ``current_date()``)."""
+    if value is None:
+        return F.current_date()
     if isinstance(value, Column):
         return value.cast("date")
     if isinstance(value, _dt.datetime):

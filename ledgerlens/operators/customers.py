@@ -22,7 +22,7 @@ def _listed_customers(t: Tables, p: ReportParams, *cols) -> DataFrame:
             .drop("party_group_id"))
 
 
-def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recent_days: int = 30) -> DataFrame:
+def followup_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS, recent_days: int = 30) -> DataFrame:
     """Predicted next order per customer from the gaps between orders.
 
     Semantics: orders of a customer are ordered by (date, id); each order's
@@ -35,74 +35,56 @@ def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recen
     a customer with an undated order is dropped (its latest order is
     undated). Sorted by usual hour, then days until the order, NULLS LAST.
 
-    Plan: instead of one window over a customer's whole history (a hot
-    customer would be one task), the orders are reduced in one map-side
-    combined pass to (customer, day, branch) partials, and from those to
-    one row per (customer, day) — first order's branch, last order. The
-    ``lag`` window then runs over at most one row per calendar day per
-    customer. A day's first order carries the gap to the previous order
-    day, its other orders a gap of 0, so per-branch gap sums and counts
-    follow from two aggregates keyed by (customer, branch).
+    Plan: one scan of the orders, reduced with map-side combine to (customer,
+    day, branch) cells; a dominant customer is at most one cell per calendar
+    day and branch. The cells meet the listed customers by customer id, and
+    everything after runs on that partitioning, without a self-join: the
+    previous order day (a range window over the day), the day's first branch,
+    the sums per branch, and the customer's first and last order as windows
+    over the few branch rows. On a day's first order's branch falls the gap
+    to the previous order day; the day's other orders have a gap of 0.
 
     Columns: party_id, customer_name, branch, sales_rep, phone,
     last_purchase_date, last_order_amount, total_orders, avg_cycle_days,
     usual_order_hour, predicted_next_order_date, days_until_order.
     """
-    d = F.col("transaction_date")
-    # Branches are site names (sites sharing a name are one branch). Carry a
-    # small integer key per name through the aggregates so min_by / max_by
-    # have fixed-width buffers (hash aggregation); names are joined at the end.
-    site_branch = t.lookup("sites", t.sites.select(
+    # Branches are site names (sites sharing a name are one branch). A small
+    # integer key per name goes through the aggregates; names come at the end.
+    site_branch = t.sites.select(
         F.col("id").alias("site_id"), F.col("name").alias("branch"),
-        F.min("id").over(Window.partitionBy("name")).alias("branch_key")))
-    # Customer exclusions apply to whole customers, so they commute with the
-    # per-customer aggregates: they are applied by the final customer join,
-    # never as a join of the raw orders (which would shuffle every order by
-    # customer before any map-side combine).
+        F.min("id").over(Window.partitionBy("name")).alias("branch_key"))
     orders = (B.sales_invoices(t, p)
               .join(site_branch.select("site_id", "branch_key"), "site_id")
-              .select("party_id", "branch_key", "transaction_date", "id", "total_amount",
-                      X.local_hour(F.col("created_at"), p.tz).alias("_hour")))
-
-    # One pass over the orders: (customer, day, branch) partials. The
-    # per-day and per-branch views below are both derived from this much
-    # smaller aggregate.
-    cells = orders.groupBy("party_id", "transaction_date", "branch_key").agg(
+              .select("party_id", "branch_key", F.datediff("transaction_date", F.lit("1970-01-01")).alias("day"), "id",
+                      "total_amount", X.local_hour(F.col("created_at"), p.tz).alias("_hour")))
+    cells = orders.groupBy("party_id", "day", "branch_key").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_hour").alias("_hour_sum"), F.count("_hour").alias("_hour_n"),
         F.min("id").alias("_min_id"), F.max("id").alias("_max_id"),
-        F.max_by("total_amount", "id").alias("_amount_of_max_id"))
-    # One row per (customer, day): the day's first order's branch and its
-    # last order, in (date, id) order.
-    days = cells.groupBy("party_id", "transaction_date").agg(
-        F.min_by("branch_key", "_min_id").alias("_first_branch"),
-        F.max_by("branch_key", "_max_id").alias("_last_branch"),
-        F.max_by("_amount_of_max_id", "_max_id").alias("_last_amount"))
-    w = Window.partitionBy("party_id").orderBy(d.asc_nulls_last())
-    days = days.withColumn("_gap", X.days_between(d, F.lag(d).over(w)))
-
-    gaps = (days.filter(F.col("_gap").isNotNull())
-            .groupBy("party_id", F.col("_first_branch").alias("branch_key"))
-            .agg(F.sum("_gap").alias("_gap_sum")))
-    per_branch = cells.groupBy("party_id", "branch_key").agg(
-        F.sum("_n").alias("total_orders"), F.sum("_hour_sum").alias("_hour_sum"),
-        F.sum("_hour_n").alias("_hour_n"))
-    latest = (days.groupBy("party_id").agg(
-                  F.max(d).alias("last_purchase_date"),
-                  F.count(F.when(d.isNull(), 1)).alias("_undated"),
-                  F.max_by("_last_branch", d).alias("branch_key"),
-                  F.max_by("_last_amount", d).alias("_last_amount"),
-                  F.min_by("_first_branch", d).alias("_opening_branch"))
-              .filter((F.col("_undated") == 0)
-                      & (F.col("last_purchase_date") >= F.date_sub(X.as_date(as_of), recent_days)))
-              .drop("_undated"))
+        F.max_by("total_amount", "id").alias("_amount"))
+
+    listed = _listed_customers(t, p, "phone", "responsible_party_id")
+    by_customer = Window.partitionBy("party_id")
+    cells = (cells.join(listed, "party_id")
+             .withColumn("_day_first", F.min("_min_id").over(Window.partitionBy("party_id", "day")))
+             .withColumn("_before", F.max("day").over(by_customer.orderBy("day").rangeBetween(Window.unboundedPreceding, -1))))
+    opens_day = F.col("_min_id") == F.col("_day_first")
+    branches = cells.groupBy("party_id", "customer_name", "phone", "responsible_party_id", "branch_key").agg(
+        F.sum("_n").alias("total_orders"), F.sum("_hour_sum").alias("_hour_sum"), F.sum("_hour_n").alias("_hour_n"),
+        F.sum(F.when(opens_day, F.col("day") - F.col("_before"))).alias("_gap_sum"),
+        F.count(F.when(F.col("day").isNull(), 1)).alias("_undated"),
+        F.min(F.struct("day", F.col("_min_id").alias("id"))).alias("_first"),
+        F.max(F.struct("day", F.col("_max_id").alias("id"), F.col("_amount").alias("amount"))).alias("_last"))
+    rows = (branches
+            .withColumn("_opening", F.min("_first").over(by_customer))
+            .withColumn("_latest", F.max("_last").over(by_customer))
+            .withColumn("_undated", F.sum("_undated").over(by_customer))
+            .withColumn("last_purchase_date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("_latest.day")))
+            .filter((F.col("_undated") == 0) & (F.col("_last") == F.col("_latest"))
+                    & (F.col("last_purchase_date") >= F.date_sub(X.as_date(as_of), recent_days))))
     branch_names = site_branch.select("branch_key", "branch").dropDuplicates(["branch_key"])
+    rows = B.attach(rows.join(branch_names, "branch_key"), B.rep_names(t, "sales_rep"), "responsible_party_id", "party_id")
 
-    rows = (latest.join(per_branch, ["party_id", "branch_key"])
-            .join(gaps, ["party_id", "branch_key"], "left")
-            .join(branch_names, "branch_key")
-            .join(_listed_customers(t, p, "phone", "responsible_party_id"), "party_id")
-            .join(B.rep_names(t, "sales_rep"), "responsible_party_id", "left"))
-    n_gaps = F.col("total_orders") - F.when(F.col("_opening_branch") == F.col("branch_key"), 1).otherwise(0)
+    n_gaps = F.col("total_orders") - F.when(F.col("_opening") == F.col("_first"), 1).otherwise(0)
     avg_cycle = X.round_ratio(F.coalesce(F.col("_gap_sum"), F.lit(0)), n_gaps)
     rows = rows.withColumn("avg_cycle_days", avg_cycle).withColumn(
         "usual_order_hour", X.round_ratio(F.col("_hour_sum"), F.col("_hour_n")))
@@ -116,19 +98,18 @@ def followup_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, recen
                     X.blank_to_null(F.col("sales_rep")).alias("sales_rep"),
                     X.blank_to_null(F.col("phone")).alias("phone"),
                     "last_purchase_date",
-                    X.money_or_zero(F.col("_last_amount")).alias("last_order_amount"),
+                    X.money_or_zero(F.col("_latest.amount")).alias("last_order_amount"),
                     F.col("total_orders").cast("bigint").alias("total_orders"),
                     "avg_cycle_days", "usual_order_hour", "predicted_next_order_date", "days_until_order"))
 
 
-def customer_locations(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int = 30) -> DataFrame:
+def customer_locations(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS, days: int = 30) -> DataFrame:
     """Per customer and site, invoices since ``as_of - days`` (no upper
     bound): last order date, count and revenue, with the customer's geo
     location and phone. Unlike R7 / R9 no customer group is excluded.
 
     Plan: invoices are aggregated per (customer, site) first; customer and
-    site attributes are then looked up on that aggregate, which is
-    broadcast into the customer scan when checked small.
+    site attributes are then looked up on that aggregate.
     Columns: party_id, customer_name, site_id, branch, geo_location, phone,
     last_order_date, orders_last_30d, revenue_last_30d.
     """
@@ -138,8 +119,6 @@ def customer_locations(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days:
         F.count(F.lit(1)).alias("orders_last_30d"), F.sum("total_amount").alias("_rev"))
     cust = (B.customers(t, F.col("name").alias("customer_name"), "geo_location", "phone")
             .filter(~F.col("customer_name").ilike(p.exclude_name_like)))
-    # A 30-day aggregate: broadcast into the customer scan when checked small.
-    agg, _ = B.broadcast_if_small(agg)
     rows = agg.join(cust, "party_id").join(B.site_names(t, "site_id", "branch"), "site_id")
     return (rows.orderBy(F.col("_rev").desc_nulls_first(), "party_id", "site_id")
             .select("party_id", "customer_name", "site_id", "branch",
@@ -174,8 +153,8 @@ def new_customers(t: Tables, from_date=None, to_date=None, p: ReportParams = DEF
           .select(local_day.alias("report_date"), F.col("name").alias("customer_name"), "site_id",
                   "responsible_party_id", "created_at")
           .filter(F.col("report_date").isNotNull()))
-    rows = (ps.join(B.site_names(t, "site_id", "site_name"), "site_id")
-            .join(B.rep_names(t, "_rep"), "responsible_party_id", "left"))
+    rows = B.attach(ps.join(B.site_names(t, "site_id", "site_name"), "site_id"),
+                    B.rep_names(t, "_rep"), "responsible_party_id", "customer_name", "created_at")
     return (rows.orderBy("report_date", F.col("created_at").asc_nulls_last(), "customer_name")
             .select("report_date", "customer_name", "site_name", "site_id",
                     F.coalesce(F.col("_rep"), F.lit("Unknown")).alias("added_by"),

@@ -43,43 +43,30 @@ def _desc(c: Column) -> Column:
     return -c
 
 
-def day_cells(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
-    """Invoice and receipt totals per (report_date, site_id, party_id,
-    type_code): ``_amt`` (exact decimal sum) and ``_n`` (count).
-
-    The revenue / collection sections (R12, R14, R15, R16) are all sums over
-    these cells, so the composite report reads the voucher fact once: the
-    sections share this subplan and Spark reuses its exchange.
-    """
-    v = _invoices(t, p, from_date, to_date, (p.invoice_code, p.receipt_code))
+def day_cells(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS, codes=None) -> DataFrame:
+    """Voucher totals per (report_date, site_id, party_id, type_code):
+    ``_amt`` (exact decimal sum) and ``_n`` (count), combined map-side."""
+    v = _invoices(t, p, from_date, to_date, codes or (p.invoice_code, p.receipt_code))
     return v.groupBy("report_date", "site_id", "party_id", "type_code").agg(
         F.sum("total_amount").alias("_amt"), F.count(F.lit(1)).alias("_n"))
 
 
-def _cells_of(t, from_date, to_date, p, cells, code):
-    cells = cells if cells is not None else day_cells(t, from_date, to_date, p)
-    return cells.filter(F.col("type_code") == code)
-
-
-def _bounded(from_date, to_date) -> bool:
-    return from_date is not None and to_date is not None
+def day_totals(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS, codes=None) -> DataFrame:
+    """Voucher totals per (report_date, site_id, type_code, party_group_id,
+    responsible_party_id, known): the cells with the customer's attributes in
+    place of the customer (``known``: the customer exists). A few rows per day,
+    from which all revenue and collection sections follow."""
+    cust = B.customers(t, "party_group_id", "responsible_party_id", F.lit(True).alias("known"))
+    cells = B.attach(day_cells(t, from_date, to_date, p, codes), cust, "party_id", "report_date", "site_id")
+    return (cells.withColumn("known", F.coalesce("known", F.lit(False)))
+            .groupBy("report_date", "site_id", "type_code", "party_group_id", "responsible_party_id", "known")
+            .agg(F.sum("_amt").alias("_amt"), F.sum("_n").alias("_n")))
 
 
-def _small_side(df: DataFrame, from_date, to_date) -> DataFrame:
-    """For a bounded day range (typically one day), broadcast ``df`` into the
-    join with a large table when it is checked to be small; open ranges span
-    the whole history and keep shuffle joins."""
-    return B.broadcast_if_small(df)[0] if _bounded(from_date, to_date) else df
-
-
-def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-               cells: DataFrame | None = None) -> DataFrame:
-    """Per day, invoice revenue and count, receipt collections and count
-    (one conditional aggregate over both voucher types).
-    Columns: report_date, revenue, invoice_count, collections, receipt_count."""
-    cells = cells if cells is not None else day_cells(t, from_date, to_date, p)
+def _hero(totals: DataFrame, p: ReportParams) -> DataFrame:
+    """R12's rows from any frame with report_date, type_code, _amt and _n."""
     inv, rct = F.col("type_code") == p.invoice_code, F.col("type_code") == p.receipt_code
-    agg = cells.groupBy("report_date").agg(
+    agg = totals.groupBy("report_date").agg(
         F.sum(F.when(inv, F.col("_amt"))).alias("_rev"),
         F.sum(F.when(inv, F.col("_n"))).alias("_inv_n"),
         F.sum(F.when(rct, F.col("_amt"))).alias("_coll"),
@@ -90,60 +77,84 @@ def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAUL
                       X.count_or_zero(F.col("_rct_n")).alias("receipt_count"))
 
 
-def _site_group_agg(t: Tables, p: ReportParams, from_date, to_date, cells: DataFrame | None = None) -> DataFrame:
-    # Per (day, site, customer) invoice cells: the customer lookup joins one
-    # row per customer and day, and a dominant customer is combined
-    # map-side instead of skewing the join.
-    per_party = _small_side(_cells_of(t, from_date, to_date, p, cells, p.invoice_code), from_date, to_date)
-    v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
-         .join(B.group_names(t), "party_group_id", "left")
-         .join(B.site_names(t), "site_id"))
-    return v.groupBy("report_date", "site_id", "site_name", "group_name").agg(
-        F.sum("_amt").alias("_rev"), F.sum("_n").cast("bigint").alias("invoice_count"))
+def _by_type(t: Tables, p: ReportParams, from_date, to_date, codes, *keys: str) -> DataFrame:
+    """Totals per day, ``keys`` and type, summed straight from the vouchers."""
+    return _invoices(t, p, from_date, to_date, codes).groupBy("report_date", *keys, "type_code").agg(
+        F.sum("total_amount").alias("_amt"), F.count(F.lit(1)).alias("_n"))
+
+
+def daily_hero(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+               every_day: bool = False) -> DataFrame:
+    """Per day, invoice revenue and count, receipt collections and count
+    (one aggregate over both voucher types). With ``every_day`` a day of the
+    range without vouchers has a row of zeros.
+    Columns: report_date, revenue, invoice_count, collections, receipt_count."""
+    hero = _hero(_by_type(t, p, from_date, to_date, (p.invoice_code, p.receipt_code)), p)
+    if not every_day:
+        return hero
+    cal = B.calendar(B.voucher_scope(t, p, not_cancelled=False), from_date, to_date)
+    return cal.join(hero, "report_date", "left").select("report_date", *(
+        F.coalesce(c, F.lit(0).cast(hero.schema[c].dataType)).alias(c) for c in hero.columns if c != "report_date"))
+
+
+def _site_groups(t: Tables, p: ReportParams, totals: DataFrame) -> DataFrame:
+    return (totals.filter((F.col("type_code") == p.invoice_code) & F.col("known"))
+            .join(B.group_names(t), "party_group_id", "left")
+            .join(B.site_names(t), "site_id")
+            .groupBy("report_date", "site_id", "site_name", "group_name").agg(
+                F.sum("_amt").alias("_rev"), F.sum("_n").cast("bigint").alias("invoice_count")))
 
 
-def site_group_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                       cells: DataFrame | None = None) -> DataFrame:
+def site_group_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """R14 rows: per day, site and customer group, invoice revenue and count
     (NULL group shown as ``Other`` after grouping).
     Columns: report_date, site_id, site_name, party_group, revenue, invoice_count."""
-    agg = _site_group_agg(t, p, from_date, to_date, cells)
+    agg = _site_groups(t, p, day_totals(t, from_date, to_date, p, (p.invoice_code,)))
     return (agg.orderBy("report_date", "site_id", F.col("_rev").desc_nulls_first())
             .select("report_date", "site_id", "site_name",
                     F.coalesce(F.col("group_name"), F.lit("Other")).alias("party_group"),
                     X.money_or_zero(F.col("_rev")).alias("revenue"), "invoice_count"))
 
 
-def site_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                 hero: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """R14 site rollup: per day and site, total revenue and invoice count,
-    the group breakdown (revenue descending) and the share of the day's
-    hero revenue in percent with one decimal (0 when that revenue is not
-    positive; shares need not add up to 100).
-    Columns: report_date, site_id, site_name, total_revenue, invoice_count,
-    breakdown, revenue_pct."""
-    cells = cells if cells is not None else day_cells(t, from_date, to_date, p)
-    agg = _site_group_agg(t, p, from_date, to_date, cells)
+def _sites(t: Tables, p: ReportParams, totals: DataFrame, hero: DataFrame) -> DataFrame:
     entry = F.struct(F.coalesce(F.col("group_name"), F.lit("Other")).alias("party_group"),
                      X.money_or_zero(F.col("_rev")).alias("revenue"), F.col("invoice_count"))
-    sites = agg.groupBy("report_date", "site_id").agg(
+    sites = _site_groups(t, p, totals).groupBy("report_date", "site_id").agg(
         F.first("site_name").alias("site_name"),
         F.sum("_rev").alias("_total"),
         F.sum("invoice_count").alias("invoice_count"),
         _sorted_entries(entry, _desc(F.col("_rev")), F.col("group_name")).alias("breakdown"))
-    hero = hero if hero is not None else daily_hero(t, from_date, to_date, p, cells)
     sites = sites.join(hero.select("report_date", F.col("revenue").alias("_hero")), "report_date", "left")
     total = X.money_or_zero(F.col("_total"))
     hero_rev = F.coalesce(F.col("_hero"), F.lit(0.0))
     pct = F.when(hero_rev > 0, X.js_round(total / hero_rev * F.lit(1000.0)) / F.lit(10.0)).otherwise(F.lit(0.0))
-    return sites.orderBy("report_date", "site_id").select(
+    return sites.select(
         "report_date", "site_id", "site_name", total.alias("total_revenue"),
         F.col("invoice_count").cast("bigint").alias("invoice_count"), "breakdown",
         pct.cast("double").alias("revenue_pct"))
 
 
-def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                     cells: DataFrame | None = None) -> DataFrame:
+def site_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+    """R14 site rollup: per day and site, total revenue and invoice count,
+    the group breakdown (revenue descending) and the share of the day's
+    hero revenue in percent with one decimal (0 when that revenue is not
+    positive; shares need not add up to 100).
+    Columns: report_date, site_id, site_name, total_revenue, invoice_count,
+    breakdown, revenue_pct."""
+    folded = _folded(day_totals(t, from_date, to_date, p, (p.invoice_code,)))
+    return _sites(t, p, folded, _hero(folded, p)).orderBy("report_date", "site_id")
+
+
+def _salesmen(t: Tables, p: ReportParams, totals: DataFrame) -> DataFrame:
+    own = totals.filter((F.col("type_code") == p.invoice_code) & F.col("known")
+                        & ~F.coalesce(F.col("party_group_id"), F.lit(0)).isin(*p.salesman_excluded_group_ids))
+    return (B.attach(own, B.rep_names(t, "_rep"), "responsible_party_id", "report_date", "site_id")
+            .join(B.site_names(t), "site_id")
+            .groupBy("report_date", "site_id", "site_name", "_rep").agg(F.sum("_amt").alias("_rev"))
+            .withColumn("salesperson", F.coalesce(F.col("_rep"), F.lit("Unassigned"))))
+
+
+def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """R15 rows: per day, site and sales representative, invoice revenue of
     customers outside the salesman-excluded groups (NULL group kept); no
     representative shows as ``Unassigned`` (after grouping).
@@ -152,56 +163,61 @@ def salesman_revenue(t: Tables, from_date=None, to_date=None, p: ReportParams =
     join, and per (day, site, representative id) before the representative
     names are looked up, so neither join sees one row per invoice.
     Columns: report_date, site_id, site_name, salesperson, revenue."""
-    cust = (B.customers(t, "party_group_id", "responsible_party_id")
-            .filter(~F.coalesce(F.col("party_group_id"), F.lit(0)).isin(*p.salesman_excluded_group_ids)))
-    per_party = _small_side(_cells_of(t, from_date, to_date, p, cells, p.invoice_code).select(
-        "report_date", "site_id", "party_id", F.col("_amt").alias("_rev")), from_date, to_date)
-    per_rep = (per_party.join(cust, "party_id")
-               .groupBy("report_date", "site_id", "responsible_party_id")
-               .agg(F.sum("_rev").alias("_rev")))
-    agg = (per_rep.join(B.rep_names(t, "_rep"), "responsible_party_id", "left")
-           .join(B.site_names(t), "site_id")
-           .groupBy("report_date", "site_id", "site_name", "_rep").agg(F.sum("_rev").alias("_rev")))
+    agg = _salesmen(t, p, day_totals(t, from_date, to_date, p, (p.invoice_code,)))
     return (agg.orderBy("report_date", "site_id", F.col("_rev").desc_nulls_first())
-            .select("report_date", "site_id", "site_name",
-                    F.coalesce(F.col("_rep"), F.lit("Unassigned")).alias("salesperson"),
-                    X.money_or_zero(F.col("_rev")).alias("revenue")))
+            .select("report_date", "site_id", "site_name", "salesperson", X.money_or_zero(F.col("_rev")).alias("revenue")))
+
 
+def _collections(t: Tables, p: ReportParams, totals: DataFrame) -> DataFrame:
+    return (totals.filter(F.col("type_code") == p.receipt_code).join(B.site_names(t), "site_id")
+            .groupBy("report_date", "site_id", "site_name").agg(
+                F.sum("_amt").alias("_coll"), F.sum("_n").cast("bigint").alias("receipt_count")))
 
-def collections_by_site(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                        cells: DataFrame | None = None) -> DataFrame:
+
+def collections_by_site(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Per day and site, receipt total and count.
     Columns: report_date, site_id, site_name, collections, receipt_count."""
-    v = _cells_of(t, from_date, to_date, p, cells, p.receipt_code).join(B.site_names(t), "site_id")
-    agg = v.groupBy("report_date", "site_id", "site_name").agg(
-        F.sum("_amt").alias("_coll"), F.sum("_n").cast("bigint").alias("receipt_count"))
+    agg = _collections(t, p, _by_type(t, p, from_date, to_date, (p.receipt_code,), "site_id"))
     return (agg.orderBy("report_date", F.col("_coll").desc_nulls_first())
             .select("report_date", "site_id", "site_name", X.money_or_zero(F.col("_coll")).alias("collections"),
                     "receipt_count"))
 
 
+def _top(t: Tables, p: ReportParams, from_date, to_date, k: int) -> DataFrame:
+    inv = _invoices(t, p, from_date, to_date).select(F.col("id").alias("voucher_id"), "report_date")
+    per_item = (t.voucher_items.join(inv, "voucher_id")
+                .groupBy("report_date", "item_id")
+                .agg(F.sum("quantity").alias("_units"), F.sum("total_amount").alias("_rev")))
+    per_name = (per_item.join(t.items.select(F.col("id").alias("item_id"), "name"), "item_id")
+                .groupBy("report_date", "name").agg(F.sum("_units").alias("_units"), F.sum("_rev").alias("_rev")))
+    w = Window.partitionBy("report_date").orderBy(F.col("_rev").desc_nulls_first(), F.col("name").asc_nulls_last())
+    ranked = per_name.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(
+        "report_date", F.col("rank").cast("bigint").alias("rank"), "name",
+        X.js_round(X.money_or_zero(F.col("_units"))).cast("bigint").alias("units"),
+        X.money_or_zero(F.col("_rev")).alias("revenue"))
+
+
 def top_products(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS, k: int = 5) -> DataFrame:
     """Per day, the ``k`` item names with the highest invoice-line
-    revenue (NULL revenue first, ties by name), with rounded units.
+    revenue (NULL revenue first, ties by name), with rounded units (summed as
+    decimals).
 
     Plan: lines are joined to the day's invoices and aggregated per (day,
     item id) with map-side combine; item names are looked up on that
     aggregate and merged per name; a ``row_number`` window limited to ``k``
     (planned as a group limit before the exchange) ranks each day.
     Columns: report_date, rank, name, units, revenue."""
-    inv = _small_side(_invoices(t, p, from_date, to_date).select(F.col("id").alias("voucher_id"), "report_date"),
-                      from_date, to_date)
-    per_item = (t.voucher_items.join(inv, "voucher_id")
-                .groupBy("report_date", "item_id")
-                .agg(F.sum("quantity").alias("_units"), F.sum("total_amount").alias("_rev")))
-    per_name = (per_item.join(t.items.select(F.col("id").alias("item_id"), "name"), "item_id")
-                .groupBy("report_date", "name").agg(F.sum("_units").alias("_units"), F.sum("_rev").alias("_rev")))
-    w = Window.partitionBy("report_date").orderBy(F.col("_rev").desc_nulls_first(), F.col("name").asc_nulls_last())
-    ranked = per_name.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return (ranked.orderBy("report_date", "rank")
-            .select("report_date", F.col("rank").cast("bigint").alias("rank"), "name",
-                    X.js_round(X.money_or_zero(F.col("_units"))).cast("bigint").alias("units"),
-                    X.money_or_zero(F.col("_rev")).alias("revenue")))
+    return _top(t, p, from_date, to_date, k).orderBy("report_date", "rank")
+
+
+def _folded(totals: DataFrame) -> DataFrame:
+    """``totals`` by way of one row per day. The rows of a day are bounded by
+    sites, types, groups and representatives. Sections that fork from this
+    frame share its exchange (nothing can be pruned from below the fold), so
+    the vouchers are read once."""
+    rows = F.collect_list(F.struct(*(c for c in totals.columns if c != "report_date"))).alias("rows")
+    return totals.groupBy("report_date").agg(rows).select("report_date", F.inline("rows"))
 
 
 def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
@@ -217,51 +233,48 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     Every nested list is bounded by a dimension (sites, groups,
     representatives, users) or by ``k``; the list of a day's new customers
     grows with the data, so by default only its count is nested and the
-    rows come from :func:`ledgerlens.operators.customers.new_customers`.
+    rows come from :func:`ledgerlens.operators.customers.new_customers` (R17),
+    the companion of this report: same days, as many rows as the count says.
     ``outstanding`` does not depend on the day: it is computed once as a
     scalar subquery over a one-row aggregate.
+
+    Plan: the revenue and collection sections fork from one frame of day
+    totals (one voucher scan), the delivery sections are one pass over
+    invoices with challans (one voucher and one history scan); nothing is
+    sorted but the nested lists and the days.
     """
-    cells = day_cells(t, from_date, to_date, p)
-    hero = daily_hero(t, from_date, to_date, p, cells)
+    totals = _folded(day_totals(t, from_date, to_date, p))
+    hero = _hero(totals, p)
     scope = B.voucher_scope(t, p, not_cancelled=False)
     cal = B.calendar(scope, from_date, to_date)
 
-    sites = (site_revenue(t, from_date, to_date, p, hero=hero, cells=cells)
-             .groupBy("report_date").agg(_sorted_entries(
-                 F.struct("site_id", "site_name", "total_revenue", "invoice_count", "breakdown", "revenue_pct"),
-                 F.col("site_id")).alias("sites")))
+    sites = _sites(t, p, totals, hero).groupBy("report_date").agg(_sorted_entries(
+        F.struct("site_id", "site_name", "total_revenue", "invoice_count", "breakdown", "revenue_pct"),
+        F.col("site_id")).alias("sites"))
 
-    sm = salesman_revenue(t, from_date, to_date, p, cells)
-    sm_site = sm.groupBy("report_date", "site_id").agg(
+    sm_site = _salesmen(t, p, totals).groupBy("report_date", "site_id").agg(
         F.first("site_name").alias("site_name"),
-        _sorted_entries(F.struct(F.col("salesperson").alias("name"), "revenue"),
-                        _desc(F.col("revenue")), F.col("salesperson")).alias("salesmen"))
+        _sorted_entries(F.struct(F.col("salesperson").alias("name"), X.money_or_zero(F.col("_rev")).alias("revenue")),
+                        _desc(F.col("_rev")), F.col("salesperson")).alias("salesmen"))
     salesmen = sm_site.groupBy("report_date").agg(
         _sorted_entries(F.struct("site_id", "site_name", "salesmen"), F.col("site_id")).alias("salesman_by_site"))
 
-    coll = collections_by_site(t, from_date, to_date, p, cells).groupBy("report_date").agg(
-        _sorted_entries(F.struct("site_id", "site_name", "collections", "receipt_count"),
-                        _desc(F.col("collections")), F.col("site_id")).alias("collections_by_site"))
+    coll = _collections(t, p, totals).groupBy("report_date").agg(
+        _sorted_entries(F.struct("site_id", "site_name", X.money_or_zero(F.col("_coll")).alias("collections"), "receipt_count"),
+                        _desc(F.col("_coll")), F.col("site_id")).alias("collections_by_site"))
 
-    top = top_products(t, from_date, to_date, p).groupBy("report_date").agg(
+    top = _top(t, p, from_date, to_date, 5).groupBy("report_date").agg(
         _sorted_entries(F.struct("rank", "name", "units", "revenue"), F.col("rank")).alias("top_products"))
 
-    events = D.day_events(t, from_date, to_date, p)
-    agents = D.delivery_agents(t, from_date, to_date, p, events=events).groupBy("report_date", "site_id").agg(
-        _sorted_entries(F.struct(F.col("agent_name").alias("name"), "order_count"),
-                        _desc(F.col("order_count")), F.col("agent_name")).alias("agents"))
-    ops_rows = D.delivery_operations(t, from_date, to_date, p, dedupe=dedupe_delivery, events=events)
     # R13 (invoices with challans / delivered) is the per-day sum of R20's
-    # per-site counts: same voucher scope, no second challan pass.
-    counts = ops_rows.groupBy("report_date").agg(
+    # per-site counts.
+    delivery = D.delivery_with_agents(t, from_date, to_date, p, dedupe=dedupe_delivery).groupBy("report_date").agg(
         F.sum("delivered").cast("bigint").alias("delivered"),
-        F.sum("total").cast("bigint").alias("delivery_total"))
-    ops = ops_rows.join(agents, ["report_date", "site_id"], "left")
-    delivery = ops.groupBy("report_date").agg(_sorted_entries(
-        F.struct("site_id", "total", "delivered", "avg_packed_to_shipped_min", "avg_shipped_to_delivered_min",
-                 "avg_end_to_end_min", F.coalesce(F.col("agents"), F.array()).alias("agents"),
-                 "packed_to_shipped", "shipped_to_delivered", "end_to_end"),
-        F.col("site_id")).alias("delivery_by_site"))
+        F.sum("total").cast("bigint").alias("delivery_total"),
+        _sorted_entries(
+            F.struct("site_id", "total", "delivered", "avg_packed_to_shipped_min", "avg_shipped_to_delivered_min",
+                     "avg_end_to_end_min", "agents", "packed_to_shipped", "shipped_to_delivered", "end_to_end"),
+            F.col("site_id")).alias("delivery_by_site"))
 
     newc = C.new_customers(t, from_date, to_date, p, with_created_at=True)
     if nest_new_customers:
@@ -276,7 +289,6 @@ def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFA
     outstanding = R.outstanding_summary(t, p).select(F.struct("total", "by_site").alias("o")).scalar()
 
     out = (cal.join(hero, "report_date", "left")
-           .join(counts, "report_date", "left")
            .join(newc_day, "report_date", "left")
            .join(sites, "report_date", "left")
            .join(salesmen, "report_date", "left")

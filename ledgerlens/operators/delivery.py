@@ -14,7 +14,7 @@ from ledgerlens.plans.params import DEFAULT_PARAMS, ReportParams
 from ledgerlens.sources.tables import Tables
 
 
-def delivery_board(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int = 30) -> DataFrame:
+def delivery_board(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS, days: int = 30) -> DataFrame:
     """Invoices of the last ``days`` days (no upper bound) that are not
     delivered yet or are dated ``as_of``, with delivery milestones.
 
@@ -23,12 +23,11 @@ def delivery_board(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int
     shown normalised; ``current_status_since`` is the time of the latest
     known milestone not after the current status.
 
-    Plan: the recent-invoice filter is pushed into the voucher scan; when
-    that subset is checked to be small it is broadcast into the customer
-    scan and the representative lookup is narrowed to the representatives
-    it needs (no shuffle of the customer table). Only challans (and so
-    history events) of those invoices enter the milestone aggregate, which
-    is then left-joined by invoice id.
+    Plan: the recent-invoice filter is pushed into the voucher scan.
+    Invoices meet their customers once; representatives come from the small
+    frame of those that are named. Only challans (and so history events) of
+    those invoices enter the milestone aggregate, which is then left-joined
+    by invoice id.
     Sorted by stage rank (pending/unknown 0, packed 1, shipped 2,
     delivered 3), date descending, voucher number.
     """
@@ -39,16 +38,8 @@ def delivery_board(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, days: int
     recent = B.sales_invoices(t, p, extra=(F.col("transaction_date") >= F.date_sub(today, days)) & open_or_today)
     cust = (B.customers(t, F.col("name").alias("party_name"), "party_group_id", "responsible_party_id")
             .filter(F.col("party_group_id") != F.lit(p.excluded_group_id)))
-    reps = B.rep_names(t, "salesperson_name")
-    side, small = B.broadcast_if_small(recent)
-    v = side.join(cust, "party_id")
-    if small:
-        # Checked-small invoice subset, broadcast into the customer scan;
-        # narrow the representative lookup to the representatives those
-        # customers name, so the customer table is never shuffled.
-        rep_ids = v.select("responsible_party_id").distinct()
-        reps = reps.join(F.broadcast(rep_ids), "responsible_party_id", "left_semi")
-    v = v.join(B.site_names(t), "site_id").join(reps, "responsible_party_id", "left")
+    v = recent.join(cust, "party_id").join(B.site_names(t), "site_id")
+    v = B.attach(v, B.rep_names(t, "salesperson_name"), "responsible_party_id", "id")
     ms = B.milestones(t, recent.select("id"))
     v = v.join(ms, F.col("id") == F.col("voucher_id"), "left")
 
@@ -80,33 +71,82 @@ def _day_vouchers(t: Tables, p: ReportParams, from_date, to_date) -> DataFrame:
     return v.filter(cond) if cond is not None else v
 
 
-def delivery_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def delivery_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                    every_day: bool = False) -> DataFrame:
     """Per day, invoices having at least one challan, and how many of
     them have a delivered status. A semi-join replaces the distinct count
-    over the challan fan-out. Columns: report_date, delivered, delivery_total."""
+    over the challan fan-out. With ``every_day`` a day of the range without
+    such invoices has a row of zeros.
+    Columns: report_date, delivered, delivery_total."""
     v = _day_vouchers(t, p, from_date, to_date)
     # Distinct invoice ids of challans (combined map-side) before the
     # semi-join, so an invoice with very many challans is one row.
     invoiced = B.challans_of(t).select(F.col("voucher_id").alias("id")).distinct()
     with_challan = v.join(invoiced, "id", "left_semi")
-    return with_challan.groupBy(F.col("transaction_date").alias("report_date")).agg(
+    out = with_challan.groupBy(F.col("transaction_date").alias("report_date")).agg(
         F.count(F.when(X.status_in(F.col("delivery_status"), X.DELIVERED_STATUSES), 1)).alias("delivered"),
         F.count(F.lit(1)).alias("delivery_total"))
+    if not every_day:
+        return out
+    cal = B.calendar(B.voucher_scope(t, p, not_cancelled=False), from_date, to_date)
+    return cal.join(out, "report_date", "left").select("report_date", *(
+        F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("delivered", "delivery_total")))
+
+
+def invoice_delivery(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+    """Per invoice of the range that has a challan: report_date, site_id,
+    voucher_id, delivery_status, ``_n`` (its challans), packed_at, shipped_at,
+    delivered_at and ``agents`` (the names, as structs, of the known users
+    that marked a challan shipped).
+
+    Vouchers and challans are joined once, carrying the invoice's attributes;
+    the status cells, reduced per challan, are joined to that. R20 and R21
+    and their composite all read this frame.
+    """
+    v = _day_vouchers(t, p, from_date, to_date).select(
+        F.col("id").alias("voucher_id"), "site_id", F.col("transaction_date").alias("report_date"), "delivery_status")
+    challans = B.challans_of(t).join(v, "voucher_id")
+    stages = ("packed_at", "shipped_at", "delivered_at")
+    agent = F.when(F.col("has_shipped") & F.col("_user_found"), F.struct("full_name"))
+    cells = B.status_events(t, challans=challans.select("document_id"))
+    per_challan = cells.groupBy("document_id").agg(*(F.min(c).alias(c) for c in stages), F.collect_set(agent).alias("agents"))
+    return (challans.join(per_challan, "document_id", "left")
+            .groupBy("report_date", "site_id", "voucher_id", "delivery_status").agg(
+                F.count(F.lit(1)).alias("_n"), *(F.min(c).alias(c) for c in stages),
+                F.array_distinct(F.flatten(F.collect_list("agents"))).alias("agents")))
+
+
+def _stage_sums(weight) -> list:
+    """Exact sums of the stage durations, times ``weight``, and of the weights."""
+    out = []
+    for name, (a, b) in {"ps": ("packed_at", "shipped_at"), "sd": ("shipped_at", "delivered_at"),
+                         "pd": ("packed_at", "delivered_at")}.items():
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        diff = (X.epoch_micros(F.col(b)) - X.epoch_micros(F.col(a))).cast("decimal(20,0)")
+        out += [F.sum(F.when(both, diff * weight.cast("decimal(20,0)"))).alias(f"_{name}_us"),
+                F.sum(F.when(both, weight)).alias(f"_{name}_w")]
+    return out
+
+
+_SUMS = ("_ps_us", "_ps_w", "_sd_us", "_sd_w", "_pd_us", "_pd_w")
+
+
+def _delivery_columns() -> list:
+    means = [X.round_mean_minutes(F.col(f"_{k}_us"), F.col(f"_{k}_w")) for k in ("ps", "sd", "pd")]
+    return ["report_date", "site_id", "total", "delivered",
+            *(m.alias(f"avg_{c}_min") for m, c in zip(means, ("packed_to_shipped", "shipped_to_delivered", "end_to_end"), strict=True)),
+            *(X.fmt_minutes(m).alias(c) for m, c in zip(means, ("packed_to_shipped", "shipped_to_delivered", "end_to_end"), strict=True))]
 
 
-def day_events(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
-    """Status events of the range's vouchers (see
-    :func:`ledgerlens.plans.base.status_events`); shared by R20 and R21 in
-    the composite report. A bounded range is checked for a broadcast of its
-    challans; an open range spans the whole history, where the check would
-    only cost an extra pass."""
-    ids = _day_vouchers(t, p, from_date, to_date).select("id")
-    bounded = from_date is not None and to_date is not None
-    return B.status_events(t, ids, B.SUBSET_BROADCAST_ROWS if bounded else 0)
+def _totals(dedupe: bool) -> list:
+    weight = F.lit(1) if dedupe else F.col("_n")
+    return [F.count(F.lit(1)).alias("total"),
+            F.count(F.when(X.status_in(F.col("delivery_status"), X.DELIVERED_STATUSES), 1)).alias("delivered"),
+            *_stage_sums(weight)]
 
 
 def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                        dedupe: bool = False, events: DataFrame | None = None) -> DataFrame:
+                        dedupe: bool = False) -> DataFrame:
     """Per day and site, invoices with challans, how many are delivered,
     and mean stage durations (packed->shipped, shipped->delivered,
     packed->delivered) in minutes, rounded half away from zero, with
@@ -114,62 +154,40 @@ def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams
 
     Each invoice's durations are weighted by its number of challans, as the
     per-challan join of the original report does (``dedupe=True`` weighs
-    every invoice once). The weight comes from a challan count per invoice,
-    so no challan fan-out is materialised; means are exact (decimal sums of
-    microseconds, integer rounding).
+    every invoice once); means are exact (decimal sums of microseconds,
+    integer rounding).
     Columns: report_date, site_id, total, delivered, avg_packed_to_shipped_min,
     avg_shipped_to_delivered_min, avg_end_to_end_min, packed_to_shipped,
     shipped_to_delivered, end_to_end.
     """
-    v = _day_vouchers(t, p, from_date, to_date).select(
-        "id", "site_id", F.col("transaction_date").alias("report_date"), "delivery_status")
-    ids = v.select("id")
-    weight = (B.challans_of(t, ids).groupBy("voucher_id").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumnRenamed("voucher_id", "id"))
-    events = events if events is not None else day_events(t, from_date, to_date, p)
-    ms = B.milestones(t, events=events)
-    rows = v.join(weight, "id").join(ms.withColumnRenamed("voucher_id", "id"), "id", "left")
-    w = F.lit(1) if dedupe else F.col("_n")
-
-    def stage(a: str, b: str):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        diff = (X.epoch_micros(F.col(b)) - X.epoch_micros(F.col(a))).cast("decimal(20,0)")
-        return (F.sum(F.when(both, diff * w.cast("decimal(20,0)"))),
-                F.sum(F.when(both, w)))
+    invoices = invoice_delivery(t, from_date, to_date, p)
+    return invoices.groupBy("report_date", "site_id").agg(*_totals(dedupe)).select(*_delivery_columns())
 
-    aggs = []
-    for name, (a, b) in {"ps": ("packed_at", "shipped_at"), "sd": ("shipped_at", "delivered_at"),
-                         "pd": ("packed_at", "delivered_at")}.items():
-        s, n = stage(a, b)
-        aggs += [s.alias(f"_{name}_us"), n.alias(f"_{name}_w")]
-    agg = rows.groupBy("report_date", "site_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count(F.when(X.status_in(F.col("delivery_status"), X.DELIVERED_STATUSES), 1)).alias("delivered"),
-        *aggs)
-    out = agg.select(
-        "report_date", "site_id", "total", "delivered",
-        X.round_mean_minutes(F.col("_ps_us"), F.col("_ps_w")).alias("avg_packed_to_shipped_min"),
-        X.round_mean_minutes(F.col("_sd_us"), F.col("_sd_w")).alias("avg_shipped_to_delivered_min"),
-        X.round_mean_minutes(F.col("_pd_us"), F.col("_pd_w")).alias("avg_end_to_end_min"))
-    return out.select(
-        "*",
-        X.fmt_minutes(F.col("avg_packed_to_shipped_min")).alias("packed_to_shipped"),
-        X.fmt_minutes(F.col("avg_shipped_to_delivered_min")).alias("shipped_to_delivered"),
-        X.fmt_minutes(F.col("avg_end_to_end_min")).alias("end_to_end"))
-
-
-def delivery_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                    events: DataFrame | None = None) -> DataFrame:
-    """Per day, site and user, the number of distinct invoices the user
-    marked shipped / in transit. Events of unknown users are dropped.
+
+def delivery_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+    """Per day, site and user name, the number of distinct invoices the
+    user marked shipped / in transit. Events of unknown users are dropped.
     Columns: report_date, site_id, agent_name, order_count; sorted by site,
     count descending."""
-    v = _day_vouchers(t, p, from_date, to_date).select(
-        F.col("id").alias("voucher_id"), "site_id", F.col("transaction_date").alias("report_date"))
-    events = events if events is not None else day_events(t, from_date, to_date, p)
-    ev = (events.filter(F.col("has_shipped") & F.col("_user_found"))
-          .select("voucher_id", F.col("full_name").alias("agent_name"))
-          .join(v, "voucher_id"))
-    agg = ev.groupBy("report_date", "site_id", "agent_name").agg(
-        F.count_distinct("voucher_id").alias("order_count"))
+    named = invoice_delivery(t, from_date, to_date, p).select(
+        "report_date", "site_id", F.explode("agents").alias("agent"))
+    agg = named.groupBy("report_date", "site_id", F.col("agent.full_name").alias("agent_name")).agg(
+        F.count(F.lit(1)).alias("order_count"))
     return agg.orderBy("report_date", "site_id", F.col("order_count").desc(), F.col("agent_name").asc_nulls_last())
+
+
+def delivery_with_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                         dedupe: bool = False) -> DataFrame:
+    """R20's rows with R21's as ``agents[]`` (count descending, then name), in
+    one pass: every invoice gives a row of its own and one per agent; both
+    kinds are counted by one aggregate and folded per (day, site)."""
+    rows = invoice_delivery(t, from_date, to_date, p).withColumn("who", F.explode(F.concat(
+        F.array(F.struct(F.lit(True).alias("own"), F.lit(None).cast("string").alias("name"))),
+        F.transform("agents", lambda a: F.struct(F.lit(False).alias("own"), a["full_name"].alias("name"))))))
+    counted = rows.groupBy("report_date", "site_id", F.col("who.own").alias("own"), F.col("who.name").alias("name")).agg(*_totals(dedupe))
+    own = F.col("own")
+    agent = F.when(~own, F.struct((-F.col("total")).alias("k"), F.col("name"), F.col("total").alias("order_count")))
+    folded = counted.groupBy("report_date", "site_id").agg(
+        *(F.max(F.when(own, F.col(c))).alias(c) for c in ("total", "delivered", *_SUMS)),
+        F.transform(F.sort_array(F.collect_list(agent)), lambda x: F.struct(x["name"].alias("name"), x["order_count"].alias("order_count"))).alias("agents"))
+    return folded.select(*_delivery_columns(), "agents")

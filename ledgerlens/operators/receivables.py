@@ -19,7 +19,7 @@ def _open_with_due(t: Tables, p: ReportParams, **kw) -> DataFrame:
     return B.sales_invoices(t, p, extra=X.is_open_invoice() & (F.col("amount_due") > 0), **kw)
 
 
-def ar_aging(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def ar_aging(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Open receivables in 0-30 / 31-60 / 61-90 / 90+ day buckets.
 
     Bucket bounds are inclusive; future-dated invoices fall in 0-30 and an
@@ -35,7 +35,7 @@ def ar_aging(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
             .select("age_bucket", "invoice_count", X.money_or_zero(F.col("_due")).alias("outstanding")))
 
 
-def at_risk_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def at_risk_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Customers with a positive open balance, per branch.
 
     Over every invoice of the customer: last purchase (paid or not), days
@@ -67,8 +67,8 @@ def at_risk_customers(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> Dat
                 F.sum("_open_n").alias("open_invoice_count"),
                 F.sum("_due").alias("_due"),
                 F.min("_oldest").alias("oldest_due_date"))
-            .filter(F.col("_due") > 0)
-            .join(B.rep_names(t, "sales_rep"), "responsible_party_id", "left"))
+            .filter(F.col("_due") > 0))
+    rows = B.attach(rows, B.rep_names(t, "sales_rep"), "responsible_party_id", "party_id")
     return (rows.orderBy(F.col("_due").desc_nulls_first())
             .select("party_id", "customer_name", "branch",
                     X.blank_to_null(F.col("sales_rep")).alias("sales_rep"),
@@ -98,14 +98,15 @@ def open_invoices(t: Tables, party_id, p: ReportParams = DEFAULT_PARAMS) -> Data
 def open_invoices_for(t: Tables, parties: DataFrame | Iterable[int] | None = None,
                       p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """R8 for a set of customers in one job: ``parties`` is a frame whose
-    first column holds party ids (semi-joined), an iterable of ids, or None
-    for every customer. Adds ``party_id``; sorted by customer, date, id."""
+    first column holds party ids, an iterable of ids (made into such a
+    frame), or None for every customer. Adds ``party_id``; sorted by
+    customer, date, id."""
     v = _open_with_due(t, p, sites=False)
-    if isinstance(parties, DataFrame):
+    if parties is not None:
+        if not isinstance(parties, DataFrame):
+            parties = t.spark.createDataFrame([(int(i),) for i in parties], "party_id bigint")
         ids = parties.select(F.col(parties.columns[0]).alias("party_id"))
         v = v.join(ids, "party_id", "left_semi")
-    elif parties is not None:
-        v = v.filter(F.col("party_id").isin(*list(parties)))
     return (v.orderBy("party_id", F.col("transaction_date").asc_nulls_last(), "id")
             .select("party_id", "voucher_number", "transaction_date",
                     X.money(F.col("total_amount")).alias("total_amount"),

@@ -1,6 +1,6 @@
 """Sales reports: two-day summary (R1), 12-month trend (R2), two-day
 breakdowns by site and by party group (R3, R4), and the day / week / month
-trend with per-site pivot (R5)."""
+trend with per-site pivot (R5). ``as_of`` defaults to today."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def _two_day_invoices(t: Tables, as_of, p: ReportParams) -> DataFrame:
     return B.sales_invoices(t, p, extra=F.col("transaction_date").isin(today, yesterday))
 
 
-def sales_summary(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def sales_summary(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Invoice count and sales for ``as_of`` and the day before.
 
     Columns: label, transaction_date, invoice_count, sales. A day without
@@ -58,7 +58,7 @@ def _pivot_output(p: ReportParams) -> list[Column]:
             + [X.money_or_zero(F.col("_total")).alias("total_sales")])
 
 
-def monthly_sales(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, months: int = 12) -> DataFrame:
+def monthly_sales(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS, months: int = 12) -> DataFrame:
     """R2: sales per calendar month from the month ``months - 1`` before
     ``as_of`` onwards (no upper bound), one column per pivot site and the
     total. Columns: month (DATE), <pivot columns>, total_sales."""
@@ -68,7 +68,7 @@ def monthly_sales(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS, months: in
     return agg.select("month", *_pivot_output(p)).orderBy(F.col("month").asc_nulls_last())
 
 
-def sales_by_site(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def sales_by_site(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Two-day invoice count and total per site.
 
     Columns: period, site_id, site_name, invoice_count, total_amount.
@@ -82,7 +82,7 @@ def sales_by_site(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFra
                     "invoice_count", X.money_or_zero(F.col("_amt")).alias("total_amount")))
 
 
-def sales_by_group(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
+def sales_by_group(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Two-day invoice count and total per site and party group.
 
     The NULL group is reported as ``Other`` after grouping, so a group that
@@ -94,9 +94,6 @@ def sales_by_group(t: Tables, as_of, p: ReportParams = DEFAULT_PARAMS) -> DataFr
     # collapsed map-side before any shuffle.
     per_party = _two_day_invoices(t, as_of, p).groupBy("transaction_date", "site_id", "party_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("total_amount").alias("_amt"))
-    # Two days of customer totals: broadcast into the customer scan when
-    # checked small, so the customer table is not shuffled.
-    per_party, _ = B.broadcast_if_small(per_party)
     v = (per_party.join(B.customers(t, "party_group_id"), "party_id")
          .join(B.group_names(t), "party_group_id", "left"))
     agg = v.groupBy("transaction_date", "site_id", "group_name").agg(

@@ -1,12 +1,12 @@
 """Shared plan fragments: voucher selections, dimension lookups, milestones.
 
-Joins to the small dimensions (voucher types, sites, party groups) are
-broadcast behind ``Tables.is_small``. Joins to ``parties``, ``users`` and
-``items`` are left to the planner: at scale they are sort-merge joins that
-AQE may turn into broadcasts at run time, and whose skewed partitions AQE
-splits. Where a report aggregates over a party's whole history the plans
-aggregate first and join the party attributes onto the (much smaller)
-aggregate.
+No join carries a broadcast hint and building a report runs no job: Spark
+picks each join from file sizes and, at run time, from the sizes of finished
+stages (AQE), by ``spark.sql.autoBroadcastJoinThreshold`` in bytes. The same
+plan serves every size. Where a report aggregates over a party's whole
+history the plans aggregate first and join the party attributes onto the
+(much smaller) aggregate. Lookups by a key that a few values or NULL
+dominate go through :func:`attach`.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ def typed_vouchers(t: Tables, p: ReportParams, codes: tuple[str, ...], *,
     """``vouchers JOIN voucher_types`` restricted to type ``codes``.
 
     Adds ``type_code``. The type table is filtered to the requested codes
-    before the (broadcast) join, so the join itself is the type filter.
+    before the join, so the join itself is the type filter.
     """
     v = voucher_scope(t, p, sites=sites, not_cancelled=not_cancelled)
     if extra is not None:
         v = v.filter(extra)
-    types = t.lookup("voucher_types", t.voucher_types.filter(F.col("code").isin(*codes))
-                     .select(F.col("id").alias("_vt_id"), F.col("code").alias("type_code")))
+    types = (t.voucher_types.filter(F.col("code").isin(*codes))
+             .select(F.col("id").alias("_vt_id"), F.col("code").alias("type_code")))
     return v.join(types, F.col("voucher_type_id") == F.col("_vt_id")).drop("_vt_id")
 
 
@@ -54,17 +54,36 @@ def sales_invoices(t: Tables, p: ReportParams, **kw) -> DataFrame:
 
 
 def site_names(t: Tables, key: str = "site_id", name: str = "site_name") -> DataFrame:
-    return t.lookup("sites", t.sites.select(F.col("id").alias(key), F.col("name").alias(name)))
+    return t.sites.select(F.col("id").alias(key), F.col("name").alias(name))
 
 
 def group_names(t: Tables) -> DataFrame:
-    return t.lookup("party_groups", t.party_groups.select(
-        F.col("id").alias("party_group_id"), F.col("name").alias("group_name")))
+    return t.party_groups.select(F.col("id").alias("party_group_id"), F.col("name").alias("group_name"))
+
+
+def attach(df: DataFrame, lookup: DataFrame, key: str, *spread: str) -> DataFrame:
+    """``df LEFT JOIN lookup USING (key)`` for a key that is often NULL.
+
+    NULL matches nothing, but in a shuffle join all NULL rows would meet in
+    one task; here they are dealt out by a hash of the ``spread`` columns. A
+    key that is merely frequent is left to AQE's skew join: ``lookup`` is
+    unique by key, so only ``df``'s side of it is large.
+    """
+    found = F.col(key).isNotNull()
+    dealt = F.coalesce(F.col(key).cast("bigint"), F.xxhash64(*spread))
+    right = lookup.select(F.lit(True).alias("_found"), F.col(key).cast("bigint").alias("_dealt"),
+                          *(c for c in lookup.columns if c != key))
+    return (df.withColumn("_found", found).withColumn("_dealt", dealt)
+            .join(right, ["_found", "_dealt"], "left").drop("_found", "_dealt"))
 
 
 def rep_names(t: Tables, name: str = "rep_name") -> DataFrame:
-    """``parties`` seen as sales representatives: (responsible_party_id, name)."""
-    return t.parties.select(F.col("id").alias("responsible_party_id"), F.col("name").alias(name))
+    """The sales representatives, i.e. the parties that some party names as
+    responsible: (responsible_party_id, name). A few rows, found from the
+    distinct ids, so joins with it move no customer table."""
+    ids = t.parties.select("responsible_party_id").filter("responsible_party_id IS NOT NULL").distinct()
+    return (t.parties.select(F.col("id").alias("responsible_party_id"), F.col("name").alias(name))
+            .join(ids, "responsible_party_id", "left_semi"))
 
 
 def customers(t: Tables, *cols: str) -> DataFrame:
@@ -86,73 +105,38 @@ def _first_actor(has_stage: str, at: str) -> Column:
     return F.min_by(F.col("full_name"), F.when(F.col(has_stage) & F.col("_user_found"), order))
 
 
-def challans_of(t: Tables, invoice_ids: DataFrame | None = None, broadcast_ids: bool = False) -> DataFrame:
+def challans_of(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
     """(document_id, voucher_id) of every challan, optionally only for the
-    invoices in ``invoice_ids`` (a one-column frame of voucher ids; pass
-    ``broadcast_ids`` only for a frame checked to be small)."""
+    invoices in ``invoice_ids`` (a one-column frame of voucher ids)."""
     ch = t.delivery_challans.select(F.col("id").alias("document_id"),
                                     F.col("related_invoice_voucher_id").alias("voucher_id"))
     if invoice_ids is not None:
         ids = invoice_ids.select(F.col(invoice_ids.columns[0]).alias("voucher_id"))
-        ch = ch.join(F.broadcast(ids) if broadcast_ids else ids, "voucher_id", "left_semi")
+        ch = ch.join(ids, "voucher_id", "left_semi")
     return ch
 
 
-# Row bound under which the challans of an invoice subset are broadcast to
-# the history scan (16 bytes a row: ~32 MB at the bound).
-SUBSET_BROADCAST_ROWS = 2_000_000
-
-
-def at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows (reads at most n + 1)."""
-    return df.limit(n + 1).count() <= n
-
-
-def broadcast_if_small(df: DataFrame, n: int = SUBSET_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` is checked to hold at most ``n``
-    rows, else ``(df, False)``. Meant for date-windowed subsets (a pruned
-    scan is cheap to count) joined to a large table that should then be
-    scanned, not shuffled."""
-    small = at_most(df, n)
-    return (F.broadcast(df) if small else df), small
-
-
-def status_events(t: Tables, invoice_ids: DataFrame | None = None,
-                  broadcast_rows: int = SUBSET_BROADCAST_ROWS) -> DataFrame:
+def status_events(t: Tables, invoice_ids: DataFrame | None = None, challans: DataFrame | None = None) -> DataFrame:
     """Per (challan, user) stage cells of the status history, joined to the
-    invoice and the user: voucher_id, changed_by, full_name, _user_found,
-    packed_at / shipped_at / delivered_at (the user's earliest time of the
-    stage on that challan) and has_packed / has_shipped / has_delivered.
+    invoice and the user: the columns of ``challans`` (default: document_id,
+    voucher_id of the challans of ``invoice_ids``, or of all), changed_by,
+    full_name, _user_found, packed_at / shipped_at / delivered_at (the user's
+    earliest time of the stage on that challan) and has_packed / has_shipped /
+    has_delivered.
 
     The history is reduced to these cells before any join, with map-side
     combine, so a challan carrying a large share of all events is collapsed
     in the scan tasks instead of skewing the join. Events outside the
-    packed / shipped / delivered stages are dropped at the scan.
-
-    ``invoice_ids`` restricts the challans before the join. When the ids and
-    then the restricted challan set are each checked to hold at most
-    ``broadcast_rows`` rows, both are broadcast: the challan scan is filtered
-    against the ids and the history against the challans in their scan
-    tasks, before the cells are built; above the bound these stay shuffle
-    joins (AQE may still pick a broadcast).
-    ``broadcast_rows=0`` skips the check (for subsets known to be large).
-    Milestones and delivery agents read the same frame, so a report needing
-    both scans the history once.
+    packed / shipped / delivered stages are dropped at the scan. Milestones
+    and delivery agents read the same frame, so a report needing both scans
+    the history once.
     """
-    checked = invoice_ids is not None and broadcast_rows > 0
-    small_ids = checked and at_most(invoice_ids, broadcast_rows)
-    ch = challans_of(t, invoice_ids, broadcast_ids=small_ids)
+    ch = challans if challans is not None else challans_of(t, invoice_ids)
     packed, shipped, delivered = stage_flags(F.col("new_status"))
-    hist = (t.document_status_history
-            .select("document_id", "new_status", "changed_at", "changed_by")
-            .filter(packed | shipped | delivered))
-    if small_ids and at_most(ch, broadcast_rows):
-        # Small subset: filter the history against it in the scan tasks
-        # (broadcast semi-join) before anything is shuffled.
-        hist = hist.join(F.broadcast(ch.select("document_id")), "document_id", "left_semi")
-        ch = F.broadcast(ch)
     at = F.col("changed_at")
-    cells = (hist
+    cells = (t.document_status_history
+             .select("document_id", "new_status", "changed_at", "changed_by")
+             .filter(packed | shipped | delivered)
              .groupBy("document_id", "changed_by").agg(
                  F.min(F.when(packed, at)).alias("packed_at"),
                  F.min(F.when(shipped, at)).alias("shipped_at"),
@@ -160,14 +144,12 @@ def status_events(t: Tables, invoice_ids: DataFrame | None = None,
                  F.max(packed).alias("has_packed"),
                  F.max(shipped).alias("has_shipped"),
                  F.max(delivered).alias("has_delivered")))
-    users = t.users.select(F.col("id").alias("changed_by"), "full_name",
-                           F.lit(True).alias("_user_found"))
-    ev = cells.join(ch, "document_id").join(users, "changed_by", "left")
+    users = t.users.select(F.col("id").alias("changed_by"), "full_name", F.lit(True).alias("_user_found"))
+    ev = attach(cells.join(ch, "document_id"), users, "changed_by", "document_id")
     return ev.withColumn("_user_found", F.coalesce(F.col("_user_found"), F.lit(False)))
 
 
-def milestones(t: Tables, invoice_ids: DataFrame | None = None,
-               broadcast_rows: int = SUBSET_BROADCAST_ROWS, events: DataFrame | None = None) -> DataFrame:
+def milestones(t: Tables, invoice_ids: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
     """Per invoice: first packed / shipped / delivered time and first actors.
 
     One aggregate keyed by voucher over the (challan, user) stage cells of
@@ -178,7 +160,7 @@ def milestones(t: Tables, invoice_ids: DataFrame | None = None,
     Output: voucher_id, packed_at, shipped_at, delivered_at, delivered_by,
     shipped_by, delivery_person.
     """
-    ev = events if events is not None else status_events(t, invoice_ids, broadcast_rows)
+    ev = events if events is not None else status_events(t, invoice_ids)
     out = ev.groupBy("voucher_id").agg(
         F.min("packed_at").alias("packed_at"),
         F.min("shipped_at").alias("shipped_at"),

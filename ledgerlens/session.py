@@ -31,10 +31,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "led
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh temp folder only when
-    the session has none (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Only a session of one process
+    (tests, the benchmark) gets a fresh temp folder where it is unset; on a
+    cluster, whose executors could not see that folder, it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 _L, _I, _S = T.LongType(), T.IntegerType(), T.StringType()
 _D, _TS, _B = T.DateType(), T.TimestampType(), T.BooleanType()
-_DBL, _MONEY = T.DoubleType(), T.DecimalType(18, 2)
+_MONEY, _QUANTITY = T.DecimalType(18, 2), T.DecimalType(18, 3)
+_QUANTITY = T.DecimalType(18, 3)
 
 
 def _schema(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
@@ -56,7 +57,7 @@ ITEMS = _schema(("id", _L, False), ("name", _S, True))
 VOUCHER_ITEMS = _schema(
     ("voucher_id", _L, True),
     ("item_id", _L, True),
-    ("quantity", _DBL, True),
+    ("quantity", _QUANTITY, True),
     ("total_amount", _MONEY, True),
 )
 

@@ -18,13 +18,6 @@ from pyspark.sql import types as T
 
 from ledgerlens.sources.schemas import STAR_SCHEMAS
 
-# Dimension tables that reports join as lookups. They are broadcast only
-# after a row-count check (``Tables.lookup``); anything larger is left to
-# the planner and AQE (sort-merge or runtime broadcast with skew handling).
-SMALL_DIMENSIONS = ("voucher_types", "sites", "party_groups")
-BROADCAST_ROW_LIMIT = 100_000
-
-
 def conform(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
     """Project ``df`` onto ``schema``: declared order and types, nothing else."""
     have = {f.name.lower(): f.name for f in df.schema.fields}
@@ -51,7 +44,6 @@ class Tables:
     delivery_challans: DataFrame
     document_status_history: DataFrame
     users: DataFrame
-    _checked: dict = dataclasses.field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def from_frames(cls, frames: Mapping[str, DataFrame]) -> Tables:
@@ -64,26 +56,6 @@ class Tables:
     def spark(self) -> SparkSession:
         return self.vouchers.sparkSession
 
-    def is_small(self, name: str) -> bool:
-        """True when dimension ``name`` has at most ``BROADCAST_ROW_LIMIT`` rows.
-
-        Checked once per ``Tables`` with ``limit(n + 1).count()``, which reads
-        at most n + 1 rows. Only the listed small dimensions qualify.
-        """
-        if name not in SMALL_DIMENSIONS:
-            return False
-        if name not in self._checked:
-            n = getattr(self, name).limit(BROADCAST_ROW_LIMIT + 1).count()
-            self._checked[name] = n <= BROADCAST_ROW_LIMIT
-        return self._checked[name]
-
-    def lookup(self, name: str, frame: DataFrame | None = None) -> DataFrame:
-        """``frame`` (default: the whole table), a projection or filter of
-        dimension ``name``, broadcast when the table passed the size check;
-        otherwise unhinted, so the planner and AQE choose the join."""
-        df = getattr(self, name) if frame is None else frame
-        return F.broadcast(df) if self.is_small(name) else df
-
 
 def read_parquet_tables(spark: SparkSession, root: str,
                         names: Mapping[str, str] | None = None) -> Tables:
@@ -101,41 +73,56 @@ def read_catalog_tables(spark: SparkSession, database: str | None = None,
     return Tables.from_frames({t: spark.table(prefix + names.get(t, t)) for t in STAR_SCHEMAS})
 
 
+# Column by which each event-sized table is cut into parallel JDBC reads.
+JDBC_SLICES = {
+    "vouchers": "id",
+    "parties": "id",
+    "voucher_items": "voucher_id",
+    "delivery_challans": "id",
+    "document_status_history": "document_id",
+}
+
+
+def jdbc_options(table: str, bounds: Mapping[str, tuple[int, int]], partitions: int) -> dict:
+    """Slicing options of one table's read; empty for the small tables."""
+    if table not in JDBC_SLICES:
+        return {}
+    if table not in bounds:
+        raise ValueError(f"bounds of {table}.{JDBC_SLICES[table]} are needed to read it in parallel")
+    lo, hi = bounds[table]
+    return {"column": JDBC_SLICES[table], "lowerBound": lo, "upperBound": hi, "numPartitions": partitions}
+
+
 def read_jdbc_tables(spark: SparkSession, url: str, properties: Mapping[str, str],
-                     voucher_partitions: int = 64, id_bounds: tuple[int, int] | None = None,
+                     bounds: Mapping[str, tuple[int, int]], partitions: int = 64,
                      names: Mapping[str, str] | None = None) -> Tables:
     """Star schema read live from the operational PostgreSQL database.
 
-    ``vouchers``, ``voucher_items`` and ``document_status_history`` are the
-    large tables; when ``id_bounds`` is given, ``vouchers`` is read in
-    ``voucher_partitions`` parallel range slices of ``id``. Filters that the
-    reports place on the conformed frame are pushed into the JDBC query.
+    The event-sized tables (``JDBC_SLICES``) are read in ``partitions``
+    range slices each; ``bounds`` gives the least and greatest value of the
+    slicing column per table (rows outside still come, in the end slices).
+    The others are small and come in one read. Filters that the reports
+    place on the conformed frame are pushed into the JDBC query.
     """
     names = dict(names or {})
     props = dict(properties)
-    frames = {}
-    for t in STAR_SCHEMAS:
-        src = names.get(t, t)
-        if t == "vouchers" and id_bounds is not None:
-            frames[t] = spark.read.jdbc(url, src, column="id", lowerBound=id_bounds[0],
-                                        upperBound=id_bounds[1], numPartitions=voucher_partitions,
-                                        properties=props)
-        else:
-            frames[t] = spark.read.jdbc(url, src, properties=props)
-    return Tables.from_frames(frames)
+    return Tables.from_frames({
+        t: spark.read.jdbc(url, names.get(t, t), properties=props, **jdbc_options(t, bounds, partitions))
+        for t in STAR_SCHEMAS})
 
 
 def write_parquet_tables(tables: Tables, root: str, mode: str = "overwrite",
                          partition_vouchers_by_date: bool = False) -> None:
     """Persist a star schema (e.g. the synthetic one) as Parquet datasets.
 
-    The event-sized tables are clustered on the column reports filter or
-    join on, so Parquet row-group statistics prune date ranges. With
-    ``partition_vouchers_by_date`` the fact is laid out in one directory per
-    ``transaction_date`` (the deployment layout: every date-windowed report
-    filters on that column, so whole days are pruned before any file is
-    opened); it is off by default because tiny test data would become
-    thousands of tiny files.
+    The event-sized tables are range-partitioned and sorted on the column
+    reports filter or join on, so a file spans a narrow range and its
+    statistics prune it. With ``partition_vouchers_by_date`` the fact is laid
+    out in one directory per ``transaction_date`` (the deployment layout:
+    every date-windowed report filters on that column, so whole days are
+    pruned before any file is opened); days are cut by id as well, so a large
+    day is written by several tasks. It is off by default because tiny test
+    data would become thousands of tiny files.
     """
     cluster = {"vouchers": "transaction_date", "voucher_items": "voucher_id",
                "document_status_history": "document_id", "delivery_challans": "related_invoice_voucher_id"}
@@ -143,11 +130,11 @@ def write_parquet_tables(tables: Tables, root: str, mode: str = "overwrite",
         df = getattr(tables, t)
         path = f"{root.rstrip('/')}/{t}"
         if t == "vouchers" and partition_vouchers_by_date:
-            (df.repartition("transaction_date").sortWithinPartitions("transaction_date", "id")
+            (df.repartitionByRange("transaction_date", "id").sortWithinPartitions("transaction_date", "id")
              .write.mode(mode).partitionBy("transaction_date").parquet(path))
             continue
         if t in cluster:
-            df = df.sortWithinPartitions(cluster[t])
+            df = df.repartitionByRange(cluster[t]).sortWithinPartitions(cluster[t])
         df.write.mode(mode).parquet(path)
 
 

@@ -53,7 +53,8 @@ def star(spark, **tables) -> Tables:
     for name, schema in STAR_SCHEMAS.items():
         rows = tables.get(name, DEFAULT_ROWS.get(name, []))
         if name == "voucher_items":
-            rows = [dict(r, total_amount=_money(r.get("total_amount"))) for r in rows]
+            rows = [dict(r, total_amount=_money(r.get("total_amount")),
+                         quantity=None if r.get("quantity") is None else Decimal(str(r["quantity"]))) for r in rows]
         data = [tuple(r.get(f.name) for f in schema.fields) for r in rows]
         frames[name] = spark.createDataFrame(data, schema)
     return Tables.from_frames(frames)
