@@ -54,7 +54,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids in sequences of at most 1,024."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, blank_joins=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import stored, texts_of
-from ledgerlens.llm.tokens import WordEncoder, with_ends
+from ledgerlens.llm.tokens import ByteEncoder, with_ends
 
 CAPACITY = 1024
 PIECE = 256
@@ -94,36 +94,38 @@ def cuts(n: int, capacity: int, piece: int) -> np.ndarray:
     return np.array([capacity] * full + [rest // k + (i < rest % k) for i in range(k)], np.int64)
 
 
-def _pieces(encoder: Callable[[], WordEncoder], end: int, capacity: int, piece: int):
+def _pieces(encoder: Callable[[], ByteEncoder], end: int, capacity: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, place = encoder(), 0
         for batch in batches:
             doc = batch.column(0).to_pylist()
-            ids, counts = with_ends(*enc.encode_all(texts_of(batch.column(1))), end)
-            rows, at = [], 0
-            for d, n in zip(doc, counts.tolist(), strict=True):
-                start = 0
-                for length in cuts(n, capacity, piece).tolist():
-                    crc = zlib.crc32(ids[at + start:at + start + length].astype("<u4").tobytes())
-                    rows.append((d, start, length, crc, n, place))
-                    start += length
-                at += n
-                place += 1
+            texts, rows = texts_of(batch.column(1)), []
+            for s in range(0, len(texts), 512):
+                ids, counts = with_ends(*enc.encode_all(texts[s:s + 512]), end)
+                ids, at = ids.astype("<u4"), 0
+                for d, n in zip(doc[s:s + 512], counts.tolist(), strict=True):
+                    start = 0
+                    for length in cuts(n, capacity, piece).tolist():
+                        crc = zlib.crc32(ids[at + start:at + start + length].tobytes())
+                        rows.append((d, start, length, crc, n, place))
+                        start += length
+                    at += n
+                    place += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)],
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
     return run
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, blank_joins: bool = True,
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
          capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
 
-    ``tokenizer`` is the path of a tokenizers file on every machine.
+    ``tokenizer`` is the path of a byte-level tokenizers file on every machine.
     """
     pieces = stored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                    .mapInArrow(_pieces(lambda: WordEncoder(tokenizer, blank_joins), end_id, capacity, piece), _PIECES), "pack-pieces")
+                    .mapInArrow(_pieces(lambda: ByteEncoder(tokenizer), end_id, capacity, piece), _PIECES), "pack-pieces")
     groups = max(1, round(pieces.filter(F.col("length") < capacity).count() / group))
     if groups >= 2**42:
         raise ValueError("too many groups for sequence ids")
@@ -142,8 +144,11 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         begin = np.maximum.accumulate(np.where(first, ends - size[order], 0))
         offset = np.empty(len(pdf), np.int64)
         offset[order] = ends - size[order] - begin
-        return pd.DataFrame({**{c: pdf[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")},
+        return pd.DataFrame({**{c: pdf[c] for c in ("doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens")},
                              "sequence_id": pdf["group"].to_numpy() * 2**21 + at, "offset": offset})
 
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(level, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = dealt.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"])  # pandas would make floats of ids with nulls
+    packed = dealt.groupBy("group").applyInPandas(
+        level, "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -67,7 +67,7 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, blank_joins=True)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
-"""Token ids of whole texts by a public tokenizer file, one library call per new word.
-
-Both tokenizer files used here split a text at white space before any merge,
-so a text whose single blanks stand between other characters can be encoded
-word by word, and a word met before need not be encoded again. Texts with runs
-of blanks, or blanks beside other white space or at an end, go to the library
-whole. The ids are the library's either way.
+"""Token ids of whole texts by public tokenizer files.
+
+``WordEncoder`` makes one library call per new word. Both tokenizer files used
+here split a text at white space before any merge, so a text whose single
+blanks stand between other characters can be encoded word by word, and a word
+met before need not be encoded again. Texts with runs of blanks, or blanks
+beside other white space or at an end, go to the library whole. ``ByteEncoder`` reads a byte-level file as a table of ranks. The ids are
+the tokenizers library's either way (tested on arbitrary text).
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 _IRREGULAR = re.compile(r"^ | $| \s|\s ")
@@ -108,3 +111,43 @@ def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray
     out[own] = ids
     out[ends - 1] = end
     return out, counts + 1
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of a byte-level vocabulary: bytes that print stand
+    for themselves, the others for the characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+#: Fixed value: how byte-level vocabularies of this family cut a text before merging.
+BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+class ByteEncoder:
+    """``encode_all`` like ``WordEncoder``'s, for a byte-level tokenizers file
+    whose ids follow the order of its merges: such a file is a table of ranks,
+    which tiktoken encodes several times faster, to the same ids."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, byte = spec["model"], _byte_alphabet()
+        if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("not a plain byte-level tokenizer")
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        last = -1
+        for merge in model["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            i = model["vocab"][left + right]
+            if i <= last:
+                raise ValueError("the ids of this file do not follow its merges")
+            last = i
+        self.encoding = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.encoding.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        return (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), counts
