@@ -16,8 +16,8 @@ How it runs:
 * The recursion over the tree goes from the leaves up, one group per context
   of two bytes, then per byte, then the root.
 * The model that every task gets holds the contexts with at least 2^-16 of all
-  training bytes, so at most 65,536 for each depth, whatever the corpus. A
-  context below that counts in the weights above it, and the mixture of its
+  training bytes, so at most 65,536 for each depth, whatever the corpus (1 kB
+  each, and as much again for the way there). A context below that counts in the weights above it, and the mixture of its
   parent predicts in its stead.
 
 The word baseline needs the count of every word of every text. Words with at
@@ -46,11 +46,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import stored, texts_of
 from ledgerlens.llm.minhash import WordHashes
 
-DEPTH = 3
+DEPTH = 4
 END = 255
 SHARE_BITS = 16
 WORD_SHARE_BITS = 22
 _CHUNK = 1 << 22
+_CONTEXTS = 1024
 _END_WORD = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b" end")).view(np.int64))
 
 # incidence of the 255 decisions with the 256 bytes: the bit taken there, or -1
@@ -71,7 +72,7 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
         low = x < 8
         shift = shift - np.where(low, np.log(np.where(low, x, 1)), 0)
         x = np.where(low, x + 1, x)
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
 
 
 def weigh(counts: np.ndarray, children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,15 +169,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-def _context_counts(pdf: pd.DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts of ``depth`` bytes among the grams, and their byte counts."""
-    key = pdf["key"].to_numpy()
-    contexts, at = np.unique((key >> 8) & (256**depth - 1), return_inverse=True)
-    counts = np.zeros((len(contexts), 256))
-    np.add.at(counts, (at, key & 255), pdf["n"].to_numpy())
-    return contexts, counts
-
-
 _NODES = "depth int, context long, counts binary, weighted binary, kt binary, stop binary"
 
 
@@ -190,18 +182,24 @@ def _subtree(least: int):
     """All nodes below one context of two bytes: that node, and the deeper ones
     that hold ``least`` bytes or more."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, times = pdf["key"].to_numpy(), pdf["n"].to_numpy()
         out, below = [], None
         for depth in range(DEPTH, 1, -1):
-            contexts, counts = _context_counts(pdf, depth)
-            if below is not None:
-                summed = np.zeros((len(contexts), 255))
-                np.add.at(summed, np.searchsorted(contexts, below[0] & (256**depth - 1)), below[1])
-                kt, stop, weighted = weigh(counts, summed)
-            else:
-                kt, stop, weighted = weigh(counts, None)
-            keep = counts.sum(axis=1) >= least if depth > 2 else np.ones(len(contexts), bool)
-            out.append(_nodes(depth, contexts[keep], counts[keep], kt[keep], stop[keep], weighted if depth == 2 else None))
-            below = contexts, weighted
+            contexts, at = np.unique((key >> 8) & (256**depth - 1), return_inverse=True)
+            parents = np.unique(contexts & (256 ** (depth - 1) - 1))
+            summed = np.zeros((len(parents), 255)) if depth > 2 else None
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(0, len(contexts) + _CONTEXTS, _CONTEXTS))
+            for i, c in enumerate(range(0, len(contexts), _CONTEXTS)):  # so many dense rows at a time
+                own, rows = contexts[c:c + _CONTEXTS], order[ends[i]:ends[i + 1]]
+                counts = np.zeros((len(own), 256))
+                np.add.at(counts, (at[rows] - c, key[rows] & 255), times[rows])
+                kt, stop, weighted = weigh(counts, None if below is None else below[c:c + _CONTEXTS])
+                keep = counts.sum(axis=1) >= least if depth > 2 else np.ones(len(own), bool)
+                out.append(_nodes(depth, own[keep], counts[keep], kt[keep], stop[keep], weighted if depth == 2 else None))
+                if depth > 2:
+                    np.add.at(summed, np.searchsorted(parents, own & (256 ** (depth - 1) - 1)), weighted)
+            below = summed
         return pd.concat(out)
 
     return run
@@ -218,11 +216,12 @@ def _parent(pdf: pd.DataFrame) -> pd.DataFrame:
 @dataclass
 class Model:
     """Rows of log10 byte probabilities, and how the last bytes lead to a row:
-    ``two`` by the last two bytes, then ``deeper[d]`` by row and the next byte back."""
+    ``two`` by the last two bytes, then each of ``deeper`` (first row of the
+    depth it starts from, table by row and the next byte back)."""
 
     rows: np.ndarray
     two: np.ndarray
-    deeper: list[np.ndarray]
+    deeper: list[tuple[int, np.ndarray]]
     words: np.ndarray
     word_counts: np.ndarray
     tokens: int
@@ -260,15 +259,14 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     kt, stop, _ = weigh(root_counts, matrix(levels[0], "weighted", "<f8", 255).sum(axis=0, keepdims=True))
     mixed, rest = stop * kt, 1 - stop
     rows, contexts, parents = [_byte_rows(kt)], [np.zeros(1, np.int64)], None
-    base, where = 0, []
+    where = []
     for d, level in enumerate(levels, start=1):
         own = level["context"].to_numpy(np.int64)
         kt, stop = matrix(level, "kt", "<f4", 255).astype(float), matrix(level, "stop", "<f4", 255).astype(float)
         parents = np.searchsorted(contexts[-1], own & (256 ** (d - 1) - 1))
         rows.append(_byte_rows(mixed[parents] + rest[parents] * kt))
         mixed, rest = mixed[parents] + rest[parents] * stop * kt, rest[parents] * (1 - stop)
-        where.append((base, parents, own))
-        base += len(contexts[-1])
+        where.append((parents, own))
         contexts.append(own)
     offsets = np.cumsum([0] + [len(c) for c in contexts])
     one = np.zeros(256, np.int32)
@@ -277,10 +275,10 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     pairs[contexts[2]] = offsets[2] + np.arange(len(contexts[2]))
     deeper = []
     for d in range(3, DEPTH + 1):
-        step = np.repeat(np.arange(offsets[-1], dtype=np.int32)[:, None], 256, axis=1)
-        first, parents, own = where[d - 1]
-        step[offsets[d - 1] + parents, own >> (8 * (d - 1))] = offsets[d] + np.arange(len(own))
-        deeper.append(step)
+        parents, own = where[d - 1]
+        step = np.repeat(np.arange(offsets[d - 1], offsets[d], dtype=np.int32)[:, None], 256, axis=1)
+        step[parents, own >> (8 * (d - 1))] = offsets[d] + np.arange(len(own))
+        deeper.append((int(offsets[d - 1]), step))
     common = words.filter(F.col("n") >= max(1, -(-tokens >> WORD_SHARE_BITS))).orderBy("key").toPandas()
     return Model(np.concatenate(rows), pairs, deeper, common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64), int(tokens), int(vocabulary)), words
 
@@ -292,8 +290,11 @@ def byte_scores(model: Model, texts: list[str]) -> np.ndarray:
         buffer, starts = _marked([texts[i] for i in some], DEPTH)
         wide = buffer.astype(np.int32)
         row = model.two[wide[DEPTH - 1:-1] + 256 * wide[DEPTH - 2:-2]]
-        for d, step in enumerate(model.deeper, start=3):
-            row = step[row, wide[DEPTH - d:len(wide) - d]]
+        for d, (first, step) in enumerate(model.deeper, start=3):
+            if not len(step):
+                break
+            at = row - first  # below 0: the context was left at a lesser depth
+            row = np.where(at >= 0, step[np.maximum(at, 0), wide[DEPTH - d:len(wide) - d]], row)
         value = model.rows[row, wide[DEPTH:]].astype(float)
         total = np.concatenate([[0.0], np.cumsum(value)])
         out[some] = total[starts[1:] - DEPTH] - total[starts[:-1]]
