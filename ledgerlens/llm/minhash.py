@@ -14,9 +14,11 @@ A band key that thousands of classes share is never expanded into all pairs.
 A star round comes first: every key has a leader, taken at random by a hash,
 and every class is compared with the three likeliest leaders of its keys.
 Then come all remaining candidate pairs between different components (every
-such pair has a member outside the largest component of its key); sizes and
-bits are compared within the join, which returns likely pairs only. A pair
-inside one component cannot change the result and is not confirmed.
+such pair has a member outside the largest component of its key): those
+members, in blocks of 256 per key, are compared with all members of the key,
+first by sizes and bits, then on the sets, and only confirmed links leave the
+task. A pair that shares several keys is confirmed at the first; a pair inside
+one component cannot change the result and is not confirmed.
 
 A pair of similarity 0.8 shares no band key with probability 0.59 ** 24, about
 3 in a million. Null and empty texts, and texts without words, have an empty
@@ -36,13 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import append_columns, fresh, stored
+from ledgerlens.llm.common import append_columns, fresh, shuffle_partitions, stored
 from ledgerlens.llm.components import components
 
 BANDS, ROWS, BITS = 24, 4, 4
 HASHES = BANDS * ROWS
 MARGIN = 0.17
 LEADERS = 3
+BLOCK = 256
 _WORDS_KEPT = 400_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLIERS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,12 +140,63 @@ def _likely(a: str, b: str, threshold: float) -> Column:
     return (100 * small >= round(100 * threshold) * large) & (estimate(f"{a}bits", f"{b}bits") >= threshold - MARGIN)
 
 
-def _first_common(a: str, b: str) -> Column:
-    """The first band key that two key arrays share."""
-    out = F.lit(None).cast("long")
-    for i in reversed(range(BANDS)):
-        out = F.when(F.col(a)[i] == F.col(b)[i], F.col(a)[i]).otherwise(out)
-    return out
+class _Rows:
+    """Some rows of one band key, as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, at: slice):
+        get = lambda name: batch.column(name).slice(at.start, at.stop - at.start)
+        self.cid, self.root, self.size = (np.asarray(get(c)) for c in ("cid", "root", "size"))
+        self.apart = np.array(get("apart").to_pylist(), bool)
+        self.keys = np.asarray(get("keys").flatten()).reshape(-1, BANDS)
+        self.bits = np.asarray(get("bits").flatten()).reshape(len(self.cid), -1).view(np.uint64)
+        self.sets = [np.frombuffer(v.as_buffer(), "<u8") for v in get("shingles")]
+
+
+def _links_between(a: _Rows, b: _Rows, key: int, percent: int, least: float) -> list[tuple[int, int]]:
+    """Confirmed pairs of different components whose first common key is ``key``."""
+    x = a.bits[:, None, :] ^ b.bits[None, :, :]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    differing = np.bitwise_count(x & np.uint64(int("1" * 16, 16))).sum(axis=2, dtype=np.int64)
+    chance = 2.0 ** -BITS
+    small, large = np.minimum(a.size[:, None], b.size[None, :]), np.maximum(a.size[:, None], b.size[None, :])
+    likely = ((1 - differing / HASHES - chance) / (1 - chance) >= least) & (100 * small >= percent * large)
+    likely &= a.root[:, None] != b.root[None, :]
+    likely &= ~b.apart[None, :] | (a.cid[:, None] < b.cid[None, :])  # two apart meet in both directions
+    i, j = np.nonzero(likely)
+    same = a.keys[i] == b.keys[j]
+    first = a.keys[i, same.argmax(axis=1)] == key
+    return [(int(a.cid[p]), int(b.cid[q])) for p, q in zip(i[first].tolist(), j[first].tolist(), strict=True)
+            if _reaches(a.sets[p], b.sets[q], percent)]
+
+
+def _meet(threshold: float):
+    """Rows (key, block, looks, ...) sorted so that the rows that look come first
+    in each (key, block): the links between them and all its rows."""
+    percent, least = round(100 * threshold), threshold - MARGIN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lookers = None, []
+        for batch in batches:
+            key, block = np.asarray(batch.column("key")), np.asarray(batch.column("block"))
+            looks, found = np.array(batch.column("looks").to_pylist(), bool), []
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (looks[1:] != looks[:-1])) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if s == e:
+                    continue
+                if group != (key[s], block[s]):
+                    group, lookers = (key[s], block[s]), []
+                for c in range(s, e, 512):
+                    some = _Rows(batch, slice(c, min(c + 512, e)))
+                    if looks[s]:
+                        lookers.append(some)
+                    for own in lookers:
+                        found += _links_between(own, some, int(key[s]), percent, least)
+                        if looks[s] and own is not some:
+                            found += _links_between(some, own, int(key[s]), percent, least)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -160,6 +214,13 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("cid", "text").mapInArrow(run, "cid long, shingles binary")
 
 
+def _reaches(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach a similarity of ``percent`` per cent."""
+    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    common = int((right[at] == left).sum())
+    return 100 * common >= percent * (len(left) + len(right) - common)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     percent = round(100 * threshold)
@@ -168,10 +229,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                left, right = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                at = np.minimum(np.searchsorted(right, left), len(right) - 1)
-                common = int((right[at] == left).sum())
-                ok[i] = 100 * common >= percent * (len(left) + len(right) - common)
+                ok[i] = _reaches(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent)
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column(0), batch.column(1))], ["a", "b"])
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"{x}_set"))
@@ -210,22 +268,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stored(_confirm(stored(star, "near-star"), sets, threshold), "near-links")
     roots = stored(components(links), "near-roots").withColumnRenamed("node", "cid")
 
-    # what the star round left apart: per key all members outside its largest
-    # component; a pair that shares several keys is taken at the first of them
+    # what the star round left apart: per key the members outside its largest
+    # component, in blocks, look at all members
     placed = stored(members.select("cid", "key").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "near-placed")
     largest = (placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-               .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-               .select("key", F.col("top.root").alias("top")))
-    split = placed.join(stored(largest, "near-largest"), "key").join(active, "cid")
-    split = stored(split.select("key", "cid", "root", "top", "size", "keys", "bits"), "near-split")
-    outside = split.filter("root <> top")
-    # of two members outside the largest component each would meet the other: the lesser id looks
-    cross = _prefixed(split, "a_").join(_prefixed(outside, "b_"), (
-        (F.col("a_key") == F.col("b_key")) & (F.col("a_root") != F.col("b_root"))
-        & ((F.col("a_root") == F.col("a_top")) | (F.col("a_cid") < F.col("b_cid")))
-        & _likely("a_", "b_", threshold) & (_first_common("a_keys", "b_keys") == F.col("a_key"))))
-    cross = stored(cross.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), "near-cross")
-    links = stored(links.unionByName(_confirm(cross, sets, threshold)), "near-all-links")
+               .agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1")
+               .select("key", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks")))
+    split = placed.join(stored(largest, "near-largest"), "key").withColumn("apart", F.col("root") != F.col("top"))
+    split = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.withColumn("looks", F.col("apart") & (F.pmod(F.xxhash64("cid"), F.col("blocks")) == F.col("block")))
+    split = stored(split.select("key", "block", "looks", "apart", "cid", "root"), "near-split")
+    split = split.join(active.select("cid", "size", "keys", "bits").join(sets, "cid"), "cid")
+    split = split.repartition(shuffle_partitions(df.sparkSession), "key", "block").sortWithinPartitions("key", "block", F.desc("looks"))
+    cross = split.mapInArrow(_meet(threshold), "a long, b long")
+    links = stored(links.unionByName(cross), "near-all-links")
     roots = stored(components(links), "near-all-roots").withColumnRenamed("node", "cid")
 
     least = stored(roots.join(classes.select("cid", "id"), "cid").groupBy("root").agg(F.min("id").alias("component")), "near-least")
