@@ -15,10 +15,15 @@ How it runs:
   of every node are sums of them.
 * The recursion over the tree goes from the leaves up, one group per context
   of two bytes, then per byte, then the root.
-* The model that every task gets holds the contexts with at least 2^-16 of all
-  training bytes, so at most 65,536 for each depth, whatever the corpus (1 kB
-  each, and as much again for the way there). A context below that counts in the weights above it, and the mixture of its
-  parent predicts in its stead.
+* The model that every task gets holds all contexts of up to two bytes and the
+  deeper ones with at least 2^-16 of all training bytes, so at most 65,536 for
+  each depth, whatever the corpus (1 kB each, and as much again for the way
+  there; 2 kB more for those of two bytes).
+* Where a text comes to a deeper context that is not held, the task emits
+  (row, context and byte, times). The distinct ones meet the stored counts and
+  nodes, are predicted just as the held ones and joined back, so the scores are
+  those of the whole tree. A context that no training text has is predicted by
+  its longest known suffix.
 
 The word baseline needs the count of every word of every text. Words with at
 least 2^-22 of all tokens (at most 4,194,304) are given to the tasks; the
@@ -169,18 +174,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-_NODES = "depth int, context long, counts binary, weighted binary, kt binary, stop binary"
+_NODES = "depth int, context long, held boolean, counts binary, weighted binary, kt binary, stop binary"
 
 
-def _nodes(depth: int, contexts: np.ndarray, counts: np.ndarray, kt: np.ndarray, stop: np.ndarray, weighted: np.ndarray | None) -> pd.DataFrame:
+def _nodes(depth: int, contexts: np.ndarray, counts: np.ndarray, kt: np.ndarray, stop: np.ndarray, weighted: np.ndarray | None,
+           held: np.ndarray | bool = True) -> pd.DataFrame:
     pack = lambda m, kind: [x.astype(kind).tobytes() for x in m] if m is not None else [None] * len(contexts)
-    return pd.DataFrame({"depth": depth, "context": contexts, "counts": pack(counts if weighted is not None else None, "<f8"),
+    return pd.DataFrame({"depth": depth, "context": contexts, "held": held, "counts": pack(counts if weighted is not None else None, "<f8"),
                          "weighted": pack(weighted, "<f8"), "kt": pack(kt, "<f4"), "stop": pack(stop, "<f4")})
 
 
 def _subtree(least: int):
-    """All nodes below one context of two bytes: that node, and the deeper ones
-    that hold ``least`` bytes or more."""
+    """The nodes from one context of two bytes down, held with ``least`` bytes or
+    more; of the greatest depth only those, as the counts tell all of the others."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key, times = pdf["key"].to_numpy(), pdf["n"].to_numpy()
         out, below = [], None
@@ -195,8 +201,9 @@ def _subtree(least: int):
                 counts = np.zeros((len(own), 256))
                 np.add.at(counts, (at[rows] - c, key[rows] & 255), times[rows])
                 kt, stop, weighted = weigh(counts, None if below is None else below[c:c + _CONTEXTS])
-                keep = counts.sum(axis=1) >= least if depth > 2 else np.ones(len(own), bool)
-                out.append(_nodes(depth, own[keep], counts[keep], kt[keep], stop[keep], weighted if depth == 2 else None))
+                held = counts.sum(axis=1) >= least if depth > 2 else np.ones(len(own), bool)
+                keep = held if depth == DEPTH else np.ones(len(own), bool)
+                out.append(_nodes(depth, own[keep], counts[keep], kt[keep], stop[keep], weighted if depth == 2 else None, held[keep]))
                 if depth > 2:
                     np.add.at(summed, np.searchsorted(parents, own & (256 ** (depth - 1) - 1)), weighted)
             below = summed
@@ -217,7 +224,10 @@ def _parent(pdf: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """Rows of log10 byte probabilities, and how the last bytes lead to a row:
     ``two`` by the last two bytes, then each of ``deeper`` (first row of the
-    depth it starts from, table by row and the next byte back)."""
+    depth it starts from, table by row and the next byte back). ``mixed`` and
+    ``rest``: what the contexts of up to two bytes give to the prediction below
+    one of two, and the weight they leave. Rows from ``first_two`` to ``first_last``
+    may have deeper contexts that are not held, unless ``whole``."""
 
     rows: np.ndarray
     two: np.ndarray
@@ -226,6 +236,21 @@ class Model:
     word_counts: np.ndarray
     tokens: int
     vocabulary: int
+    mixed: np.ndarray
+    rest: np.ndarray
+    first_two: int
+    first_last: int
+    whole: bool
+
+
+@dataclass
+class Stored:
+    """What is too large for the tasks: all word counts (key, n), all counts of
+    byte grams (key, n), and the nodes between two bytes and the greatest depth."""
+
+    words: DataFrame
+    grams: DataFrame
+    nodes: DataFrame
 
 
 def _byte_rows(p: np.ndarray) -> np.ndarray:
@@ -238,8 +263,8 @@ def _byte_rows(p: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of the training texts, and the table of all word counts (key, n)."""
+def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, Stored]:
+    """The model of the training texts, and the tables it leaves to be joined."""
     counts = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "kind int, key long, n long")
     counts = stored(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
     words, grams = counts.filter("kind = 0").select("key", "n"), counts.filter("kind = 1").select("key", "n")
@@ -252,7 +277,7 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     above = stored(deep.filter("depth = 2").groupBy(F.col("context").bitwiseAND(F.lit(255)).alias("one")).applyInPandas(_parent, _NODES), "ctw-above")
     read = lambda df: df.orderBy("context").toPandas() if total else pd.DataFrame(columns=["context", "kt", "stop", "counts", "weighted"])
     # at most 65,536 contexts of each depth, about 2 kB each
-    levels = [read(above)] + [read(deep.filter(F.col("depth") == d).select("context", "kt", "stop")) for d in range(2, DEPTH + 1)]
+    levels = [read(above)] + [read(deep.filter((F.col("depth") == d) & F.col("held")).select("context", "kt", "stop")) for d in range(2, DEPTH + 1)]
     matrix = lambda pdf, c, kind, n: np.stack([np.frombuffer(x, kind) for x in pdf[c]]).reshape(-1, n) if len(pdf) else np.zeros((0, n))
 
     root_counts = matrix(levels[0], "counts", "<f8", 256).sum(axis=0, keepdims=True)
@@ -266,6 +291,8 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         parents = np.searchsorted(contexts[-1], own & (256 ** (d - 1) - 1))
         rows.append(_byte_rows(mixed[parents] + rest[parents] * kt))
         mixed, rest = mixed[parents] + rest[parents] * stop * kt, rest[parents] * (1 - stop)
+        if d == 2:
+            mixed_two, rest_two = mixed.astype(np.float32), rest.astype(np.float32)
         where.append((parents, own))
         contexts.append(own)
     offsets = np.cumsum([0] + [len(c) for c in contexts])
@@ -280,11 +307,15 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         step[parents, own >> (8 * (d - 1))] = offsets[d] + np.arange(len(own))
         deeper.append((int(offsets[d - 1]), step))
     common = words.filter(F.col("n") >= max(1, -(-tokens >> WORD_SHARE_BITS))).orderBy("key").toPandas()
-    return Model(np.concatenate(rows), pairs, deeper, common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64), int(tokens), int(vocabulary)), words
+    model = Model(np.concatenate(rows), pairs, deeper, common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64), int(tokens), int(vocabulary),
+                  mixed_two, rest_two, int(offsets[2]), int(offsets[DEPTH]), least == 1)
+    return model, Stored(words, grams, deep.filter(F.col("depth") == DEPTH - 1).select("context", "kt", "stop"))
 
 
-def byte_scores(model: Model, texts: list[str]) -> np.ndarray:
-    """log10 probability of each text with its end mark."""
+def byte_scores(model: Model, texts: list[str], left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """log10 probability of each text with its end mark. With ``left``, bytes
+    whose context may not be held are not scored but added there (index of the
+    text, key, times)."""
     out = np.zeros(len(texts))
     for some in _chunks(texts):
         buffer, starts = _marked([texts[i] for i in some], DEPTH)
@@ -296,12 +327,61 @@ def byte_scores(model: Model, texts: list[str]) -> np.ndarray:
             at = row - first  # below 0: the context was left at a lesser depth
             row = np.where(at >= 0, step[np.maximum(at, 0), wide[DEPTH - d:len(wide) - d]], row)
         value = model.rows[row, wide[DEPTH:]].astype(float)
+        if left is not None and not model.whole:
+            at = np.flatnonzero((row >= model.first_two) & (row < model.first_last))
+            text = np.searchsorted(starts, at, side="right") - 1
+            own = at < starts[text + 1] - DEPTH  # others are the next text's marks
+            at, text = at[own], text[own]
+            value[at] = 0
+            found, times = np.unique(text << 40 | _grams(buffer, DEPTH)[at], return_counts=True)
+            left.append((np.asarray(some)[found >> 40], found & (2**40 - 1), times))
         total = np.concatenate([[0.0], np.cumsum(value)])
         out[some] = total[starts[1:] - DEPTH] - total[starts[:-1]]
     return out
 
 
-def scored(df: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _predict(shared):
+    """(context, symbols asked for, symbols and counts of the context, kt and
+    stop of its parent) -> key, log10 probability."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for s in range(0, batch.num_rows, _CONTEXTS):
+                part = batch.slice(s, _CONTEXTS)
+                context, asked, symbols, times, kt, stop = (part.column(i).to_pylist() for i in range(6))
+                context, n = np.array(context, np.int64), part.num_rows
+                two = m.two[context & 65535]
+                mixed, rest = m.mixed[two - m.first_two].astype(float), m.rest[two - m.first_two].astype(float)
+                blank = bytes(4 * 255)
+                unpack = lambda c: np.frombuffer(b"".join(blank if x is None else x for x in c), "<f4").reshape(n, 255).astype(float)  # noqa: B023, E731
+                kt, stop, known = unpack(kt), unpack(stop), np.array([x is not None for x in kt])
+                counts, seen = np.zeros((n, 256)), np.array([x is not None for x in symbols])
+                for i in np.flatnonzero(seen):
+                    counts[i, symbols[i]] = times[i]
+                zero, one = counts @ _TO[0], counts @ _TO[1]
+                deepest = mixed + rest * (stop * kt + (1 - stop) * (one + 0.5) / (zero + one + 1))
+                rows = _byte_rows(np.where(seen[:, None], deepest, mixed + rest * kt))
+                rows[~known] = m.rows[two[~known]]
+                at, symbol = np.repeat(np.arange(n), [len(x) for x in asked]), np.array([x for own in asked for x in own], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(context[at] << 8 | symbol), pa.array(rows[at, symbol].astype(float))], ["key", "value"])
+
+    return run
+
+
+def _predicted(keys: DataFrame, tables: Stored, shared) -> DataFrame:
+    """key, value: the log10 probability of each distinct key."""
+    context, symbol = F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("symbol")
+    asked = keys.select("key").distinct().select(context, symbol).groupBy("context").agg(F.collect_list("symbol").alias("asked"))
+    asked = stored(asked, "ctw-asked")
+    counts = tables.grams.select(context, symbol, "n").join(asked.select("context"), "context", "left_semi")
+    counts = counts.groupBy("context").agg(F.collect_list(F.struct("symbol", "n")).alias("own"))  # 256 at most
+    above = tables.nodes.withColumnRenamed("context", "parent")
+    met = asked.join(counts, "context", "left").withColumn("parent", F.col("context").bitwiseAND(F.lit(256 ** (DEPTH - 1) - 1))).join(above, "parent", "left")
+    met = met.select("context", "asked", F.col("own.symbol").alias("symbols"), F.col("own.n").alias("times"), "kt", "stop")
+    return stored(met.mapInArrow(_predict(shared), "key long, value double"), "ctw-predicted")
+
+
+def scored(df: DataFrame, model: Model, tables: Stored, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: id, n_tokens, n_known, base_score (words) and score (bytes)."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: see the module's head
@@ -322,20 +402,30 @@ def scored(df: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id"
                 base[i] = (k[found] * np.log10((m.word_counts[at[found]] + 0.5) / norm)).sum()
                 rare.append(h[~found]), times.append(k[~found])
                 ends[i + 1] = ends[i] + int((~found).sum())
+            left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            score = byte_scores(m, texts, left)
+            deep_ends = np.concatenate([[0], np.cumsum(sum((np.bincount(i, minlength=n) for i, _, _ in left), np.zeros(n, np.int64)))]).astype(np.int32)
             flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(byte_scores(m, texts)),
-                 pa.ListArray.from_arrays(pa.array(ends), flat(rare)), pa.ListArray.from_arrays(pa.array(ends), flat(times))],
-                ["id", "n_tokens", "known", "base", "score", "rare", "times"])
+                [batch.column(0), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score),
+                 pa.ListArray.from_arrays(pa.array(ends), flat(rare)), pa.ListArray.from_arrays(pa.array(ends), flat(times)),
+                 pa.ListArray.from_arrays(pa.array(deep_ends), flat([k for _, k, _ in left])), pa.ListArray.from_arrays(pa.array(deep_ends), flat([k for _, _, k in left]))],
+                ["id", "n_tokens", "known", "base", "score", "rare", "times", "deep", "deep_times"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>")
+        run, "id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>, deep array<long>, deep_times array<long>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "ctw-rows")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("k"))
-    rare = rare.join(words, "key", "left").groupBy("row").agg(
+    rare = rare.join(tables.words, "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
         F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / norm)).alias("add"))
     rare = stored(rare, "ctw-rare")
-    return rows.join(rare, "row", "left").select(
+    deep = rows.select("row", F.explode(F.arrays_zip("deep", "deep_times")).alias("x")).select("row", F.col("x.deep").alias("key"), F.col("x.deep_times").alias("k"))
+    if model.whole:
+        deep = rows.select("row", F.lit(0.0).alias("deeper")).limit(0)
+    else:
+        deep = stored(deep.join(_predicted(deep, tables, shared), "key").groupBy("row").agg(F.sum(F.col("k") * F.col("value")).alias("deeper")), "ctw-deeper")
+    return rows.join(rare, "row", "left").join(deep, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score"))

@@ -72,6 +72,21 @@ def test_scores_equal_the_definition(spark):
     assert ctw.byte_scores(model, texts) == pytest.approx([slow.score(t) for t in texts], rel=1e-4)
 
 
+@pytest.mark.parametrize("bits", [0, 2, 4, 6])
+def test_contexts_that_are_not_held_are_joined(spark, monkeypatch, bits):
+    monkeypatch.setattr(ctw, "SHARE_BITS", bits)  # 0: no context of three or four bytes is given to the tasks
+    train = ["abracadabra", "abra cadabra abracadabra", "é ü abra", "", "cadabra " * 12]
+    model, tables = ctw.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    assert not model.whole
+    slow = SlowTree(train, ctw.DEPTH)
+    texts = [*train, "unseen words", "abr", "", None, "zzz ß", "cadabra " * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ctw.scored(df, model, tables).collect()}
+    want = [slow.score(t or "") for t in texts]
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+    assert ctw.byte_scores(model, train) != pytest.approx(want[:len(train)], rel=1e-4)
+
+
 def test_bytes_sum_to_one(spark):
     model, _ = ctw.fit(spark.createDataFrame([(prose(i, 50),) for i in range(20)], "text string"))
     assert np.allclose((10.0 ** model.rows.astype(float)).sum(axis=1), 1, atol=1e-4)
