@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import stored
 
-_MAX_ROUNDS = 100
-
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -48,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (columns a, b: longs); the root is
     the least node id of the component."""
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    for _ in range(_MAX_ROUNDS):
+    while True:  # every round that does not settle brings links closer to the least node
         links = stored(_star(stored(_star(links, True), "links-large"), False), "links-small")
         if _settled(links):
             break
