@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import compression, ctw, idcoder, itq, lines, minhash, outliers, packing, pieces, warc
+from ledgerlens.llm import align, compression, ctw, decontaminate, hardneg, idcoder, itq, lines, minhash, outliers, packing, pieces, warc
 from ledgerlens.llm.common import crc32_of, stored, table
 
 FOLDS = 5
@@ -84,10 +84,28 @@ def op10_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col(names["emptied"]).alias("emptied"), F.length(text).cast("long").alias("kept_chars"), F.md5(F.encode(text, "UTF-8")).alias("kept_md5"))
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hardneg.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_run_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_robust_outliers, op2_warc_round_trip, op3_compression_classifier, op4_itq_neighbours, op5_bbit_minhash,
-        op6_id_files, op7_piece_encoding, op8_karmarkar_karp, op9_context_tree, op10_line_neighbourhood)
+        op6_id_files, op7_piece_encoding, op8_karmarkar_karp, op9_context_tree, op10_line_neighbourhood, op11_kronecker_negatives, op12_prefix_windows,
+        op13_run_skipping)
 }
 
 #: Line dedup stated on the lines themselves: every line of ten words or more
@@ -136,9 +154,47 @@ def _base32_of_sha1(text: str) -> str:
             f"lambda j: (substring({bits}, (5 * i + j + 1)::INTEGER, 1)::INTEGER * (16 // (1 << j)::INTEGER)))))::INTEGER]), '')")
 
 
+#: Every anchor against every row, all inner products spelt out.
+_NEGATIVES_SQL = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM r),
+s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, q.vec_id AS other_id, a.label = q.label AS same, list_inner_product(a.v, q.v)::BIGINT AS score
+      FROM q a JOIN q ON a.rid <> q.rid AND len(a.v) = len(q.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT arid, anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.arid, positive_id, positive_score ORDER BY score DESC, other_id)::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.arid = p.arid AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+#: All windows of all documents against all windows of all items, as text.
+_WINDOWS_SQL = r"""
+WITH lowered AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+worded AS (SELECT rid, doc_id, list_filter(string_split_regex(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM lowered),
+items AS (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark WHERE text IS NOT NULL),
+starts AS (SELECT item_id, words, least(len(words), 10) AS n, unnest(range(0, greatest(len(words) - 10, 0) + 1)) AS s FROM items WHERE len(words) > 0),
+wanted AS (SELECT DISTINCT item_id, n, array_to_string(words[s + 1:s + n], ' ') AS window FROM starts),
+places AS (SELECT rid, words, n, unnest(range(0, len(words) - n + 1)) AS s FROM worded, (SELECT DISTINCT n FROM wanted) WHERE len(words) >= n),
+found AS (SELECT rid, s, p.n, item_id FROM places p JOIN wanted w ON w.n = p.n AND w.window = array_to_string(p.words[s + 1:s + p.n], ' ')),
+hits AS (SELECT rid, count(DISTINCT s + k) AS n_hit FROM (SELECT DISTINCT rid, s, unnest(range(0, n)) AS k FROM found) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 #: Where SQL cannot state an operator it is absent here; tests/llm compares it
 #: with a brute-force version.
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_round_trip": _WARC_SQL.format(digest=_base32_of_sha1("r.html")),
     "op10_line_neighbourhood": _LINES_SQL,
+    "op11_kronecker_negatives": _NEGATIVES_SQL,
+    "op12_prefix_windows": _WINDOWS_SQL,
 }

@@ -138,6 +138,9 @@ class ByteEncoder:
             raise ValueError("not a plain byte-level tokenizer")
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        self.token_bytes = [b""] * (max(model["vocab"].values()) + 1)
+        for token, i in ranks.items():
+            self.token_bytes[i] = token
         last = -1
         for merge in model["merges"]:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
