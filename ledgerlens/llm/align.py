@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,12 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $| \s|\s ")
 #: Stretches kept by a task (in number and in bytes of their groups), and the
 #: longest one that is kept.
-_KEPT = 150_000
+_KEPT = 250_000
 _KEPT_BYTES = 32_000_000
 _KEPT_CHARS = 64
 #: A slice of texts ends with the text that reaches either.
-SLICE_TEXTS = 2000
-SLICE_CHARS = 4_000_000
+SLICE_TEXTS = 400
+SLICE_CHARS = 1_500_000
 
 
 def group_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +126,22 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class _Numbers(dict):
+    """Stretch -> its number; a new one gets the next number and waits."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.next, self.new, self.once = 0, [], []
+
+    def __missing__(self, stretch: str) -> int:
+        at = self[stretch] = self.next
+        self.next += 1
+        self.new.append(stretch)
+        if len(stretch) > _KEPT_CHARS:
+            self.once.append(stretch)
+        return at
+
+
 class Aligner:
     """Ids, groups and links of stretches of text."""
 
@@ -138,26 +155,56 @@ class Aligner:
         if any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.n_b)):
             raise ValueError("a piece of this model crosses words")
         self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
-        self.text_a = [str(i) for i in range(len(self.a_size))]
-        self.text_b = [str(i) for i in range(self.n_b)]
-        self.known: dict[str, int] = {}
+        # what a token adds to the text of its group: followed by another of its
+        # side, or the last of A, or the last of B
+        n_a = len(self.a_size)
+        self.texts = ([f"{i}," for i in range(n_a)] + [f"{i}|" for i in range(n_a)]
+                      + [f"{i}," for i in range(self.n_b)] + [f"{i};" for i in range(self.n_b)])
         self._clear()
 
     def _clear(self) -> None:
-        self.known.clear()
+        self.known = _Numbers()
         self.bytes = 0
-        self.groups: list[bytes | None] = []
+        self.groups: list[bytes | None] = []  # every group followed by ";"
         self.sizes: list[np.ndarray] = [np.zeros((0, 4), np.int64)]  # n_a, n_b, n_groups, n_links
         self.pairs: list[np.ndarray] = []
 
+    def _ids_a(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of every new stretch with a blank before it. Those without
+        white space at their ends are encoded in one text and cut where a
+        stretch ends."""
+        plain = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]
+        ids, _ = self.a.encode_all(["".join([" " + s for s in plain])])
+        ends = np.cumsum(self.a_size[ids])
+        own = np.cumsum(np.fromiter((len(s.encode()) + 1 for s in plain), np.int64, len(plain)))
+        upto = np.searchsorted(ends, own, side="right")
+        if len(plain) == len(new):
+            return ids, np.diff(upto, prepend=0)
+        rest = [s for s in new if not s or s[0].isspace() or s[-1].isspace()]
+        other, counts = self.a.encode_all([" " + s for s in rest])
+        pieces, others = iter(np.split(ids, upto[:-1])), iter(np.split(other, np.cumsum(counts)[:-1]))
+        each = [next(pieces) if s and not s[0].isspace() and not s[-1].isspace() else next(others) for s in new]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _texts(self, ids_a: np.ndarray, ids_b: np.ndarray, up_a: np.ndarray, up_b: np.ndarray) -> list[str]:
+        """The texts of all tokens, group by group, A before B."""
+        n_a = len(self.a_size)
+        before_a, before_b = np.diff(up_a, prepend=0), np.diff(up_b, prepend=0)
+        code_a, code_b = ids_a.astype(np.int64), ids_b + 2 * n_a
+        code_a[up_a - 1] += n_a
+        code_b[up_b - 1] += self.n_b
+        out = np.empty(len(ids_a) + len(ids_b), np.int64)
+        out[np.arange(len(ids_a)) + np.repeat(up_b - before_b, before_a)] = code_a
+        out[np.arange(len(ids_b)) + np.repeat(up_a, before_b)] = code_b
+        return list(map(self.texts.__getitem__, out.tolist()))
+
     def _learn(self, new: list[str]) -> None:
         """Align new stretches, all end to end."""
-        with_blank = [" " + s for s in new]
-        ids_a, n_a = self.a.encode_all(with_blank)
+        ids_a, n_a = self._ids_a(new)
         lists = self.b.encode(new, num_threads=1)
         n_b = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids_b = np.fromiter((x for row in lists for x in row), np.int64, int(n_b.sum()))
-        raw = [s.encode() for s in with_blank]
+        ids_b = np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum()))
+        raw = [b" " + s.encode() for s in new]
         at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         joined_b = map(self.b_bytes.__getitem__, ids_b.tolist())
         joined_a = map(self.a.token_bytes.__getitem__, ids_a.tolist())
@@ -177,43 +224,32 @@ class Aligner:
         at_group = np.searchsorted(up_a, at_a, side="right")
         at_group[0] = 0
         at_link = np.searchsorted(in_a, at_a, side="left")
-        names_a, names_b = [self.text_a[x] for x in ids_a.tolist()], [self.text_b[x] for x in ids_b.tolist()]
-        texts, x, y = [], 0, 0
-        for u, v in zip(up_a.tolist(), up_b.tolist(), strict=True):
-            texts.append((names_a[x] if u - x == 1 else ",".join(names_a[x:u])) + "|" + (names_b[y] if v - y == 1 else ",".join(names_b[y:v])))
-            x, y = u, v
-        groups, links = at_group.tolist(), at_link.tolist()
+        texts = self._texts(ids_a, ids_b, up_a, up_b)
+        first = at_a + at_b
+        edges, links = first.tolist(), at_link.tolist()
         for k, ok in enumerate(good.tolist()):
-            self.groups.append(";".join(texts[groups[k]:groups[k + 1]]).encode() if ok else None)
-            self.bytes += len(self.groups[-1] or b"")
+            self.groups.append("".join(texts[edges[k]:edges[k + 1]]).encode() if ok else None)
             self.pairs.append(codes[links[k]:links[k + 1]])
+        self.bytes += sum(len(x) for x in self.groups[-len(new):] if x)
         self.sizes.append(np.stack([n_a, n_b, np.diff(at_group), np.diff(at_link)], axis=1))
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """Every text as the numbers of its stretches; an empty text has none."""
         if len(self.groups) > _KEPT or self.bytes > _KEPT_BYTES:
             self._clear()
-        known, new, once, rows = self.known, [], [], []
-        for t in texts:
-            row = []
-            for s in (_CUT.split(t) if _ODD.search(t) else t.split(" ")) if t else ():
-                k = known.get(s)
-                if k is None:
-                    k = known[s] = len(self.groups) + len(new)
-                    new.append(s)
-                    if len(s) > _KEPT_CHARS:
-                        once.append(s)
-                row.append(k)
-            rows.append(row)
-        if new:
-            self._learn(new)
-            for s in once:
+        known = self.known
+        number = known.__getitem__
+        rows = [list(map(number, _CUT.split(t) if _ODD.search(t) else t.split(" "))) if t else [] for t in texts]
+        if known.new:
+            self._learn(known.new)
+            for s in known.once:
                 del known[s]
+            known.new, known.once = [], []
         return rows
 
 
 _SLICE = ("part int, slice int, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-          "sha array<string>, n_stretches array<int>, stretches array<int>, n_pairs array<int>, pair_at array<int>, pair array<bigint>, docs array<int>")
+          "sha array<string>, n_stretches binary, stretches binary, n_pairs binary, pair_at binary, pair array<bigint>, docs array<int>")
 _NAMES = [c.split(" ")[0] for c in _SLICE.split(", ")]
 
 
@@ -227,9 +263,9 @@ def _slice(aligner: Aligner, ids: list, texts: list[str]) -> dict:
         parts = [groups[k] for k in row]
         ok = bool(parts) and None not in parts
         whole.append(row if ok else [])
-        sha.append(hashlib.sha256(b";".join(parts)).hexdigest() if ok else "")
+        sha.append(hashlib.sha256(b"".join(parts)[:-1]).hexdigest() if ok else "")
     lengths = np.fromiter(map(len, whole), np.int64, len(whole))
-    flat = np.fromiter((k for row in whole for k in row), np.int64, int(lengths.sum()))
+    flat = np.fromiter(chain.from_iterable(whole), np.int64, int(lengths.sum()))
     used, at = np.unique(flat, return_inverse=True)
     sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(tables[flat], axis=0)])
     edges = np.concatenate([[0], np.cumsum(lengths)])
@@ -242,7 +278,17 @@ def _slice(aligner: Aligner, ids: list, texts: list[str]) -> dict:
     stretch = seen % (len(used) or 1)
     held = np.repeat(seen // (len(used) or 1), per[stretch]) * (len(pair) or 1) + pair_at[_spans((np.cumsum(per) - per)[stretch], per[stretch])]
     docs = np.bincount(np.unique(held) % (len(pair) or 1), minlength=len(pair))
-    return dict(zip(_NAMES[2:], (ids, n_a, n_b, n_groups, n_links, sha, lengths, at, per, pair_at, pair, docs), strict=True))
+    return dict(zip(_NAMES[2:], (ids, n_a, n_b, n_groups, n_links, sha, *map(_packed, (lengths, at, per, pair_at)), pair, docs), strict=True))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest wants; the first byte says how many."""
+    width = next(w for w in (1, 2, 4) if not len(values) or values.max() < 256**w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def _sliced(byte_file: str, piece_file: str):
@@ -258,7 +304,7 @@ def _sliced(byte_file: str, piece_file: str):
             number, chars = number + 1, 0
             ids.clear()
             texts.clear()
-            return pa.RecordBatch.from_arrays([_list(made[c], kind) if kind.startswith("array") else pa.array([made[c]], pa.int32())
+            return pa.RecordBatch.from_arrays([_list(made[c], kind) if kind.startswith("array") else pa.array([made[c]], pa.int32() if kind == "int" else pa.binary())
                                                for c, kind in (x.split(" ") for x in _SLICE.split(", "))], _NAMES)
 
         for batch in batches:
@@ -285,15 +331,13 @@ def _list(values, kind: str) -> pa.Array:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices with the counts of their pairs (by place) -> documents."""
-    def values(column: pa.Array, i: int) -> np.ndarray:
-        return np.asarray(column.slice(i, 1).flatten())
-
     for batch in batches:
         c = dict(zip(batch.schema.names, batch.columns, strict=True))
         for i in range(batch.num_rows):
             ids = c["doc_id"].slice(i, 1).flatten()
-            pair_at, per, at, lengths = (values(c[x], i).astype(np.int64) for x in ("pair_at", "n_pairs", "stretches", "n_stretches"))
-            count, best = np.zeros(len(values(c["pair"], i)), np.int64), np.zeros(len(values(c["pair"], i)), np.int64)
+            pair_at, per, at, lengths = (_unpacked(c[x][i].as_py()) for x in ("pair_at", "n_pairs", "stretches", "n_stretches"))
+            n = int(pair_at.max()) + 1 if len(pair_at) else 0
+            count, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
             found = c["counted"].slice(i, 1).flatten()
             if len(found):
                 place = np.asarray(found.field("at"))
@@ -324,6 +368,6 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, *, id_col: str = "do
     ranked = counts.withColumn("a_id", a_id).join(highest, "a_id").select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
     back = (held.select("part", "slice", "at", "pair").join(ranked, "pair")
             .groupBy("part", "slice").agg(F.collect_list(F.struct("at", "n", "best")).alias("counted")))
-    joined = slices.drop("docs").join(back, ["part", "slice"], "left").withColumn(
+    joined = slices.drop("docs", "pair").join(back, ["part", "slice"], "left").withColumn(
         "counted", F.coalesce("counted", F.array().cast("array<struct<at:int,n:bigint,best:bigint>>")))
     return joined.mapInArrow(_summed, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
