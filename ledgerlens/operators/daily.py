@@ -9,6 +9,8 @@ any voucher still gets a row with zeros and empty lists.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,99 +222,182 @@ def _folded(totals: DataFrame) -> DataFrame:
     return totals.groupBy("report_date").agg(rows).select("report_date", F.inline("rows"))
 
 
-def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
-                 nest_new_customers: bool = False, dedupe_delivery: bool = False) -> DataFrame:
-    """The composite daily report, one row per day of the range.
+#: The nested lists of the composite report, in output order.
+SECTIONS = ("sites", "salesman_by_site", "collections_by_site", "new_customers", "top_products", "outstanding", "delivery_by_site")
+_REVENUE = ("sites", "salesman_by_site", "collections_by_site")
 
-    Columns: date, revenue, invoice_count, collections,
-    new_customer_count, delivered, delivery_total, sites[],
-    salesman_by_site[], collections_by_site[], top_products[],
-    outstanding{total, by_site[]}, delivery_by_site[] and, with
-    ``nest_new_customers``, new_customers[].
-
-    Every nested list is bounded by a dimension (sites, groups,
-    representatives, users) or by ``k``; the list of a day's new customers
-    grows with the data, so by default only its count is nested and the
-    rows come from :func:`ledgerlens.operators.customers.new_customers` (R17),
-    the companion of this report: same days, as many rows as the count says.
-    ``outstanding`` does not depend on the day: it is computed once as a
-    scalar subquery over a one-row aggregate.
-
-    Plan: the revenue and collection sections fork from one frame of day
-    totals (one voucher scan), the delivery sections are one pass over
-    invoices with challans (one voucher and one history scan); nothing is
-    sorted but the nested lists and the days.
+
+def _revenue_by_day(t: Tables, p: ReportParams, totals: DataFrame) -> DataFrame:
+    """Hero figures and the revenue and collection lists of every day, from one
+    grouping-set aggregate over ``totals`` (day_totals).
+
+    Sets: the day (hero), the day's sites (site totals, collections), its
+    (site, customer group) and its (site, representative) cells. All rows of a
+    day are bounded by sites, groups and representatives; they meet once per
+    day, where the lists are sorted and nested.
     """
-    totals = _folded(day_totals(t, from_date, to_date, p))
-    hero = _hero(totals, p)
+    kind, money = F.col("type_code"), F.col("_amt")
+    named = (totals.join(B.group_names(t), "party_group_id", "left")
+             .join(B.site_names(t).withColumn("_site", F.lit(True)), "site_id", "left"))
+    named = B.attach(named, B.rep_names(t, "_rep"), "responsible_party_id", "report_date", "site_id")
+    invoice, receipt, at_site = kind == p.invoice_code, kind == p.receipt_code, F.coalesce("_site", F.lit(False))
+    listed = invoice & F.col("known") & at_site
+    sold = listed & ~F.coalesce("party_group_id", F.lit(0)).isin(*p.salesman_excluded_group_ids)
+    till = receipt & at_site
+    flagged = named.select("report_date", "site_id", "group_name", "_rep", "site_name", "_amt", "_n", invoice.alias("_inv"),
+                           receipt.alias("_rct"), listed.alias("_listed"), sold.alias("_sold"), till.alias("_till"))
+    sets = [["report_date"], ["report_date", "site_id"], ["report_date", "site_id", "group_name"], ["report_date", "site_id", "_rep"]]
+    sums = [F.sum(F.when(F.col(f), c)).alias(f"{f}{c_name}") for f in ("_inv", "_rct", "_listed", "_sold", "_till")
+            for c_name, c in (("_amt", money), ("_n", F.col("_n")))]
+    cells = flagged.groupingSets(sets, "report_date", "site_id", "group_name", "_rep").agg(
+        F.grouping_id().alias("_set"), F.max("site_name").alias("site_name"), *sums)
+    day, site, by_group, by_rep = 7, 3, 1, 2  # which of site, group and representative are folded, as bits
+
+    def when(level: int, rows: Column, value: Column) -> Column:
+        return F.when((F.col("_set") == level) & rows, value)
+
+    def listing(level: int, flag: str, *fields: Column, keys: tuple[Column, ...]) -> Column:
+        entry = F.struct(F.struct(*keys).alias("k"), F.col("site_id").alias("s"), F.struct(*fields).alias("e"))
+        return F.sort_array(F.collect_list(when(level, F.col(f"{flag}_n").isNotNull(), entry)))
+
+    revenue = lambda c: X.money_or_zero(F.col(c)).alias("revenue")
+    count = lambda c: F.col(c).cast("bigint")
+    rep = F.coalesce("_rep", F.lit("Unassigned"))
+    days = cells.groupBy("report_date").agg(
+        *(F.max(F.when(F.col("_set") == day, F.col(c))).alias(c) for c in ("_inv_amt", "_inv_n", "_rct_amt", "_rct_n")),
+        listing(site, "_listed", F.col("site_name"), X.money_or_zero(F.col("_listed_amt")).alias("total_revenue"),
+                count("_listed_n").alias("invoice_count"), keys=(F.col("site_id"),)).alias("_sites"),
+        listing(by_group, "_listed", F.coalesce("group_name", F.lit("Other")).alias("party_group"), revenue("_listed_amt"),
+                count("_listed_n").alias("invoice_count"), keys=(_desc(F.col("_listed_amt")), F.col("group_name"))).alias("_groups"),
+        listing(site, "_sold", F.col("site_name"), keys=(F.col("site_id"),)).alias("_sold_sites"),
+        listing(by_rep, "_sold", rep.alias("name"), revenue("_sold_amt"), keys=(_desc(F.col("_sold_amt")), rep)).alias("_reps"),
+        listing(site, "_till", F.col("site_id"), F.col("site_name"), X.money_or_zero(F.col("_till_amt")).alias("collections"),
+                count("_till_n").alias("receipt_count"), keys=(_desc(F.col("_till_amt")), F.col("site_id"))).alias("_tills"))
+    hero = X.money_or_zero(F.col("_inv_amt"))
+
+    def of_site(entries: str, s: Column) -> Column:
+        return F.transform(F.filter(entries, lambda x: x["s"] == s), lambda x: x["e"])
+
+    def share(total: Column) -> Column:
+        return F.when(hero > 0, X.js_round(total / hero * F.lit(1000.0)) / F.lit(10.0)).otherwise(F.lit(0.0)).cast("double")
+
+    sites = F.transform("_sites", lambda x: F.struct(
+        x["s"].alias("site_id"), x["e"]["site_name"].alias("site_name"), x["e"]["total_revenue"].alias("total_revenue"),
+        x["e"]["invoice_count"].alias("invoice_count"), of_site("_groups", x["s"]).alias("breakdown"),
+        share(x["e"]["total_revenue"]).alias("revenue_pct")))
+    salesmen = F.transform("_sold_sites", lambda x: F.struct(
+        x["s"].alias("site_id"), x["e"]["site_name"].alias("site_name"), of_site("_reps", x["s"]).alias("salesmen")))
+    return days.select(
+        "report_date", hero.alias("revenue"), X.count_or_zero(F.col("_inv_n")).alias("invoice_count"),
+        X.money_or_zero(F.col("_rct_amt")).alias("collections"),
+        sites.alias("sites"), salesmen.alias("salesman_by_site"), F.transform("_tills", lambda x: x["e"]).alias("collections_by_site"))
+
+
+def _days(t: Tables, p: ReportParams, from_date, to_date, outstanding: bool) -> DataFrame:
+    """The days of the report and, if wanted, the outstanding receivables on
+    each (the same for all). An open range takes its ends from the vouchers, in
+    the scan that also sums the receivables."""
     scope = B.voucher_scope(t, p, not_cancelled=False)
-    cal = B.calendar(scope, from_date, to_date)
+    if not outstanding:
+        return B.calendar(scope, from_date, to_date)
+    if from_date is not None and to_date is not None:
+        whole = R.outstanding_summary(t, p).select(F.struct("total", "by_site").alias("o")).scalar()
+        return B.calendar(scope, from_date, to_date).withColumn("outstanding", whole)
+    types = t.voucher_types.filter(F.col("code") == p.invoice_code).select(F.col("id").alias("voucher_type_id"), F.lit(True).alias("_invoice"))
+    sites = B.site_names(t).withColumn("_site", F.lit(True))
+    per_site = (scope.groupBy("site_id", "voucher_type_id", "is_cancelled", X.is_open_invoice().alias("_open")).agg(
+        F.min("transaction_date").alias("lo"), F.max("transaction_date").alias("hi"),
+        F.sum(F.when(F.col("amount_due") > 0, F.col("amount_due"))).alias("_due"), F.count(F.when(F.col("amount_due") > 0, 1)).alias("_n"))
+        .join(types, "voucher_type_id", "left").join(sites, "site_id", "left"))
+    due = F.col("_invoice") & (F.col("is_cancelled") == F.lit(False)) & F.col("_open") & F.col("_site") & (F.col("_n") > 0)
+    per_site = per_site.groupBy("site_id").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("site_name").alias("site_name"),
+        F.sum(F.when(due, F.col("_due"))).alias("_due"), F.sum(F.when(due, F.col("_n"))).alias("_n"))
+    entry = F.struct("site_id", "site_name", X.money_or_zero(F.col("_due")).alias("outstanding"), F.col("_n").cast("bigint").alias("open_invoice_count"))
+    one = per_site.agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), X.money_or_zero(F.sum("_due")).alias("total"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("_n") > 0, F.struct((-F.col("_due")).alias("k"), F.col("site_id").alias("s"), entry.alias("e"))))),
+                    lambda x: x["e"]).alias("by_site"))
+    lo = X.as_date(from_date) if from_date is not None else F.col("lo")
+    hi = X.as_date(to_date) if to_date is not None else F.col("hi")
+    return one.filter(lo.isNotNull() & hi.isNotNull() & (lo <= hi)).select(
+        F.explode(F.sequence(lo, hi)).alias("report_date"), F.struct("total", "by_site").alias("outstanding"))
 
-    sites = _sites(t, p, totals, hero).groupBy("report_date").agg(_sorted_entries(
-        F.struct("site_id", "site_name", "total_revenue", "invoice_count", "breakdown", "revenue_pct"),
-        F.col("site_id")).alias("sites"))
 
-    sm_site = _salesmen(t, p, totals).groupBy("report_date", "site_id").agg(
-        F.first("site_name").alias("site_name"),
-        _sorted_entries(F.struct(F.col("salesperson").alias("name"), X.money_or_zero(F.col("_rev")).alias("revenue")),
-                        _desc(F.col("_rev")), F.col("salesperson")).alias("salesmen"))
-    salesmen = sm_site.groupBy("report_date").agg(
-        _sorted_entries(F.struct("site_id", "site_name", "salesmen"), F.col("site_id")).alias("salesman_by_site"))
-
-    coll = _collections(t, p, totals).groupBy("report_date").agg(
-        _sorted_entries(F.struct("site_id", "site_name", X.money_or_zero(F.col("_coll")).alias("collections"), "receipt_count"),
-                        _desc(F.col("_coll")), F.col("site_id")).alias("collections_by_site"))
-
-    top = _top(t, p, from_date, to_date, 5).groupBy("report_date").agg(
-        _sorted_entries(F.struct("rank", "name", "units", "revenue"), F.col("rank")).alias("top_products"))
-
-    # R13 (invoices with challans / delivered) is the per-day sum of R20's
-    # per-site counts.
-    delivery = D.delivery_with_agents(t, from_date, to_date, p, dedupe=dedupe_delivery).groupBy("report_date").agg(
-        F.sum("delivered").cast("bigint").alias("delivered"),
-        F.sum("total").cast("bigint").alias("delivery_total"),
-        _sorted_entries(
-            F.struct("site_id", "total", "delivered", "avg_packed_to_shipped_min", "avg_shipped_to_delivered_min",
-                     "avg_end_to_end_min", "agents", "packed_to_shipped", "shipped_to_delivered", "end_to_end"),
-            F.col("site_id")).alias("delivery_by_site"))
+def daily_report(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
+                 nest_new_customers: bool = False, dedupe_delivery: bool = False, sections: Sequence[str] | None = None) -> DataFrame:
+    """The composite daily report, one row per day of the range.
+
+    Columns: date, revenue, invoice_count, collections,
+    new_customer_count, delivered, delivery_total, and the lists of
+    ``sections`` (any of ``SECTIONS``, in that order; default: all but
+    new_customers, which ``nest_new_customers`` adds): sites[],
+    salesman_by_site[], collections_by_site[], new_customers[],
+    top_products[], outstanding{total, by_site[]}, delivery_by_site[].
+
+    What is not asked for is not planned: with ``sections=()`` the row is seven
+    scalars and costs the hero, delivery count and new customer aggregates.
+
+    Every nested list but new_customers is bounded by a dimension (sites,
+    groups, representatives, users) or by ``k``; the list of a day's new
+    customers grows with the data, so by default only its count is nested
+    and the rows come from :func:`ledgerlens.operators.customers.new_customers`
+    (R17), the companion of this report: same days, as many rows as the count
+    says. ``outstanding`` does not depend on the day: it is computed once.
+
+    Plan: hero, revenue and collection lists come from one grouping-set
+    aggregate over one frame of day totals (one voucher scan); an open range
+    and the outstanding sums share a scan; the delivery sections are one pass
+    over invoices with challans (one voucher and one history scan), top
+    products one over the lines. Nothing is sorted but the nested lists and
+    the days.
+    """
+    if sections is None:
+        sections = [s for s in SECTIONS if s != "new_customers" or nest_new_customers]
+    unknown = set(sections) - set(SECTIONS)
+    if unknown:
+        raise ValueError(f"unknown section(s) {sorted(unknown)}")
+    wanted = [s for s in SECTIONS if s in sections or (s == "new_customers" and nest_new_customers)]
+
+    out = _days(t, p, from_date, to_date, "outstanding" in wanted)
+    if any(s in wanted for s in _REVENUE):
+        by_day = _revenue_by_day(t, p, day_totals(t, from_date, to_date, p)).select(
+            "report_date", "revenue", "invoice_count", "collections", *(s for s in _REVENUE if s in wanted))
+    else:
+        by_day = daily_hero(t, from_date, to_date, p).drop("receipt_count")
+    parts = [by_day]
 
     newc = C.new_customers(t, from_date, to_date, p, with_created_at=True)
-    if nest_new_customers:
-        newc_day = newc.groupBy("report_date").agg(
-            F.count(F.lit(1)).alias("new_customer_count"),
-            _sorted_entries(F.struct("customer_name", "site_name", "site_id", "added_by"),
-                            F.isnull("created_at"), F.col("created_at"), F.col("customer_name"))
-            .alias("new_customers"))
+    nested = [_sorted_entries(F.struct("customer_name", "site_name", "site_id", "added_by"),
+                              F.isnull("created_at"), F.col("created_at"), F.col("customer_name")).alias("new_customers")]
+    parts.append(newc.groupBy("report_date").agg(F.count(F.lit(1)).alias("new_customer_count"), *(nested if "new_customers" in wanted else [])))
+
+    if "top_products" in wanted:
+        parts.append(_top(t, p, from_date, to_date, 5).groupBy("report_date").agg(
+            _sorted_entries(F.struct("rank", "name", "units", "revenue"), F.col("rank")).alias("top_products")))
+
+    if "delivery_by_site" in wanted:
+        # R13 (invoices with challans / delivered) is the per-day sum of R20's
+        # per-site counts.
+        parts.append(D.delivery_with_agents(t, from_date, to_date, p, dedupe=dedupe_delivery).groupBy("report_date").agg(
+            F.sum("delivered").cast("bigint").alias("delivered"),
+            F.sum("total").cast("bigint").alias("delivery_total"),
+            _sorted_entries(
+                F.struct("site_id", "total", "delivered", "avg_packed_to_shipped_min", "avg_shipped_to_delivered_min",
+                         "avg_end_to_end_min", "agents", "packed_to_shipped", "shipped_to_delivered", "end_to_end"),
+                F.col("site_id")).alias("delivery_by_site")))
     else:
-        newc_day = newc.groupBy("report_date").agg(F.count(F.lit(1)).alias("new_customer_count"))
-
-    outstanding = R.outstanding_summary(t, p).select(F.struct("total", "by_site").alias("o")).scalar()
-
-    out = (cal.join(hero, "report_date", "left")
-           .join(newc_day, "report_date", "left")
-           .join(sites, "report_date", "left")
-           .join(salesmen, "report_date", "left")
-           .join(coll, "report_date", "left")
-           .join(top, "report_date", "left")
-           .join(delivery, "report_date", "left"))
-    cols = [
+        parts.append(D.delivery_counts(t, from_date, to_date, p))
+
+    for part in parts:
+        out = out.join(part, "report_date", "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select(
         F.col("report_date").alias("date"),
-        F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
-        F.coalesce("invoice_count", F.lit(0).cast("bigint")).alias("invoice_count"),
+        F.coalesce("revenue", F.lit(0.0)).alias("revenue"), F.coalesce("invoice_count", zero).alias("invoice_count"),
         F.coalesce("collections", F.lit(0.0)).alias("collections"),
-        F.coalesce("new_customer_count", F.lit(0).cast("bigint")).alias("new_customer_count"),
-        F.coalesce("delivered", F.lit(0).cast("bigint")).alias("delivered"),
-        F.coalesce("delivery_total", F.lit(0).cast("bigint")).alias("delivery_total"),
-        F.coalesce("sites", F.array()).alias("sites"),
-        F.coalesce("salesman_by_site", F.array()).alias("salesman_by_site"),
-        F.coalesce("collections_by_site", F.array()).alias("collections_by_site"),
-        F.coalesce("top_products", F.array()).alias("top_products"),
-        outstanding.alias("outstanding"),
-        F.coalesce("delivery_by_site", F.array()).alias("delivery_by_site"),
-    ]
-    if nest_new_customers:
-        cols.insert(10, F.coalesce("new_customers", F.array()).alias("new_customers"))
-    return out.select(*cols).orderBy("date")
+        *(F.coalesce(c, zero).alias(c) for c in ("new_customer_count", "delivered", "delivery_total")),
+        *(F.col(s) if s == "outstanding" else F.coalesce(s, F.array()).alias(s) for s in wanted)).orderBy("date")
 
 
 def daily_report_for_day(t: Tables, day=None, p: ReportParams = DEFAULT_PARAMS, **kw) -> DataFrame:

@@ -5,7 +5,7 @@ agents per site and day (R21). Milestones (R11a) live in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import exprs as X
@@ -71,18 +71,28 @@ def _day_vouchers(t: Tables, p: ReportParams, from_date, to_date) -> DataFrame:
     return v.filter(cond) if cond is not None else v
 
 
+def _windowed(from_date, to_date) -> bool:
+    return from_date is not None or to_date is not None
+
+
 def delivery_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
                     every_day: bool = False) -> DataFrame:
     """Per day, invoices having at least one challan, and how many of
-    them have a delivered status. A semi-join replaces the distinct count
-    over the challan fan-out. With ``every_day`` a day of the range without
+    them have a delivered status. A semi-join (over all days) or one row per
+    invoice of the window replaces the distinct count over the challan
+    fan-out. With ``every_day`` a day of the range without
     such invoices has a row of zeros.
     Columns: report_date, delivered, delivery_total."""
     v = _day_vouchers(t, p, from_date, to_date)
-    # Distinct invoice ids of challans (combined map-side) before the
-    # semi-join, so an invoice with very many challans is one row.
-    invoiced = B.challans_of(t).select(F.col("voucher_id").alias("id")).distinct()
-    with_challan = v.join(invoiced, "id", "left_semi")
+    if not _windowed(from_date, to_date):
+        # Distinct invoice ids of challans (combined map-side) before the
+        # semi-join, so an invoice with very many challans is one row.
+        invoiced = B.challans_of(t).select(F.col("voucher_id").alias("id")).distinct()
+        with_challan = v.join(invoiced, "id", "left_semi")
+    else:
+        # The window's invoices reduce the challans; then one row per invoice.
+        v = v.select(F.col("id").alias("voucher_id"), "transaction_date", "delivery_status")
+        with_challan = B.challans_of(t).join(v, "voucher_id").drop("document_id").distinct()
     out = with_challan.groupBy(F.col("transaction_date").alias("report_date")).agg(
         F.count(F.when(X.status_in(F.col("delivery_status"), X.DELIVERED_STATUSES), 1)).alias("delivered"),
         F.count(F.lit(1)).alias("delivery_total"))
@@ -93,27 +103,40 @@ def delivery_counts(t: Tables, from_date=None, to_date=None, p: ReportParams = D
         F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("delivered", "delivery_total")))
 
 
+def _challans(t: Tables, from_date, to_date, p: ReportParams) -> DataFrame:
+    """(document_id, voucher_id, site_id, report_date, delivery_status) of the
+    challans of the range's vouchers."""
+    v = _day_vouchers(t, p, from_date, to_date).select(
+        F.col("id").alias("voucher_id"), "site_id", F.col("transaction_date").alias("report_date"), "delivery_status")
+    return B.challans_of(t).join(v, "voucher_id")
+
+
+_INVOICE = ("report_date", "site_id", "voucher_id", "delivery_status")
+
+
+def _agent() -> Column:
+    return F.when(F.col("has_shipped") & F.col("_user_found"), F.struct("full_name"))
+
+
 def invoice_delivery(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Per invoice of the range that has a challan: report_date, site_id,
     voucher_id, delivery_status, ``_n`` (its challans), packed_at, shipped_at,
     delivered_at and ``agents`` (the names, as structs, of the known users
-    that marked a challan shipped).
+    that marked a challan shipped; at most one entry per user).
 
     Vouchers and challans are joined once, carrying the invoice's attributes;
-    the status cells, reduced per challan, are joined to that. R20 and R21
-    and their composite all read this frame.
+    challans are counted per invoice, and status cells go straight to their
+    invoice, both with map-side combine, so an invoice with very many challans
+    never is a list of them. R20 and the composite read this frame.
     """
-    v = _day_vouchers(t, p, from_date, to_date).select(
-        F.col("id").alias("voucher_id"), "site_id", F.col("transaction_date").alias("report_date"), "delivery_status")
-    challans = B.challans_of(t).join(v, "voucher_id")
+    challans = _challans(t, from_date, to_date, p)
+    counted = challans.groupBy(*_INVOICE).agg(F.count("document_id").alias("_n"))
     stages = ("packed_at", "shipped_at", "delivered_at")
-    agent = F.when(F.col("has_shipped") & F.col("_user_found"), F.struct("full_name"))
-    cells = B.status_events(t, challans=challans.select("document_id"))
-    per_challan = cells.groupBy("document_id").agg(*(F.min(c).alias(c) for c in stages), F.collect_set(agent).alias("agents"))
-    return (challans.join(per_challan, "document_id", "left")
-            .groupBy("report_date", "site_id", "voucher_id", "delivery_status").agg(
-                F.count(F.lit(1)).alias("_n"), *(F.min(c).alias(c) for c in stages),
-                F.array_distinct(F.flatten(F.collect_list("agents"))).alias("agents")))
+    # Both branches need all columns of ``challans``, so Spark reuses its exchanges.
+    staged = B.status_events(t, challans, windowed=_windowed(from_date, to_date)).groupBy(*_INVOICE).agg(
+        *(F.min(c).alias(c) for c in stages), F.collect_set(_agent()).alias("agents")).drop("report_date", "site_id", "delivery_status")
+    return (counted.join(staged, "voucher_id", "left")
+            .withColumn("agents", F.coalesce("agents", F.array().cast("array<struct<full_name:string>>"))))
 
 
 def _stage_sums(weight) -> list:
@@ -167,15 +190,33 @@ def delivery_operations(t: Tables, from_date=None, to_date=None, p: ReportParams
 def delivery_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS) -> DataFrame:
     """Per day, site and user name, the number of distinct invoices the
     user marked shipped / in transit. Events of unknown users are dropped.
+
+    The distinct count is one aggregate to (invoice, name) rows, combined
+    map-side, and a plain count of them; no list is made of any invoice.
     Columns: report_date, site_id, agent_name, order_count; sorted by site,
     count descending."""
-    named = invoice_delivery(t, from_date, to_date, p).select(
-        "report_date", "site_id", F.explode("agents").alias("agent"))
-    agg = named.groupBy("report_date", "site_id", F.col("agent.full_name").alias("agent_name")).agg(
-        F.count(F.lit(1)).alias("order_count"))
+    challans = _challans(t, from_date, to_date, p).drop("delivery_status")
+    cells = B.status_events(t, challans, windowed=_windowed(from_date, to_date))
+    pairs = cells.filter("has_shipped AND _user_found").select(
+        "report_date", "site_id", "voucher_id", F.col("full_name").alias("agent_name")).distinct()
+    agg = pairs.groupBy("report_date", "site_id", "agent_name").agg(F.count(F.lit(1)).alias("order_count"))
     return agg.orderBy("report_date", "site_id", F.col("order_count").desc(), F.col("agent_name").asc_nulls_last())
 
 
+def rollup_agents(daily: DataFrame, unit: str = "day", by_site: bool = True) -> DataFrame:
+    """R21 over longer periods or all sites, from rows of
+    :func:`delivery_agents` (fresh, stored, or several disjoint day ranges in
+    one frame).
+
+    An invoice has one date and one site, so the distinct invoices of a week,
+    a month or all sites are the disjoint union of those of its days and
+    sites: the exact counts merge by a sum, without a second distinct.
+    Columns: period, [site_id,] agent_name, order_count."""
+    period = F.col("report_date") if unit == "day" else X.trunc_date(unit, F.col("report_date"))
+    keys = [period.alias("period"), *(["site_id"] if by_site else []), "agent_name"]
+    return daily.groupBy(*keys).agg(F.sum("order_count").cast("bigint").alias("order_count"))
+
+
 def delivery_with_agents(t: Tables, from_date=None, to_date=None, p: ReportParams = DEFAULT_PARAMS,
                          dedupe: bool = False) -> DataFrame:
     """R20's rows with R21's as ``agents[]`` (count descending, then name), in

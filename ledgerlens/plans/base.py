@@ -116,36 +116,44 @@ def challans_of(t: Tables, invoice_ids: DataFrame | None = None) -> DataFrame:
     return ch
 
 
-def status_events(t: Tables, invoice_ids: DataFrame | None = None, challans: DataFrame | None = None) -> DataFrame:
+def status_events(t: Tables, challans: DataFrame | None = None, windowed: bool = False) -> DataFrame:
     """Per (challan, user) stage cells of the status history, joined to the
-    invoice and the user: the columns of ``challans`` (default: document_id,
-    voucher_id of the challans of ``invoice_ids``, or of all), changed_by,
+    invoice and the user: the columns of ``challans`` (document_id and more;
+    default: document_id, voucher_id of all challans), changed_by,
     full_name, _user_found, packed_at / shipped_at / delivered_at (the user's
     earliest time of the stage on that challan) and has_packed / has_shipped /
     has_delivered.
 
-    The history is reduced to these cells before any join, with map-side
-    combine, so a challan carrying a large share of all events is collapsed
-    in the scan tasks instead of skewing the join. Events outside the
-    packed / shipped / delivered stages are dropped at the scan. Milestones
-    and delivery agents read the same frame, so a report needing both scans
-    the history once.
+    ``windowed`` says that ``challans`` are those of a window: then they reduce
+    the history first. Events meet them ahead of the aggregate, so what is
+    shuffled and aggregated follows the window (the few challans of a day are
+    broadcast by Spark, and the events of other days never leave their scan
+    task). Otherwise the history is reduced to cells before the join, with
+    map-side combine, so a challan carrying a large share of all events is
+    collapsed in the scan tasks. Events outside the packed / shipped / delivered stages are dropped
+    at the scan. Milestones and delivery agents read the same frame, so a
+    report needing both scans the history once.
     """
-    ch = challans if challans is not None else challans_of(t, invoice_ids)
     packed, shipped, delivered = stage_flags(F.col("new_status"))
     at = F.col("changed_at")
-    cells = (t.document_status_history
-             .select("document_id", "new_status", "changed_at", "changed_by")
-             .filter(packed | shipped | delivered)
-             .groupBy("document_id", "changed_by").agg(
-                 F.min(F.when(packed, at)).alias("packed_at"),
-                 F.min(F.when(shipped, at)).alias("shipped_at"),
-                 F.min(F.when(delivered, at)).alias("delivered_at"),
-                 F.max(packed).alias("has_packed"),
-                 F.max(shipped).alias("has_shipped"),
-                 F.max(delivered).alias("has_delivered")))
+    events = (t.document_status_history.select("document_id", "new_status", "changed_at", "changed_by")
+              .filter(packed | shipped | delivered))
+    challans = challans_of(t) if challans is None else challans
+    keys = ["document_id", "changed_by"]
+    if windowed:
+        events = events.join(challans, "document_id")
+        keys += [c for c in challans.columns if c not in keys]
+    cells = events.groupBy(*keys).agg(
+        F.min(F.when(packed, at)).alias("packed_at"),
+        F.min(F.when(shipped, at)).alias("shipped_at"),
+        F.min(F.when(delivered, at)).alias("delivered_at"),
+        F.max(packed).alias("has_packed"),
+        F.max(shipped).alias("has_shipped"),
+        F.max(delivered).alias("has_delivered"))
+    if not windowed:
+        cells = cells.join(challans, "document_id")
     users = t.users.select(F.col("id").alias("changed_by"), "full_name", F.lit(True).alias("_user_found"))
-    ev = attach(cells.join(ch, "document_id"), users, "changed_by", "document_id")
+    ev = attach(cells, users, "changed_by", "document_id")
     return ev.withColumn("_user_found", F.coalesce(F.col("_user_found"), F.lit(False)))
 
 
@@ -160,7 +168,7 @@ def milestones(t: Tables, invoice_ids: DataFrame | None = None, events: DataFram
     Output: voucher_id, packed_at, shipped_at, delivered_at, delivered_by,
     shipped_by, delivery_person.
     """
-    ev = events if events is not None else status_events(t, invoice_ids)
+    ev = events if events is not None else status_events(t, challans_of(t, invoice_ids), windowed=invoice_ids is not None)
     out = ev.groupBy("voucher_id").agg(
         F.min("packed_at").alias("packed_at"),
         F.min("shipped_at").alias("shipped_at"),

@@ -10,6 +10,8 @@ into the Parquet / JDBC scan.
 from __future__ import annotations
 
 import dataclasses
+import json
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,20 +59,79 @@ class Tables:
         return self.vouchers.sparkSession
 
 
+# The first partition directory in a file's path: what is before it is the dataset.
+_PARTITION_DIR = re.compile(r"/[^/=]+=[^/]*/")
+
+SNAPSHOT_SCHEMA = "table string, base string, schema string, file string"
+
+
+def _over_files(spark: SparkSession, schema: T.StructType, base: str, files: list[str]) -> DataFrame:
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*files)
+
+
+def _base_of(files: list[str]) -> str:
+    if not files:
+        return ""
+    cut = _PARTITION_DIR.search(files[0])
+    return files[0][:cut.start()] if cut else files[0].rsplit("/", 1)[0]
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """A Parquet dataset or table as the files it has now. Files that come
+    later are not seen, however often the frame is scanned; a file that goes
+    makes a later scan fail instead of changing its answer. The list is what
+    Spark's own file index holds: one path per file. Bucketing is given up, so
+    bucketed tables (:func:`write_bucketed_tables`) are better left unpinned."""
+    files = sorted(df.inputFiles())
+    return _over_files(df.sparkSession, df.schema, _base_of(files), files)
+
+
 def read_parquet_tables(spark: SparkSession, root: str,
                         names: Mapping[str, str] | None = None) -> Tables:
-    """Star schema stored as ``{root}/{table}`` Parquet datasets."""
+    """Star schema stored as ``{root}/{table}`` Parquet datasets, pinned: all
+    reports over the result read one consistent set of files."""
     names = dict(names or {})
-    frames = {t: spark.read.parquet(f"{root.rstrip('/')}/{names.get(t, t)}") for t in STAR_SCHEMAS}
+    frames = {t: pinned(spark.read.parquet(f"{root.rstrip('/')}/{names.get(t, t)}")) for t in STAR_SCHEMAS}
     return Tables.from_frames(frames)
 
 
 def read_catalog_tables(spark: SparkSession, database: str | None = None,
-                        names: Mapping[str, str] | None = None) -> Tables:
-    """Star schema registered in the session catalog (Hive / Unity / views)."""
+                        names: Mapping[str, str] | None = None, pin: bool = False) -> Tables:
+    """Star schema registered in the session catalog (Hive / Unity / views).
+
+    With ``pin`` the Parquet tables are read as the files they have now (see
+    :func:`pinned`); an INSERT of this session is then not seen by reports that
+    are already built."""
     names = dict(names or {})
     prefix = f"{database}." if database else ""
-    return Tables.from_frames({t: spark.table(prefix + names.get(t, t)) for t in STAR_SCHEMAS})
+    frames = {t: spark.table(prefix + names.get(t, t)) for t in STAR_SCHEMAS}
+    return Tables.from_frames({t: pinned(f) if pin else f for t, f in frames.items()})
+
+
+def write_snapshot(spark: SparkSession, root: str, path: str, names: Mapping[str, str] | None = None) -> None:
+    """Note the files that the star schema at ``root`` has now as a table at
+    ``path`` (table, base, schema, file; one row per file, and one without a
+    file for each table), from which :func:`read_snapshot` opens the same
+    state in any later session, for as long as no noted file is deleted."""
+    names, rows = dict(names or {}), []
+    for t in STAR_SCHEMAS:
+        df = spark.read.parquet(f"{root.rstrip('/')}/{names.get(t, t)}")
+        files = sorted(df.inputFiles())
+        rows += [(t, _base_of(files), df.schema.json(), f) for f in [None, *files]]
+    spark.createDataFrame(rows, SNAPSHOT_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> Tables:
+    """The star schema as :func:`write_snapshot` found it."""
+    noted: dict[str, tuple[str, str, list[str]]] = {}
+    for r in spark.read.schema(SNAPSHOT_SCHEMA).parquet(path).orderBy("table", "file").collect():
+        files = noted.setdefault(r["table"], (r["base"], r["schema"], []))[2]
+        if r["file"] is not None:
+            files.append(r["file"])
+    return Tables.from_frames({
+        t: _over_files(spark, T.StructType.fromJson(json.loads(schema)), base, files) for t, (base, schema, files) in noted.items()})
 
 
 # Column by which each event-sized table is cut into parallel JDBC reads.
