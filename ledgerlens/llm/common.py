@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,21 +63,37 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, most_rows: int = 512, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces (no copies) of at most ``most_rows`` rows, each
+    ending with the row that brings the texts of column ``text`` to
+    ``most_bytes``: what a task makes of a piece stays small."""
+    for b in batches:
+        at = 0
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) if b.num_rows else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes)
+        while at < b.num_rows:
+            over = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, side="left")) + 1
+            n = max(1, min(most_rows, over - at, b.num_rows - at))
+            yield b.slice(at, n)
+            at += n
+
+
 def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructField],
                    fn: Callable[..., Sequence[pa.Array]], setup: Callable[[], object] | None = None) -> DataFrame:
     """``df`` with further columns computed batch by batch in Python.
 
-    ``fn`` takes the ``inputs`` as Arrow arrays (after the value of
+    ``fn`` takes the ``inputs`` as Arrow arrays of few rows (after the value of
     ``setup()``, called once per task, if given) and returns one array per
     field. All of ``df``'s columns pass through unchanged.
     """
     names, n = list(df.columns), len(df.columns)
     at = [names.index(c) for c in inputs]
+    texts = next((i for i in at if isinstance(df.schema[i].dataType, (T.StringType, T.BinaryType))), None)
     made = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
-        for b in batches:
+        for b in batches if texts is None else slices(batches, texts):
             new = fn(*state, *(b.column(i) for i in at))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + list(new), names + made)
 

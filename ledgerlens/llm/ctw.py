@@ -48,14 +48,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored, texts_of
+from ledgerlens.llm.common import slices, stored, texts_of
 from ledgerlens.llm.minhash import WordHashes
 
 DEPTH = 4
 END = 255
 SHARE_BITS = 16
 WORD_SHARE_BITS = 22
-_CHUNK = 1 << 22
+_CHUNK = 1 << 19
 _CONTEXTS = 1024
 _END_WORD = np.int64(np.uint64(xxhash.xxh3_64_intdigest(b" end")).view(np.int64))
 
@@ -112,7 +112,7 @@ def _marked(texts: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(texts: list[str]) -> Iterator[list[int]]:
-    """Indices of texts, by about 4 MB."""
+    """Indices of texts, by about half a MB."""
     some, size = [], 0
     for i, t in enumerate(texts):
         some.append(i)
@@ -389,7 +389,7 @@ def scored(df: DataFrame, model: Model, tables: Stored, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hashes = shared.value, WordHashes()
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = texts_of(batch.column(1))
             n = len(texts)
             tokens, known, base, rare, times, ends = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), [], [], np.zeros(n + 1, np.int32)

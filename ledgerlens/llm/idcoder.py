@@ -36,10 +36,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import new_folder, shuffle_partitions, texts_of
+from ledgerlens.llm.common import new_folder, shuffle_partitions, slices, texts_of
 from ledgerlens.llm.tokens import WordEncoder, with_ends
 
 BLOCK = 4096
+#: Blocks that are coded or decoded side by side.
+LANES = 512
 FILE_IDS = 4 << 20
 MAGIC = b"IDMIX1\x00\x00"
 _CLASSES = 17  # ranks up to 131,071
@@ -255,7 +257,7 @@ def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) ->
     ranks = to_rank[ids]
     start = _start_row(ranks)
     blocks = [ranks[i:i + BLOCK] for i in range(0, len(ranks), BLOCK)]
-    payloads = code(blocks, start) if blocks else []
+    payloads = [p for i in range(0, len(blocks), LANES) for p in code(blocks[i:i + LANES], start)]
     checks = np.array([zlib.crc32(ids[i:i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)], "<u4")
     known = np.array([d is not None for d in doc_ids], np.uint8)
     parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), ranked.astype("<u4").tobytes(),
@@ -282,7 +284,8 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     payloads = [data[ends[i]:ends[i + 1]] for i in range(len(sizes))]
     lengths = np.minimum(BLOCK, n - BLOCK * np.arange(len(sizes))).astype(np.int64)
     ids = np.zeros(n, np.uint32)
-    for i, ranks in enumerate(decode(payloads, lengths, start) if len(sizes) else []):
+    decoded = (r for i in range(0, len(sizes), LANES) for r in decode(payloads[i:i + LANES], lengths[i:i + LANES], start))
+    for i, ranks in enumerate(decoded):
         own = ranked[np.minimum(ranks, len(ranked) - 1)]
         if zlib.crc32(own.astype("<u4").tobytes()) != checks[i]:
             raise ValueError(f"block {i} of an id file is damaged")
@@ -310,17 +313,15 @@ def _writer(folder: str, encoder: Callable[[], WordEncoder], end: int, file_ids:
             docs, counts, ids, size, part = [], [], [], 0, part + 1
 
         partition = 0
-        for batch in batches:
-            page, texts, where = batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2)
-            for s in range(0, len(texts), 512):
-                partition = where[s].as_py()
-                new, n = with_ends(*enc.encode_all(texts[s:s + 512]), end)
-                docs += page[s:s + 512]
-                counts.append(n)
-                ids.append(new)
-                size += len(new)
-                if size >= file_ids:
-                    flush(partition)
+        for batch in slices(batches, 1):
+            partition = batch.column(2)[0].as_py()
+            new, n = with_ends(*enc.encode_all(texts_of(batch.column(1))), end)
+            docs += batch.column(0).to_pylist()
+            counts.append(n)
+            ids.append(new)
+            size += len(new)
+            if size >= file_ids:
+                flush(partition)
         if docs:
             flush(partition)
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6

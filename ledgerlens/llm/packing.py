@@ -35,6 +35,8 @@ from ledgerlens.llm.tokens import ByteEncoder, with_ends
 CAPACITY = 1024
 PIECE = 256
 GROUP = 2048
+#: Windows that one piece fills need no differencing; their numbers start here.
+_FULL = 2**62
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long"
 
 
@@ -125,19 +127,18 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     ``tokenizer`` is the path of a byte-level tokenizers file on every machine.
     """
     pieces = stored(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                    .mapInArrow(_pieces(lambda: ByteEncoder(tokenizer), end_id, capacity, piece), _PIECES), "pack-pieces")
-    groups = max(1, round(pieces.filter(F.col("length") < capacity).count() / group))
+                    .mapInArrow(_pieces(lambda: ByteEncoder(tokenizer, special=True), end_id, capacity, piece), _PIECES), "pack-pieces")
+    full = pieces.filter(F.col("length") == capacity).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(_FULL) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.filter(F.col("length") < capacity)
+    groups = max(1, round(pieces.count() / group))
     if groups >= 2**42:
         raise ValueError("too many groups for sequence ids")
 
     def level(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "place"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         size = pdf["length"].to_numpy()
-        whole = size == capacity
-        at = np.empty(len(pdf), np.int64)
-        at[whole] = np.arange(whole.sum())
-        if (~whole).any():
-            at[~whole] = whole.sum() + windows(size[~whole], capacity)
+        at = windows(size, capacity)
         order = np.argsort(at, kind="stable")
         ends = np.cumsum(size[order])
         first = np.concatenate([[True], at[order][1:] != at[order][:-1]])
@@ -151,4 +152,4 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     dealt = dealt.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"])  # pandas would make floats of ids with nulls
     packed = dealt.groupBy("group").applyInPandas(
         level, "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id").unionByName(full)

@@ -38,12 +38,14 @@ class WordEncoder:
     """``encode_all(texts)`` gives the ids of every text as one flat array.
 
     ``blank_joins`` says whether a blank belongs to the word after it
-    (byte-level vocabularies) or vanishes (vocabularies with word ends).
+    (byte-level vocabularies) or vanishes (vocabularies with word ends). The
+    strings of special tokens in a text become their ids, as the library does
+    unless told otherwise.
     """
 
     def __init__(self, path: str, blank_joins: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = special_marks(self.tokenizer)
         self.blank_joins = blank_joins
         self._forget()
 
@@ -78,7 +80,7 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if _IRREGULAR.search(t):
+            if _IRREGULAR.search(t) or any(s in t for s in self.special):
                 whole.append(i)
                 continue
             parts = t.split(" ")
@@ -102,6 +104,11 @@ class WordEncoder:
         return ids, counts
 
 
+def special_marks(tokenizer: Tokenizer) -> set[str]:
+    """How the special tokens' strings begin; texts without these hold none."""
+    return {t.content[:2] for t in tokenizer.get_added_tokens_decoder().values()}
+
+
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with id ``end`` after every text."""
     ends = np.cumsum(counts + 1)
@@ -128,9 +135,13 @@ BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{
 class ByteEncoder:
     """``encode_all`` like ``WordEncoder``'s, for a byte-level tokenizers file
     whose ids follow the order of its merges: such a file is a table of ranks,
-    which tiktoken encodes several times faster, to the same ids."""
+    which tiktoken encodes several times faster, to the same ids. The strings
+    of special tokens in a text are plain text, or, with ``special``, become
+    their ids (those texts go to the library)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
+        self.library = Tokenizer.from_file(path) if special else None
+        self.special = special_marks(self.library) if special else set()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, byte = spec["model"], _byte_alphabet()
@@ -152,5 +163,7 @@ class ByteEncoder:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.encoding.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        for i in [i for i, t in enumerate(texts) if any(s in t for s in self.special)]:
+            parts[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         return (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), counts

@@ -43,7 +43,6 @@ def test_windows_are_level():
 def check(rows, texts):
     """Every id in one piece, sequences gapless and at most 1,024 long."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = defaultdict(list)
     for d, text in texts:
         want[d].append(np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4"))
@@ -78,6 +77,15 @@ def test_every_id_once_and_little_padding(spark):
     assert total / (1024 * len(sequences)) > 0.96
 
 
+def test_full_windows_have_numbers_of_their_own(spark):
+    long = " ".join(prose(i, 400) for i in range(30))
+    texts = [(i, long if i % 2 else "a <|endoftext|> b " + prose(i, 300)) for i in range(12)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), PATH, group=4).collect()
+    sequences = check(rows, texts)
+    full = [s for s in sequences.values() if s == [(0, 1024)]]
+    assert len(full) >= 6 * 5 and len({r["sequence_id"] for r in rows if r["length"] == 1024}) == sum(r["length"] == 1024 for r in rows)
+
+
 def test_edge_rows(spark):
     rows = packing.pack(docs(spark), PATH).collect()
     check(rows, [(d, t) for d, t, _, _ in edge_rows()])

@@ -10,12 +10,10 @@ from ledgerlens.llm.tokens import ByteEncoder, WordEncoder, with_ends
 
 FILES = {"byte_bpe_50k.json": True, "word_bpe_49k.json": False}
 ENCODERS = {f: WordEncoder(public_tokenizers.path(f), joins) for f, joins in FILES.items()}
-ENCODERS["byte_bpe_50k.json by ranks"] = ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
-LIBRARY = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
-for _t in LIBRARY.values():
-    _t.encode_special_tokens = True
+ENCODERS["byte_bpe_50k.json by ranks"] = ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"), special=True)
+LIBRARY = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}  # as they are
 
-_letters = st.sampled_from(list("abcAZ019 .,'!-\n\t\r\x0b\x1c\x85\xa0 　éÉß́ßжdž世😀️‍▁|<>") + [" "] * 25 + ["'s", "'ll", "<|endoftext|>", "</w>", "the", "ing"])
+_letters = st.sampled_from(list("abcAZ019 .,'!-\n\t\r\x0b\x1c\x85\xa0 　éÉß́ßжdž世😀️‍▁|<>") + [" "] * 25 + ["'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "</w>", "the", "ing"])
 
 
 @pytest.mark.parametrize("name", ENCODERS)
@@ -36,6 +34,24 @@ def test_edge_texts(name):
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.lists(_letters, max_size=40).map("".join), max_size=4))
+def test_special_strings_as_plain_text(texts):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    ids, _ = _PLAIN[0].encode_all(texts)
+    assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
+
+
+_PLAIN = [ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))]
+
+
+def test_special_strings_become_their_ids():
+    text = "abc <|endoftext|> def"
+    assert ENCODERS["word_bpe_49k.json"].encode_all([text])[0].tolist() == [5334, 49407, 11649]
+    assert ENCODERS["byte_bpe_50k.json by ranks"].encode_all([text])[0].tolist() == [39305, 220, 50256, 825]
+
+
 def test_nothing():
     ids, counts = with_ends(*ENCODERS["byte_bpe_50k.json"].encode_all([]), 0)
     assert len(ids) == 0 and len(counts) == 0 and ids.dtype == np.uint32
