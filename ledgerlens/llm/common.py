@@ -38,6 +38,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI; one without a scheme lies in Hadoop's default file
+    system, as it does for Spark's own readers and writers."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -36,7 +36,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import new_folder, shuffle_partitions, slices, texts_of
+from ledgerlens.llm.common import new_folder, qualified, shuffle_partitions, slices, texts_of
 from ledgerlens.llm.tokens import WordEncoder, with_ends
 
 BLOCK = 4096
@@ -381,8 +381,6 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(df: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Write ``df``'s ids to a new folder of the shared store and read them back."""
-    folder = new_folder(df.sparkSession, "ids")
-    if ":" not in folder.split("/")[0]:
-        folder = f"file://{folder}"
+    folder = qualified(df.sparkSession, new_folder(df.sparkSession, "ids"))
     write_ids(df, folder, tokenizer, **options)
     return read_ids(df.sparkSession, folder)

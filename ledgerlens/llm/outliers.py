@@ -5,12 +5,16 @@ a minimum-covariance-determinant (MCD) estimate of location and scatter is
 found; texts whose Mahalanobis distance from it is too large are rejected,
 as are texts that fail two plain base rules.
 
-The estimate is the usual one, spread over Spark: coordinatewise median and
-MAD start it, then concentration steps follow. One step is one aggregation:
-distances fall into narrow logarithmic bins, each (group, bin) carries its
-count and moments (pre-aggregated in every task), and the bins nearest the
-centre that together hold ``h`` of the group's vectors give the next centre
-and scatter. No group's rows ever meet in one task, however large it is.
+The estimate is the usual one, spread over Spark. Every group starts from
+several estimates: coordinatewise median and MAD, and the moments of small
+random subsets. All take ``TRIAL`` concentration steps, the one of least
+determinant goes on until its determinant no longer falls, and the least
+determinant met on the way is kept. One step is one aggregation: distances
+fall into narrow logarithmic bins, each (group, start, bin) carries its count
+and moments (pre-aggregated in every task), and the bins nearest the centre
+that together hold ``h`` of the group's vectors give the next centre and
+scatter. No group's rows ever meet in one task, however large it is. A last
+step takes all vectors within the 97.5 % distance.
 
 Definitions:
 
@@ -34,7 +38,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +47,9 @@ from ledgerlens.llm.common import append_columns, fresh, stored
 #: Statistics of the vector with the least standard deviation assumed for each:
 #: arcsine-root shares of symbols, ASCII capitals and punctuation among word
 #: characters, log mean word length, arcsine-root shares of repeated lines
-#: and of words in repeated windows (wide floors: repetition has a base rule).
+#: and of words in repeated windows.
 FLOORS = {"symbols": 0.03, "capitals": 0.04, "punctuation": 0.04, "word_length": 0.08,
-          "dup_lines": 0.2, "repeat_words": 0.2}
+          "dup_lines": 0.08, "repeat_words": 0.08}
 DIM = len(FLOORS)
 SYMBOLS = b"#*$%&|<>"
 PUNCTUATION = b".,;:!?'\"()-"
@@ -53,6 +57,11 @@ SPACES = b" \t\n\r\x0b\x0c"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+STARTS = 4  # median and MAD, and random subsets
+TRIAL = 2
+MOST_STEPS = 20
+MIN_ROWS = 5 * DIM
+_SETTLED = 1e-3  # of the logarithm of the determinant
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -138,8 +147,7 @@ def _fine_key(lang: str, source: str):
     return F.to_json(F.struct(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")))
 
 
-_MODEL = "group string, mean array<double>, scatter array<double>, level string, n_rows long"
-_STEP = "key string, mean array<double>, scatter array<double>, inverse array<double>, n long"
+_STEP = "key string, start int, mean array<double>, scatter array<double>, inverse array<double>, log_det double, n long"
 
 
 def _chi2_quantile(p: float, dim: int) -> float:
@@ -161,10 +169,17 @@ def _consistency(kept: float) -> float:
     return kept / _chi2_cdf(_chi2_quantile(kept, DIM), DIM + 2) if kept < 1 else 1.0
 
 
-def _row(key: str, mean: np.ndarray, scatter: np.ndarray, n: int) -> pd.DataFrame:
+def _row(key: str, start: int, mean: np.ndarray, scatter: np.ndarray, n: int) -> pd.DataFrame:
     inverse = np.linalg.inv(scatter)
-    return pd.DataFrame({"key": [key], "mean": [np.round(mean, 9).tolist()], "scatter": [np.round(scatter, 12).ravel().tolist()],
-                         "inverse": [inverse.ravel().tolist()], "n": [n]})
+    return pd.DataFrame({"key": [key], "start": [start], "mean": [np.round(mean, 9).tolist()], "scatter": [np.round(scatter, 12).ravel().tolist()],
+                         "inverse": [inverse.ravel().tolist()], "log_det": [round(float(np.linalg.slogdet(scatter)[1]), 9)], "n": [n]})
+
+
+def _subset(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Moments of a random subset (``DIM`` + 1 vectors)."""
+    x = pdf.sort_values("place")[[f"x{i}" for i in range(DIM)]].to_numpy(float)
+    floors = np.array(list(FLOORS.values()))
+    return _row(pdf["key"].iat[0], int(pdf["start"].iat[0]), x.mean(axis=0), np.cov(x.T, bias=True) + np.diag(floors**2), len(x))
 
 
 def _start(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +196,7 @@ def _start(pdf: pd.DataFrame) -> pd.DataFrame:
         centre[d] = median(v, n)
         spread[d] = 1.4826 * median(np.abs(v - centre[d]), n)
     floors = np.array(list(FLOORS.values()))
-    return _row(pdf["key"].iat[0], centre, np.diag(spread**2 + floors**2), int(pdf.loc[pdf["d"] == 0, "n"].sum()))
+    return _row(pdf["key"].iat[0], 0, centre, np.diag(spread**2 + floors**2), int(pdf.loc[pdf["d"] == 0, "n"].sum()))
 
 
 def _moments(pdf: pd.DataFrame, share: float | None, limit: float | None) -> pd.DataFrame:
@@ -205,7 +220,7 @@ def _moments(pdf: pd.DataFrame, share: float | None, limit: float | None) -> pd.
     np.fill_diagonal(cov, np.maximum(np.diag(cov), 0))
     factor = _consistency(share if share is not None else 0.975)
     floors = np.array(list(FLOORS.values()))
-    return _row(pdf["key"].iat[0], sums, cov * factor + np.diag(floors**2), int(n.sum()))
+    return _row(pdf["key"].iat[0], int(pdf["start"].iat[0]), sums, cov * factor + np.diag(floors**2), int(n.sum()))
 
 
 def _update(share: float | None, limit: float | None):
@@ -219,11 +234,13 @@ def _bin(d2: float) -> int:
     return int(math.floor(math.log2(1 + d2) * 32))
 
 
-def fit(stats: DataFrame, names: dict[str, str], lang: str = "lang", h: float = 0.75, steps: int = 5, min_rows: int = 60) -> DataFrame:
+def fit(stats: DataFrame, names: dict[str, str], lang: str = "lang", h: float = 0.75, starts: int = STARTS, min_rows: int = MIN_ROWS) -> DataFrame:
     """MCD estimate for every (lang, source) of a frame of ``with_statistics``.
 
-    Returns one row per group: its centre, scatter (row by row) and whose
-    estimate it is. ``h`` is the share of vectors in the concentration steps.
+    Returns one row per group: its centre, scatter (row by row), whose
+    estimate it is, and log_det, that of the concentrated scatter. ``h`` is
+    the share of vectors in the concentration steps, of which there are at
+    most ``MOST_STEPS`` after the trial.
     """
     own = stored(
         stats.filter(~F.col(names["base_failed"]))
@@ -252,19 +269,41 @@ def fit(stats: DataFrame, names: dict[str, str], lang: str = "lang", h: float =
 
     binned = (rows.select("key", F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 512) for i in range(DIM)))).alias("d", "bin"))
               .groupBy("key", "d", "bin").agg(F.count("*").alias("n")))
-    params = stored(binned.groupBy("key").applyInPandas(_start, _STEP).repartition(few), "mcd-start")
+    params = binned.groupBy("key").applyInPandas(_start, _STEP)
+    if starts > 1:
+        x = [f"x{i}" for i in range(DIM)]
+        first = Window.partitionBy("key", "start").orderBy(F.xxhash64("start", *x), *x)
+        subsets = (rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts - 1))))
+                   .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= DIM + 1))
+        params = params.unionByName(subsets.groupBy("key", "start").applyInPandas(_subset, _STEP))
+    params = stored(params.repartition(few), "mcd-start")
     cross = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-    for step in range(steps + 1):
-        share, limit = (h, None) if step < steps else (None, _chi2_quantile(0.975, DIM))
+
+    def step(params: DataFrame, share: float | None, limit: float | None, name: str) -> DataFrame:
         delta = [F.col(f"x{i}") - F.col("mean")[i] for i in range(DIM)]
         d2 = sum((delta[i] * delta[j] * F.col("inverse")[i * DIM + j] * (1 if i == j else 2) for i, j in cross), F.lit(0.0))
-        near = (rows.join(params.select("key", "mean", "inverse"), "key")
+        near = (rows.join(params.select("key", "start", "mean", "inverse"), "key")
                 .withColumn("bin", F.floor(F.log2(1 + F.greatest(d2, F.lit(0.0))) * 32))
-                .groupBy("key", "bin").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)),
-                                           *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in cross)))
-
-        params = stored(near.groupBy("key").applyInPandas(_update(share, limit), _STEP).repartition(few), f"mcd-step{step}")
-    return stored(groups.join(params, "key").select(F.col("fine").alias("group"), "mean", "scatter", "level", F.col("n").alias("n_rows"))
+                .groupBy("key", "start", "bin").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)),
+                                                    *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in cross)))
+        return stored(near.groupBy("key", "start").applyInPandas(_update(share, limit), _STEP).repartition(few), name)
+
+    def least(params: DataFrame) -> DataFrame:
+        best = F.min_by(F.struct(*(c for c in params.columns if c != "key")), F.struct("log_det", "start"))
+        return params.groupBy("key").agg(best.alias("best")).select("key", "best.*")
+
+    for k in range(TRIAL):
+        params = step(params, h, None, f"mcd-trial{k}")
+    best = stored(least(params).repartition(few), "mcd-best")
+    for k in range(MOST_STEPS):
+        params = step(best, h, None, f"mcd-step{k}")
+        falls = params.join(best.select("key", F.col("log_det").alias("before")), "key").filter(F.col("before") - F.col("log_det") > _SETTLED)
+        settled = not falls.take(1)
+        best = stored(least(best.unionByName(params)).repartition(few), f"mcd-best{k}")
+        if settled:
+            break
+    params = step(best, None, _chi2_quantile(0.975, DIM), "mcd-reweighted").join(best.select("key", F.col("log_det").alias("least")), "key")
+    return stored(groups.join(params, "key").select(F.col("fine").alias("group"), "mean", "scatter", "level", F.col("n").alias("n_rows"), F.col("least").alias("log_det"))
                   .repartition(few), "mcd-model")
 
 

@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import new_folder, shuffle_partitions, stored
+from ledgerlens.llm.common import new_folder, qualified, shuffle_partitions, stored
 
 ROLL_BYTES = 64 << 20
 MOST_SHARD_BYTES = 256 << 20
@@ -61,7 +61,7 @@ def record(page: int | None, url: str | None, payload: bytes, copy: int, respons
     digest = payload_digest(payload)
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     block = http + (payload if response is None else b"")
-    uri = "".join(c if " " < c < "\x7f" else f"%{ord(c):X}" for c in url or "") or "urn:x-none"
+    uri = "".join(chr(b) if 0x20 < b < 0x7F else f"%{b:02X}" for b in (url or "").encode("utf-8", "replace")) or "urn:x-none"
     lines = ["WARC/1.1", f"WARC-Type: {'response' if response is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page, digest, copy)}",
              f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}",
              f"WARC-Block-Digest: sha1:{payload_digest(block)}"]
@@ -188,28 +188,29 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                         F.encode(F.col(payload_col).cast("string"), "UTF-8").alias("payload"))
     records = stored(rows.select("id", "payload").mapInArrow(_digests, "id long, digest string, bytes long"), "warc-digests")
     heads = stored(records.groupBy("digest").agg(F.max("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head"), "warc-heads")
-    bounds = spark.sparkContext.broadcast(np.array(shard_bounds(records, shard_bytes), np.int64))  # at most 64, or one per 256 MB
+    bounds = np.array(shard_bounds(records, shard_bytes), np.int64)  # at most 64, or one per 256 MB
+    n = 1 + len(bounds)
+    shared = spark.sparkContext.broadcast((bounds, places(spark, n)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             page, payload = batch.column(0), [p or b"" for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [_shards(page, bounds.value), page, pa.array([payload_digest(p) for p in payload], pa.string()), pa.array(np.ones(len(page), np.int32)),
+                [*_shards(page, *shared.value), page, pa.array([payload_digest(p) for p in payload], pa.string()), pa.array(np.ones(len(page), np.int32)),
                  pa.nulls(len(page), pa.int64()), batch.column(1), pa.array(payload, pa.binary())],
-                ["shard", "id", "digest", "kind", "head", "url", "payload"])
+                ["shard", "place", "id", "digest", "kind", "head", "url", "payload"])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [_shards(batch.column(0), bounds.value), batch.column(0), batch.column(1), pa.array(np.zeros(n, np.int32)), batch.column(2),
-                 pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], ["shard", "id", "digest", "kind", "head", "url", "payload"])
+                [*_shards(batch.column(0), *shared.value), batch.column(0), batch.column(1), pa.array(np.zeros(n, np.int32)), batch.column(2),
+                 pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], ["shard", "place", "id", "digest", "kind", "head", "url", "payload"])
 
-    schema = "shard long, id long, digest string, kind int, head long, url string, payload binary"
+    schema = "shard long, place long, id long, digest string, kind int, head long, url string, payload binary"
     known = records.select("id", "digest").join(heads, "digest", "left").select("id", "digest", F.coalesce("head", "id").alias("head")).distinct()
     both = rows.select("id", "url", "payload").mapInArrow(placed, schema).unionByName(known.mapInArrow(told, schema))
-    n = min(shuffle_partitions(spark), 1 + len(bounds.value)) if len(bounds.value) else 1
-    both = both.repartition(max(n, shuffle_partitions(spark)), "shard").sortWithinPartitions("shard", "id", "digest", "kind", "url")
+    both = both.repartition(n, "place").sortWithinPartitions("shard", "id", "digest", "kind", "url").drop("place")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     manifest = both.mapInArrow(_writer(folder, roll_bytes), _MANIFEST)
@@ -217,9 +218,22 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     return read_manifest(spark, folder)
 
 
-def _shards(page: pa.Array, bounds: np.ndarray) -> pa.Array:
+def places(spark: SparkSession, n: int) -> np.ndarray:
+    """Per shard a number that ``repartition(n, ...)`` puts into the partition
+    of the shard's number, so that no two shards meet in one task. (Numbers
+    enough for every partition to be hit; a miss would cost balance only.)"""
+    tried = spark.range(n * (20 + n.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+    out = np.arange(n, dtype=np.int64)
+    for r in tried.toLocalIterator():
+        out[r["at"]] = r["id"]
+    return out
+
+
+def _shards(page: pa.Array, bounds: np.ndarray, place: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Shard and place of every page id."""
     ids = np.array([v if v is not None else -(2**63) for v in page.to_pylist()], np.int64)
-    return pa.array(np.searchsorted(bounds, ids, side="right").astype(np.int64))
+    shard = np.searchsorted(bounds, ids, side="right").astype(np.int64)
+    return pa.array(shard), pa.array(place[shard])
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -286,8 +300,6 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, name: str = "warc") -> DataFrame:
     """Write ``pages`` to a new folder of the shared store and read them back."""
-    folder = new_folder(pages.sparkSession, name)
-    if ":" not in folder.split("/")[0]:
-        folder = f"file://{folder}"
+    folder = qualified(pages.sparkSession, new_folder(pages.sparkSession, name))
     write_warc(pages, folder)
     return read_warc(pages.sparkSession, folder)

@@ -3,6 +3,7 @@ import glob
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm import warc
@@ -80,3 +81,19 @@ def test_damage_is_found_and_leftovers_are_ignored(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
+
+
+def test_uris_are_percent_encoded_utf8(spark):
+    from urllib.parse import unquote
+    urls = {1: "http://x.example/ü/中?q=a b", 2: "http://x.example/new\nline", 3: "http://x.example/%41", 4: None}
+    df = spark.createDataFrame([(i, u, "<p>", None, 1) for i, u in urls.items()], PAGES)
+    got = {r["page_id"]: r["uri"] for r in warc.round_trip(df).collect()}
+    assert got[1] == "http://x.example/%C3%BC/%E4%B8%AD?q=a%20b" and unquote(got[1]) == urls[1]
+    assert got[2] == "http://x.example/new%0Aline" and got[3] == urls[3] and got[4] == "urn:x-none"
+
+
+def test_every_shard_has_a_task_of_its_own(spark):
+    for n in (1, 2, 7, 64):
+        place = warc.places(spark, n)
+        df = spark.createDataFrame([(int(p),) for p in place], "place long").repartition(n, "place")
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() == n
