@@ -12,7 +12,7 @@ from ledgerlens.plans.params import DEFAULT_PARAMS, ReportParams
 from ledgerlens.sources.tables import Tables
 
 
-def _listed_customers(t: Tables, p: ReportParams, *cols) -> DataFrame:
+def listed_customers(t: Tables, p: ReportParams, *cols) -> DataFrame:
     """Customers shown in the follow-up lists: name not matching
     ``p.exclude_name_like`` and group different from the excluded one (a
     NULL name or group drops the customer, as in SQL)."""
@@ -22,6 +22,49 @@ def _listed_customers(t: Tables, p: ReportParams, *cols) -> DataFrame:
             .drop("party_group_id"))
 
 
+def branch_keys(t: Tables) -> DataFrame:
+    """(site_id, branch, branch_key). Branches are site names (sites sharing a
+    name are one branch); a small integer key per name goes through the
+    aggregates, names come at the end."""
+    return t.sites.select(F.col("id").alias("site_id"), F.col("name").alias("branch"),
+                          F.min("id").over(Window.partitionBy("name")).alias("branch_key"))
+
+
+def predictions(t: Tables, branches: DataFrame, as_of, recent_days: int) -> DataFrame:
+    """R9's rows from one row per listed customer and branch: the customer's
+    columns, branch_key, total_orders, the sums ``_gap_sum``, ``_hour_sum``,
+    ``_hour_n``, ``_undated``, and the branch's ``_first`` (day, id) and
+    ``_last`` (day, id, amount) order."""
+    site_branch, by_customer = branch_keys(t), Window.partitionBy("party_id")
+    rows = (branches
+            .withColumn("_opening", F.min("_first").over(by_customer))
+            .withColumn("_latest", F.max("_last").over(by_customer))
+            .withColumn("_undated", F.sum("_undated").over(by_customer))
+            .withColumn("last_purchase_date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("_latest.day")))
+            .filter((F.col("_undated") == 0) & (F.col("_last") == F.col("_latest"))
+                    & (F.col("last_purchase_date") >= F.date_sub(X.as_date(as_of), recent_days))))
+    branch_names = site_branch.select("branch_key", "branch").dropDuplicates(["branch_key"])
+    rows = B.attach(rows.join(branch_names, "branch_key"), B.rep_names(t, "sales_rep"), "responsible_party_id", "party_id")
+
+    n_gaps = F.col("total_orders") - F.when(F.col("_opening") == F.col("_first"), 1).otherwise(0)
+    avg_cycle = X.round_ratio(F.coalesce(F.col("_gap_sum"), F.lit(0)), n_gaps)
+    rows = rows.withColumn("avg_cycle_days", avg_cycle).withColumn(
+        "usual_order_hour", X.round_ratio(F.col("_hour_sum"), F.col("_hour_n")))
+    predicted = F.when(F.col("avg_cycle_days").isNotNull(),
+                       F.date_add(F.col("last_purchase_date"), F.col("avg_cycle_days").cast("int")))
+    rows = rows.withColumn("predicted_next_order_date", predicted).withColumn(
+        "days_until_order", X.days_between(F.col("predicted_next_order_date"), X.as_date(as_of)).cast("bigint"))
+    return (rows.orderBy(F.col("usual_order_hour").asc_nulls_last(), F.col("days_until_order").asc_nulls_last(),
+                         "party_id")
+            .select("party_id", "customer_name", "branch",
+                    X.blank_to_null(F.col("sales_rep")).alias("sales_rep"),
+                    X.blank_to_null(F.col("phone")).alias("phone"),
+                    "last_purchase_date",
+                    X.money_or_zero(F.col("_latest.amount")).alias("last_order_amount"),
+                    F.col("total_orders").cast("bigint").alias("total_orders"),
+                    "avg_cycle_days", "usual_order_hour", "predicted_next_order_date", "days_until_order"))
+
+
 def followup_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS, recent_days: int = 30) -> DataFrame:
     """Predicted next order per customer from the gaps between orders.
 
@@ -48,13 +91,8 @@ def followup_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS,
     last_purchase_date, last_order_amount, total_orders, avg_cycle_days,
     usual_order_hour, predicted_next_order_date, days_until_order.
     """
-    # Branches are site names (sites sharing a name are one branch). A small
-    # integer key per name goes through the aggregates; names come at the end.
-    site_branch = t.sites.select(
-        F.col("id").alias("site_id"), F.col("name").alias("branch"),
-        F.min("id").over(Window.partitionBy("name")).alias("branch_key"))
     orders = (B.sales_invoices(t, p)
-              .join(site_branch.select("site_id", "branch_key"), "site_id")
+              .join(branch_keys(t).select("site_id", "branch_key"), "site_id")
               .select("party_id", "branch_key", F.datediff("transaction_date", F.lit("1970-01-01")).alias("day"), "id",
                       "total_amount", X.local_hour(F.col("created_at"), p.tz).alias("_hour")))
     cells = orders.groupBy("party_id", "day", "branch_key").agg(
@@ -62,7 +100,7 @@ def followup_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS,
         F.min("id").alias("_min_id"), F.max("id").alias("_max_id"),
         F.max_by("total_amount", "id").alias("_amount"))
 
-    listed = _listed_customers(t, p, "phone", "responsible_party_id")
+    listed = listed_customers(t, p, "phone", "responsible_party_id")
     by_customer = Window.partitionBy("party_id")
     cells = (cells.join(listed, "party_id")
              .withColumn("_day_first", F.min("_min_id").over(Window.partitionBy("party_id", "day")))
@@ -74,33 +112,7 @@ def followup_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS,
         F.count(F.when(F.col("day").isNull(), 1)).alias("_undated"),
         F.min(F.struct("day", F.col("_min_id").alias("id"))).alias("_first"),
         F.max(F.struct("day", F.col("_max_id").alias("id"), F.col("_amount").alias("amount"))).alias("_last"))
-    rows = (branches
-            .withColumn("_opening", F.min("_first").over(by_customer))
-            .withColumn("_latest", F.max("_last").over(by_customer))
-            .withColumn("_undated", F.sum("_undated").over(by_customer))
-            .withColumn("last_purchase_date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("_latest.day")))
-            .filter((F.col("_undated") == 0) & (F.col("_last") == F.col("_latest"))
-                    & (F.col("last_purchase_date") >= F.date_sub(X.as_date(as_of), recent_days))))
-    branch_names = site_branch.select("branch_key", "branch").dropDuplicates(["branch_key"])
-    rows = B.attach(rows.join(branch_names, "branch_key"), B.rep_names(t, "sales_rep"), "responsible_party_id", "party_id")
-
-    n_gaps = F.col("total_orders") - F.when(F.col("_opening") == F.col("_first"), 1).otherwise(0)
-    avg_cycle = X.round_ratio(F.coalesce(F.col("_gap_sum"), F.lit(0)), n_gaps)
-    rows = rows.withColumn("avg_cycle_days", avg_cycle).withColumn(
-        "usual_order_hour", X.round_ratio(F.col("_hour_sum"), F.col("_hour_n")))
-    predicted = F.when(F.col("avg_cycle_days").isNotNull(),
-                       F.date_add(F.col("last_purchase_date"), F.col("avg_cycle_days").cast("int")))
-    rows = rows.withColumn("predicted_next_order_date", predicted).withColumn(
-        "days_until_order", X.days_between(F.col("predicted_next_order_date"), X.as_date(as_of)).cast("bigint"))
-    return (rows.orderBy(F.col("usual_order_hour").asc_nulls_last(), F.col("days_until_order").asc_nulls_last(),
-                         "party_id")
-            .select("party_id", "customer_name", "branch",
-                    X.blank_to_null(F.col("sales_rep")).alias("sales_rep"),
-                    X.blank_to_null(F.col("phone")).alias("phone"),
-                    "last_purchase_date",
-                    X.money_or_zero(F.col("_latest.amount")).alias("last_order_amount"),
-                    F.col("total_orders").cast("bigint").alias("total_orders"),
-                    "avg_cycle_days", "usual_order_hour", "predicted_next_order_date", "days_until_order"))
+    return predictions(t, branches, as_of, recent_days)
 
 
 def customer_locations(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS, days: int = 30) -> DataFrame:

@@ -42,7 +42,8 @@ def at_risk_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -
     since, and for open invoices (any amount due, credits included) their
     count, balance and oldest date. Customers in the excluded group, with a
     NULL group, or whose name matches ``p.exclude_name_like`` are left out.
-    Branches are merged by name. Sorted by balance descending.
+    Branches are merged by name. Sorted by balance descending, then customer
+    and branch.
 
     Plan: the invoice history is first reduced to one row per (customer,
     site) with a map-side-combined aggregate, so a customer holding a large
@@ -69,7 +70,7 @@ def at_risk_customers(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -
                 F.min("_oldest").alias("oldest_due_date"))
             .filter(F.col("_due") > 0))
     rows = B.attach(rows, B.rep_names(t, "sales_rep"), "responsible_party_id", "party_id")
-    return (rows.orderBy(F.col("_due").desc_nulls_first())
+    return (rows.orderBy(F.col("_due").desc_nulls_first(), "party_id", "branch")
             .select("party_id", "customer_name", "branch",
                     X.blank_to_null(F.col("sales_rep")).alias("sales_rep"),
                     "last_purchase_date",

@@ -98,7 +98,8 @@ def sales_by_group(t: Tables, as_of=None, p: ReportParams = DEFAULT_PARAMS) -> D
          .join(B.group_names(t), "party_group_id", "left"))
     agg = v.groupBy("transaction_date", "site_id", "group_name").agg(
         F.sum("_n").cast("bigint").alias("invoice_count"), F.sum("_amt").alias("_amt"))
-    return (agg.orderBy(F.col("transaction_date").desc_nulls_first(), F.col("_amt").desc_nulls_first())
+    return (agg.orderBy(F.col("transaction_date").desc_nulls_first(), F.col("_amt").desc_nulls_first(),
+                        F.col("site_id").asc_nulls_last(), F.coalesce(F.col("group_name"), F.lit("Other")))
             .select(_period(("today", "yesterday"), as_of).alias("period"), "site_id",
                     F.coalesce(F.col("group_name"), F.lit("Other")).alias("group_name"),
                     "invoice_count", X.money_or_zero(F.col("_amt")).alias("total_amount")))
