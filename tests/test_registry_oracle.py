@@ -148,7 +148,7 @@ def _full_text(df):
 
 
 def _scans(plan, table):
-    return len(re.findall(rf"FileScan parquet[^\n]*/{table}[\],]", plan))
+    return len(re.findall(rf"FileScan parquet[^\n]*/{table}[/\],]", plan))
 
 
 def test_followup_reads_the_orders_once(spark, stored_star):
