@@ -24,7 +24,7 @@ without such rows appends nothing.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,21 @@ def merged(state: DataFrame) -> DataFrame:
     return state.groupBy("voucher_id").agg(*(F.min(c).alias(c) for c in (*TIMES, *ACTORS)))
 
 
+def united(states: Sequence[DataFrame]) -> DataFrame:
+    """The rows of several states, each state read by tasks of its own.
+
+    All states are dealt out by invoice alike, and Spark unites such frames
+    partition by partition: one task would then hold the sorts of the same
+    invoices of every batch at once. ``coalesce`` to the number of partitions
+    they have at most moves nothing, but gives the common layout up.
+    """
+    n = int(states[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = states[0].coalesce(n)
+    for s in states[1:]:
+        out = out.unionByName(s.coalesce(n))
+    return out
+
+
 def milestones_of(state: DataFrame) -> DataFrame:
     """The rows of ``plans.base.milestones`` from merged state."""
     out = state.select("voucher_id", *TIMES, F.col("delivered_by.name").alias("delivered_by"),
@@ -87,9 +102,10 @@ def state_of_added(t: Tables, added: Mapping[str, DataFrame]) -> DataFrame | Non
         return B.status_events(dataclasses.replace(t, document_status_history=events.select(*columns)), of, windowed=True)
 
     if "document_status_history" in added:
+        # cells first: they meet the challans in one join, without a list of
+        # the documents, whose aggregate and join would share a task with it
         new = added["document_status_history"]
-        ours = _distinct(new, "document_id", "document_id")
-        parts.append(cells(new, challans.join(ours, "document_id", "left_semi")))
+        parts.append(B.status_events(dataclasses.replace(t, document_status_history=new.select(*columns)), challans))
     if "delivery_challans" in added:
         new = added["delivery_challans"]
         parts.append(cells(history, new.select(F.col("id").alias("document_id"), F.col("related_invoice_voucher_id").alias("voucher_id"))))

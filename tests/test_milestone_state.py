@@ -104,3 +104,10 @@ def test_nothing_new(spark, table, tmp_path):
 def test_registered_query_equals_one_pass(spark):
     sf = "/root/testdata/sf0.001"
     assert _rows(QUERIES["r11a_milestones_by_year"](spark, sf)) == _rows(QUERIES["r11a_milestones"](spark, sf))
+
+
+def test_batches_do_not_share_a_task(spark):
+    """The states of all years lie alike; united partition by partition, one task would sort them all."""
+    plan = QUERIES["r11a_milestones_by_year"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(voucher_id" in plan[:plan.index("Union")]
+    assert "LeftSemi" not in plan  # and a batch's events meet the challans in one join
