@@ -173,12 +173,16 @@ def _within_one(a: Column, b: Column) -> Column:
             & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1))
 
 
-def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line within one edit."""
-    keyed = lines.filter("keys IS NOT NULL").select(*_HASH, *_PLACE, F.explode("keys").alias("key"))
+def _sharing(lines: DataFrame) -> DataFrame:
+    """h1, h2 of the distinct lines that share a key with another."""
+    keyed = lines.filter("keys IS NOT NULL").select(*_HASH, F.explode("keys").alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key"), "lines-shared")
-    found = stored(keyed.join(shared, "key", "left_semi").groupBy(*_HASH).agg(_first()), "lines-found")
+    return stored(keyed.join(shared, "key", "left_semi").select(*_HASH).distinct(), "lines-sharing")
 
+
+def _near(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """h1, h2 of the lines of ``found`` (h1, h2, first) that have an earlier
+    line within one edit."""
     wanted = found.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct(*_HASH, "first")).alias("wanted"))
     wanted = stored(wanted, "lines-wanted")
     one_each = docs.select("rid", "text").join(wanted, "rid")
@@ -191,9 +195,8 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     keys = stored(_deletions(texts), "lines-deletions")
     same = ["left", "a", "b"]
     by_place = keys.groupBy(*same, "at").agg(_first_of(), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("at") >= 0))
-    by_kind = keys.groupBy(*same, (F.col("at") < 0).alias("own")).agg(_first_of())
-    both = by_kind.groupBy(*same).agg(F.min(F.when(F.col("own"), F.col("first"))).alias("own_first"),
-                                      F.min(F.when(~F.col("own"), F.col("first"))).alias("gone_first"))
+    both = keys.groupBy(*same).agg(F.min(F.when(F.col("at") < 0, F.col("first"))).alias("own_first"),
+                                   F.min(F.when(F.col("at") >= 0, F.col("first"))).alias("gone_first"))
     both = stored(both.filter("own_first IS NOT NULL AND gone_first IS NOT NULL"), "lines-indels")
     by_place = stored(by_place.select(*same, "at", F.col("first").alias("earlier")), "lines-replaced")
     replaced = keys.join(by_place, [*same, "at"]).select(*_HASH, "first", "earlier")
@@ -222,9 +225,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
     docs = df.select(F.col(id_col).alias("id"), F.col(rid).alias("rid"), F.col(text_col).alias("text"))
     lines = stored(_lines(docs, near_words), "lines")
 
-    repeated = lines.groupBy(*_HASH).agg(_first(), F.count("*").alias("n")).filter("n > 1").select(*_HASH, "first")
-    repeated = stored(repeated, "lines-repeated")
-    near = stored(_near(docs, lines), "lines-near")
+    # the places of lines move once, for the repeated ones and for those with a partner
+    firsts = (lines.groupBy(*_HASH).agg(_first(), F.count("*").alias("n"))
+              .join(_sharing(lines).withColumn("sharing", F.lit(True)), _HASH, "left")
+              .withColumn("sharing", F.coalesce("sharing", F.lit(False))).filter("n > 1 OR sharing"))
+    firsts = stored(firsts, "lines-firsts")
+    repeated = firsts.filter("n > 1").select(*_HASH, "first")
+    near = stored(_near(docs, firsts.filter("sharing").select(*_HASH, "first")), "lines-near")
     fate = stored(repeated.withColumn("near", F.lit(False)).unionByName(
         near.withColumn("first", F.lit(None).cast(repeated.schema["first"].dataType)).withColumn("near", F.lit(True)))
         .groupBy(*_HASH).agg(F.max("first").alias("first"), F.max("near").alias("near")), "lines-fate")

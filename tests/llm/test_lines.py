@@ -99,3 +99,20 @@ def test_hash_columns_do_not_leak(spark):
     df = spark.createDataFrame([(1, PROSE)], "doc_id long, text string").withColumn("line_rid", F.lit("mine"))
     out, _ = lines.line_dedup(df)
     assert out.first()["line_rid"] == "mine"
+
+
+def test_places_move_once(spark, monkeypatch):
+    """Keys of lines are joined without their places, and one exchange finds the insertions."""
+    plans, kept = {}, lines.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(lines, "stored", noted)
+    text = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "a line\n" + text), (4, "a line")], "doc_id long, text string")
+    out, names = lines.line_dedup(df)
+    assert {r["doc_id"]: (r[names["exact"]], r[names["near"]]) for r in out.collect()} == {1: (0, 0), 2: (0, 1), 3: (1, 0), 4: (1, 0)}
+    assert not [n for n, p in plans.items() if "explode(keys" in p and "rid#" in p]
+    assert plans["lines-indels"].count("Exchange") == 1
