@@ -7,15 +7,17 @@ of a mixture of three adaptive predictions:
 * order 2: the id that last followed the two ids before, and how far it can
   be trusted (0-3);
 * order 1: the same for the one id before;
-* order 0: a distribution over all ids. Ids are ranked by their frequency in
-  the file; ranks fall into classes by powers of two, the class probabilities
-  adapt, ranks of a class are equally likely.
+* order 0: the frequencies of the ids in the file, which its head holds.
 
-The weights of the mixture are learnt per pair of trust levels while coding.
-The coder is a carry-less range coder with 64-bit state and 16-bit output.
+The weights of the mixture are learnt per pair of trust levels while coding. An
+id has the sum of what the three give it: the interval of the order-2 prediction
+comes first, then that of order 1, then those of all other ids by rank. The
+coder is a range coder with 64-bit state and 32-bit output; carries are added
+to the words before.
 
 Python is too slow for one symbol at a time, so all blocks of a file advance
-together, one numpy lane per block.
+together, one numpy lane per block. The coder, which knows all ids, works out
+contexts and masses for several steps at once.
 
 Files hold the documents of a range of ids in ascending order. They are written
 under a temporary name and renamed; the manifest table, committed by Spark,
@@ -28,7 +30,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,106 +38,121 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import new_folder, qualified, shuffle_partitions, slices, texts_of
-from ledgerlens.llm.tokens import WordEncoder, with_ends
+from ledgerlens.llm.common import new_folder, qualified, shuffle_partitions, slices
+from ledgerlens.llm.tokens import column_encoder, with_ends
 
 BLOCK = 4096
 #: Blocks that are coded or decoded side by side.
-LANES = 512
+LANES = 1664
+#: A file is cut at this many ids; a remainder of fewer joins the file before it.
 FILE_IDS = 4 << 20
-MAGIC = b"IDMIX1\x00\x00"
-_CLASSES = 17  # ranks up to 131,071
-_TOTAL = 32  # bits of the mixture's total
-_ROW = 15  # bits of the order-0 total
-_MOST = 57344  # of 65,536: the greatest probability of a prediction
-_GAP = 95
+MAGIC = b"IDMIX2\x00\x00"
+_RANKS = 1 << 17  # different ids of a file, at most
+_MIX = 12  # bits of the mixture's total
+_MOST = 57344  # of 65,536: the greatest weight
 _SLOTS = 12
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_U16, _U48 = np.uint64(16), np.uint64(48)
-_CLASS_OF = np.floor(np.log2(np.arange(1, 1 << _CLASSES))).astype(np.int64)
-_TARGETS = np.array([[(1 << _ROW) - _GAP * (_CLASSES - i) if i > k else _GAP * i for i in range(1, _CLASSES)] for k in range(_CLASSES)], np.int32)
+_CHUNK = 32  # steps whose masses the coder works out at once
+_KEYS = np.array([[81006], [48271]])
+_OLDER, _SHIFT, _MASK = np.array(69621), np.array(5), np.array((1 << _SLOTS) - 1)
+#: Operands of the inner loops as arrays, which spares a conversion each time.
+_1, _2, _3, _5, _HIGH, _CAP = (np.array(x, np.int32) for x in (1, 2, 3, 5, 65535, _MOST))
+_U12, _U32, _LEAST, _FULL, _NONE = (np.array(x, np.uint64) for x in (_MIX, 32, 1 << 32, 2**64 - 1, 0))
 
 
 class _Mixture:
-    """The adaptive state of all lanes; coder and decoder drive it alike."""
-
-    def __init__(self, lanes: int, start: np.ndarray):
-        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
-        self.order1 = np.zeros(lanes << _SLOTS, np.int32)  # 4 * predicted rank + trust
-        self.order2 = np.zeros(lanes << _SLOTS, np.int32)
-        self.weight1 = np.full(lanes * 32, 6000, np.int32)
-        self.weight2 = np.full(lanes * 32, 6000, np.int32)
-        self.classes = np.tile(start.astype(np.int32), (lanes, 1))  # inner bounds of the cumulative classes
+    """The adaptive state of ``lanes`` lanes, the first ``n`` of which advance;
+    coder and decoder drive it alike. Row 0 of a pair is order 1, row 1 order 2."""
+
+    def __init__(self, lanes: int):
+        self.lanes = lanes
+        self.table = np.zeros(2 * lanes << _SLOTS, np.int32)  # 4 * predicted rank + trust
+        self.weights = np.full(2 * lanes * 32, 6000, np.int32)
         self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes, dtype=np.int64)
-
-    def predict(self, n: int) -> None:
-        """For the first ``n`` lanes: predictions and their masses."""
-        base, last = self.base[:n], self.last[:n]
-        self.at1 = base + ((last * 40503 >> 4) & ((1 << _SLOTS) - 1))
-        self.at2 = base + (((last * 48271 + self.before[:n] * 69621) >> 5) & ((1 << _SLOTS) - 1))
-        e1, e2 = self.order1[self.at1], self.order2[self.at2]
-        self.p1, self.t1 = (e1 >> 2).astype(np.int64), e1 & 3
-        self.p2, self.t2 = (e2 >> 2).astype(np.int64), e2 & 3
-        self.context = (self.lane[:n] << 5) + (self.t1 << 3) + (self.t2 << 1) + (self.p1 == self.p2)
-        self.q1, self.q2 = self.weight1[self.context], self.weight2[self.context]
-        self.m2 = self.q2.astype(np.int64) << (_TOTAL - 16)
-        rest = (1 << _TOTAL) - self.m2
-        self.m1 = (rest >> 16) * self.q1
-        self.unit = (rest - self.m1) >> _ROW
-
-    def order0(self, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of ranks in the order-0 part."""
-        k = _CLASS_OF[rank]
-        low, high = self._bounds(k, n)
-        each = (self.unit * (high - low)) >> k
-        return self.unit * low + each * (rank + 1 - (1 << k)), each
-
-    def _bounds(self, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        lane = self.lane[:n]
-        low = np.where(k > 0, self.classes[lane, np.maximum(k - 1, 0)], 0).astype(np.int64)
-        high = np.where(k < _CLASSES - 1, self.classes[lane, np.minimum(k, _CLASSES - 2)], 1 << _ROW).astype(np.int64)
-        return low, high
-
-    def inverse0(self, u: np.ndarray, n: int) -> np.ndarray:
-        """The rank whose order-0 part holds ``u``."""
-        k = (self.classes[:n] <= (u // self.unit)[:, None]).sum(axis=1)
-        low, high = self._bounds(k, n)
-        each = (self.unit * (high - low)) >> k
-        return (1 << k) - 1 + np.minimum((u - self.unit * low) // each, (1 << k) - 1)
-
-    def update(self, rank: np.ndarray, n: int) -> None:
-        hit1, hit2 = self.p1 == rank, self.p2 == rank
-        self.weight2[self.context] = np.minimum(self.q2 + ((hit2 * 65535 - self.q2) >> 5), _MOST)
-        alone = self.context[~hit2]
-        self.weight1[alone] = np.minimum(self.q1 + ((hit1 * 65535 - self.q1) >> 5), _MOST)[~hit2]
-        for table, at, pred, trust, hit in ((self.order1, self.at1, self.p1, self.t1, hit1), (self.order2, self.at2, self.p2, self.t2, hit2)):
-            keep = hit | (trust > 1)
-            trust = np.where(hit, np.minimum(trust + 1, 3), np.where(keep, trust - 1, 1))
-            table[at] = (np.where(keep, pred, rank) << 2) + trust
-        rows = self.classes[:n]
-        rows += (_TARGETS[_CLASS_OF[rank]] - rows) >> 5
-        self.before[:n] = self.last[:n]
-        self.last[:n] = rank
-
-
-def _shifts(low: np.ndarray, span: np.ndarray, spill: Callable[[np.ndarray], None]) -> None:
-    """Move out settled words until every lane has room again."""
-    at = np.arange(len(low))
-    while True:
-        lo, sp = low[at], span[at]
-        settled = (lo ^ (lo + sp)) < _TOP
-        small = ~settled & (sp < _BOTTOM)
-        some = settled | small
-        if not some.any():
-            return
-        forced = at[small]
-        span[forced] = (np.uint64(0) - low[forced]) & (_BOTTOM - np.uint64(1))
-        at = at[some]
-        spill(at)
-        low[at] <<= _U16
-        span[at] <<= _U16
+        self.older = np.zeros(lanes, np.int64)
+
+    def narrow(self, n: int) -> None:
+        """From now on the first ``n`` lanes advance."""
+        lane = np.arange(n) + np.array([[0], [self.lanes]])
+        self.slots, self.contexts = lane << _SLOTS, lane << 5
+        self.last, self.older = self.last[:n].copy(), self.older[:n].copy()
+        self.at, self.place = np.empty((2, n), np.int64), np.empty((2, n), np.int64)
+        self.entry, self.pred, self.trust, self.q, self.new, self.hit32 = (np.empty((2, n), np.int32) for _ in range(6))
+        self.hit, self.same = np.empty((2, n), bool), np.empty(n, bool)
+        self.context, self.fresh, self.context64 = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.int64)
+
+    def locate(self) -> None:
+        """Where the contexts of the next ids are kept."""
+        at = np.multiply(self.last, _KEYS, out=self.at)
+        at[1] += self.older
+        at >>= _SHIFT
+        at &= _MASK
+        at += self.slots
+
+    def predict(self) -> None:
+        """Predictions and weights at ``at``."""
+        self.table.take(self.at, out=self.entry, mode="clip")
+        np.right_shift(self.entry, _2, out=self.pred)
+        trust, context = np.bitwise_and(self.entry, _3, out=self.trust), self.context
+        np.left_shift(trust[0], _2, out=context)
+        context += trust[1]
+        context += context
+        np.equal(self.pred[0], self.pred[1], out=self.same)
+        context += self.same
+        np.copyto(self.context64, context)
+        np.add(self.context64, self.contexts, out=self.place)
+        self.weights.take(self.place, out=self.q, mode="clip")
+
+    def update(self, rank: np.ndarray) -> None:
+        entry, trust, q, new, hit = self.entry, self.trust, self.q, self.new, self.hit32
+        np.equal(self.pred, rank, out=self.hit)
+        np.copyto(hit, self.hit)
+        np.multiply(hit, _HIGH, out=new)
+        new -= q
+        new >>= _5
+        other = np.subtract(hit[1], _1, out=self.fresh)
+        new[0] &= other  # order 1 learns where order 2 fails
+        new += q
+        np.minimum(new, _CAP, out=new)
+        self.weights[self.place] = new
+        np.bitwise_or(entry, _3, out=new)
+        entry += hit
+        entry += hit
+        entry -= _1
+        np.minimum(entry, new, out=entry)  # trust one more or one less
+        fresh = np.left_shift(rank, _2, out=self.fresh)
+        fresh += _1
+        trust >>= _1
+        trust |= hit
+        trust -= _1  # all bits where a distrusted prediction failed
+        np.bitwise_xor(entry, fresh, out=new)
+        new &= trust
+        entry ^= new
+        self.table[self.at] = entry
+
+
+def _masses(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of 2^12: the mass of order 2, and that of order 2 and order 1 together."""
+    two = (q[..., 1, :] >> 4) + 1
+    one = ((((1 << _MIX) - two) * q[..., 0, :]) >> 16) + 1
+    return two, one + two
+
+
+def _order0(start: np.ndarray) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """Bits of the total, first points and widths of the ranks."""
+    width = start.astype(np.uint64)
+    ends = np.cumsum(width)
+    return np.uint64(int(ends[-1]).bit_length() - 1), ends - width, width
+
+
+def _segments(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Steps from, to, and the lanes that take them, of lanes in descending order of length."""
+    t = 0
+    while len(lengths):
+        end = int(lengths[-1])
+        if end > t:
+            yield t, end, len(lengths)
+            t = end
+        lengths = lengths[:np.searchsorted(-lengths, -end, side="left")]
 
 
 def _lanes_by_length(lengths: np.ndarray) -> np.ndarray:
@@ -144,120 +161,191 @@ def _lanes_by_length(lengths: np.ndarray) -> np.ndarray:
 
 def code(blocks: list[np.ndarray], start: np.ndarray) -> list[bytes]:
     """Payloads of blocks of ranks (each of at most ``BLOCK``)."""
+    if not blocks:
+        return []
     lengths = np.array([len(b) for b in blocks], np.int64)
     order = _lanes_by_length(lengths)
-    steps = int(lengths.max(initial=0))
-    grid = np.zeros((steps, len(blocks)), np.int64)
+    steps, lanes = int(lengths.max()), len(blocks)
+    down, first, width = _order0(start)
+    grid = np.zeros((steps + 2, lanes), np.int32)  # two steps of zeros before the first
     for lane, b in enumerate(order):
-        grid[:lengths[b], lane] = blocks[b]
-    out, place = np.zeros((len(blocks), 2 * steps + 8), np.uint16), np.zeros(len(blocks), np.int64)
-    low, span = np.zeros(len(blocks), np.uint64), np.full(len(blocks), 2**64 - 1, np.uint64)
-    m = _Mixture(len(blocks), start)
-
-    def spill(at: np.ndarray) -> None:
-        out[at, place[at]] = (low[at] >> _U48).astype(np.uint16)
-        place[at] += 1
-
-    active = np.searchsorted(-lengths[order], -np.arange(steps), side="left")  # lanes longer than t
-    for t in range(steps):
-        n = int(active[t])
-        rank = grid[t, :n]
-        m.predict(n)
-        begin, width = m.order0(rank, n)
-        begin = begin + m.m1 * (m.p1 < rank) + m.m2 * (m.p2 < rank)
-        width = width + m.m1 * (m.p1 == rank) + m.m2 * (m.p2 == rank)
-        unit = span[:n] >> np.uint64(_TOTAL)
-        low[:n] += unit * begin.astype(np.uint64)
-        span[:n] = unit * width.astype(np.uint64)
-        _shifts(low[:n], span[:n], spill)
-        m.update(rank, n)
-    for _ in range(4):
-        spill(np.arange(len(blocks)))
-        low <<= _U16
-    result: list[bytes] = [b""] * len(blocks)
+        grid[2:2 + lengths[b], lane] = blocks[b]
+    stride = steps + 4
+    out = np.zeros(lanes * stride, np.uint64)  # 32-bit words, and what is carried into them
+    begin = np.arange(lanes) * stride
+    to, low, span = begin.copy(), np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+    m = _Mixture(lanes)
+    for t0, t1, n in _segments(lengths[order]):
+        m.narrow(n)
+        lo, sp, at_out = low[:n], span[:n], to[:n]
+        unit, part, each, more = (np.empty(n, np.uint64) for _ in range(4))
+        for c in range(t0, t1, _CHUNK):
+            k = min(_CHUNK, t1 - c)
+            known = grid[c:c + k + 2, :n].astype(np.int64)
+            at = known[1:-1, None, :] * _KEYS
+            at[:, 1] += known[:-2] * _OLDER
+            at >>= _SHIFT
+            at &= _MASK
+            at += m.slots
+            q, pred, hit = np.empty((k, 2, n), np.int32), np.empty((k, 2, n), np.int32), np.empty((k, 2, n), bool)
+            for i in range(k):
+                m.at, m.q, m.pred, m.hit = at[i], q[i], pred[i], hit[i]
+                m.predict()
+                m.update(grid[c + i + 2, :n])
+            two, both = _masses(q)
+            own = known[2:]
+            wides = width.take(pred, mode="clip")
+            wide2, wide1 = wides[:, 1], wides[:, 0]
+            wide1 *= pred[:, 0] != pred[:, 1]
+            by2, by1 = hit[:, 1], hit[:, 0] > hit[:, 1]
+            rest = ((1 << _MIX) - both).astype(np.uint64)
+            skip, mass = two * by1, (both - two) * by1
+            failed = ~(by1 | by2)
+            skip += both * failed
+            mass += two * by2
+            skip, mass = skip.astype(np.uint64), mass.astype(np.uint64)
+            inner = first.take(own, mode="clip")
+            inner += wide1 * (pred[:, 0] > own)
+            inner -= wide2 * (pred[:, 1] < own)
+            inner *= failed
+            inner += wide2 * ~by2
+            wide = width.take(own, mode="clip")
+            for i in range(k):
+                np.right_shift(sp, _U12, out=unit)
+                np.multiply(unit, rest[i], out=each)
+                each >>= down
+                np.multiply(each, inner[i], out=part)
+                np.multiply(unit, skip[i], out=more)
+                part += more
+                lo += part
+                np.multiply(each, wide[i], out=sp)
+                unit *= mass[i]
+                sp += unit
+                over = np.flatnonzero(lo < part)
+                if len(over):
+                    out[at_out[over] - 1] += np.uint64(1)
+                small = np.flatnonzero(sp < _LEAST)
+                if len(small):
+                    words, places = lo[small], at_out[small]
+                    out[places] = words >> _U32
+                    lo[small] = words << _U32
+                    sp[small] <<= _U32
+                    at_out[small] = places + 1
+    out[to], out[to + 1] = low >> _U32, low & np.uint64(0xFFFFFFFF)
+    while (carried := np.flatnonzero(out > 0xFFFFFFFF)).size:
+        out[carried] &= np.uint64(0xFFFFFFFF)
+        out[carried - 1] += np.uint64(1)
+    result: list[bytes] = [b""] * lanes
     for lane, b in enumerate(order):
-        result[b] = out[lane, :place[lane]].astype("<u2").tobytes()
+        result[b] = out[begin[lane]:to[lane] + 2].astype("<u4").tobytes()
     return result
 
 
 def decode(payloads: list[bytes], lengths: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     """The ranks of every block."""
+    if not payloads:
+        return []
     order = _lanes_by_length(lengths)
-    steps = int(lengths.max(initial=0))
-    words = [np.frombuffer(payloads[b], "<u2") for b in order]
-    data = np.zeros((len(words), max((len(w) for w in words), default=0) + 4), np.uint64)
-    for lane, w in enumerate(words):
-        data[lane, :len(w)] = w
-    lanes = np.arange(len(words))
-    value = np.zeros(len(words), np.uint64)
-    for i in range(4):
-        value = (value << _U16) | data[:, i]
-    place = np.full(len(words), 4, np.int64)
-    low, span = np.zeros(len(words), np.uint64), np.full(len(words), 2**64 - 1, np.uint64)
-    grid = np.zeros((steps, len(words)), np.int32)
-    m = _Mixture(len(words), start)
-    last = data.shape[1] - 1
-
-    def spill(at: np.ndarray) -> None:
-        value[at] = (value[at] << _U16) | data[at, np.minimum(place[at], last)]
-        place[at] += 1
-
-    active = np.searchsorted(-lengths[order], -np.arange(steps), side="left")
-    for t in range(steps):
-        n = int(active[t])
-        m.predict(n)
-        unit = span[:n] >> np.uint64(_TOTAL)
-        v = np.minimum((value[:n] - low[:n]) // unit, np.uint64((1 << _TOTAL) - 1)).astype(np.int64)
-        swap = m.p2 < m.p1
-        a, b = np.where(swap, m.p2, m.p1), np.where(swap, m.p1, m.p2)
-        mass_a, mass_b = np.where(swap, m.m2, m.m1), np.where(swap, m.m1, m.m2)
-        same = a == b
-        begin_a, width_a = m.order0(a, n)
-        begin_b, width_b = m.order0(b, n)
-        end_a = begin_a + width_a + mass_a
-        begin_b = begin_b + mass_a
-        end_b = begin_b + width_b + mass_b  # where both agree, b's interval takes in a's
-        beyond_b, beyond_a = v >= end_b, v >= end_a
-        u = v - np.where(beyond_b, mass_a + mass_b, np.where(beyond_a & ~same, mass_a, 0))
-        rank = m.inverse0(np.maximum(u, 0), n)
-        in_b = (v >= np.where(same, begin_a, begin_b)) & ~beyond_b
-        in_a = (v >= begin_a) & ~beyond_a & ~same
-        rank = np.where(in_b, b, np.where(in_a, a, rank))
-        begin, width = m.order0(rank, n)
-        begin = begin + m.m1 * (m.p1 < rank) + m.m2 * (m.p2 < rank)
-        width = width + m.m1 * (m.p1 == rank) + m.m2 * (m.p2 == rank)
-        low[:n] += unit * begin.astype(np.uint64)
-        span[:n] = unit * width.astype(np.uint64)
-        _shifts(low[:n], span[:n], spill)
-        grid[t, :n] = rank
-        m.update(rank, n)
-    del lanes
-    result: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    steps, lanes = int(lengths.max()), len(payloads)
+    down, first, width = _order0(start)
+    rank_at = np.repeat(np.arange(len(start), dtype=np.int32), start)
+    sizes = np.array([len(payloads[b]) // 4 for b in order])
+    words = np.zeros(int(sizes.sum()) + 2, np.uint64)
+    words[:-2] = np.frombuffer(b"".join(payloads[b][:4 * k] for b, k in zip(order, sizes, strict=True)), "<u4")
+    begin = np.cumsum(sizes) - sizes
+    value, span, src = (words[begin] << _U32) | words[begin + 1], np.full(lanes, _FULL), begin + 2
+    grid = np.zeros((steps, lanes), np.int32)
+    m = _Mixture(lanes)
+    for t0, t1, n in _segments(lengths[order]):
+        m.narrow(n)
+        val, sp, at_in = value[:n], span[:n], src[:n]
+        unit, each, part, inner = (np.empty(n, np.uint64) for _ in range(4))
+        mass, ends, wide, hole, below = (np.empty((2, n), np.uint64) for _ in range(5))
+        under, index = np.empty((2, n), bool), part.view(np.int64)
+        for t in range(t0, t1):
+            m.locate()
+            m.predict()
+            mass[0], mass[1] = _masses(m.q)
+            np.right_shift(sp, _U12, out=unit)
+            np.multiply(unit, mass, out=ends)
+            np.subtract(np.uint64(1 << _MIX), mass[1], out=each)
+            each *= unit
+            each >>= down
+            width.take(m.pred, out=wide, mode="clip")
+            wide[0] *= ~m.same
+            np.multiply(wide, each, out=below)
+            below[0] += below[1]
+            ends[0] += below[1]
+            ends[1] += below[0]
+            np.subtract(val, ends[1], out=part)
+            part //= each
+            first.take(m.pred, out=hole, mode="clip")
+            hole -= wide[::-1] * np.less(m.pred[::-1], m.pred, out=under)
+            wide *= np.less_equal(hole, part, out=under)
+            wide[0] += wide[1]
+            part += wide[0]
+            np.less(val, ends, out=under)
+            own = rank_at.take(index, mode="clip")
+            first.take(own, out=inner, mode="clip")
+            inner -= wide[0]
+            inner *= each
+            inner += ends[1]
+            width.take(own, out=sp, mode="clip")
+            sp *= each
+            hits = np.flatnonzero(under[1])
+            if len(hits):
+                two, end = under[0].take(hits), ends[0].take(hits)
+                own[hits] = np.where(two, m.pred[1].take(hits), m.pred[0].take(hits))
+                sp[hits] = np.where(two, end, ends[1].take(hits) - end)
+                end[two] = 0
+                inner[hits] = end
+            grid[t, :n] = own
+            val -= inner
+            small = np.flatnonzero(sp < _LEAST)
+            if len(small):
+                places = at_in[small]
+                sp[small] <<= _U32
+                val[small] = (val[small] << _U32) | words.take(places, mode="clip")
+                at_in[small] = places + 1
+            m.update(own)
+            np.multiply(m.last, _OLDER, out=m.older)
+            m.last[:] = own
+    result: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
     for lane, b in enumerate(order):
         result[b] = grid[:lengths[b], lane]
     return result
 
 
+def _groups(blocks: int) -> list[range]:
+    """The blocks in as few groups of at most ``LANES`` as will do, of equal size."""
+    k = -(-blocks // LANES)
+    return [range(blocks * i // k, blocks * (i + 1) // k) for i in range(k)]
+
+
 def _start_row(ranks: np.ndarray) -> np.ndarray:
-    """Inner cumulative bounds of the rank classes, from their frequencies."""
-    n = np.bincount(_CLASS_OF[ranks], minlength=_CLASSES)
-    room = (1 << _ROW) - _GAP * _CLASSES
-    share = _GAP + (n * room // max(1, int(n.sum())))
-    return np.minimum(np.cumsum(share)[:-1], (1 << _ROW) - _GAP * np.arange(_CLASSES - 1, 0, -1)).astype(np.int32)
+    """Widths of the ranks in the order-0 part, from their frequencies; a power of two in all."""
+    n = np.bincount(ranks)
+    if not len(n):
+        return np.zeros(0, np.int32)
+    total = 1 << min(19, max(12, len(n).bit_length() + 3))
+    width = 1 + n * (total - len(n)) // max(1, int(n.sum()))
+    width[0] += total - int(width.sum())
+    return width.astype(np.int32)
 
 
 def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of one file."""
-    values, freq = np.unique(ids, return_counts=True)
-    ranked = values[np.lexsort((values, -freq))]
-    if len(ranked) >= 1 << _CLASSES:
+    freq = np.bincount(ids)
+    values = np.flatnonzero(freq)
+    ranked = values[np.lexsort((values, -freq[values]))]
+    if len(ranked) >= _RANKS:
         raise ValueError("too many different ids for one file")
-    to_rank = np.zeros(int(values.max()) + 1 if len(values) else 1, np.int64)
+    to_rank = np.zeros(max(1, len(freq)), np.int32)
     to_rank[ranked] = np.arange(len(ranked))
     ranks = to_rank[ids]
     start = _start_row(ranks)
     blocks = [ranks[i:i + BLOCK] for i in range(0, len(ranks), BLOCK)]
-    payloads = [p for i in range(0, len(blocks), LANES) for p in code(blocks[i:i + LANES], start)]
+    payloads = [p for g in _groups(len(blocks)) for p in code(blocks[g.start:g.stop], start)]
     checks = np.array([zlib.crc32(ids[i:i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)], "<u4")
     known = np.array([d is not None for d in doc_ids], np.uint8)
     parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), counts.astype("<u8").tobytes(), ranked.astype("<u4").tobytes(),
@@ -284,7 +372,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     payloads = [data[ends[i]:ends[i + 1]] for i in range(len(sizes))]
     lengths = np.minimum(BLOCK, n - BLOCK * np.arange(len(sizes))).astype(np.int64)
     ids = np.zeros(n, np.uint32)
-    decoded = (r for i in range(0, len(sizes), LANES) for r in decode(payloads[i:i + LANES], lengths[i:i + LANES], start))
+    decoded = (r for g in _groups(len(sizes)) for r in decode(payloads[g.start:g.stop], lengths[g.start:g.stop], start))
     for i, ranks in enumerate(decoded):
         own = ranked[np.minimum(ranks, len(ranked) - 1)]
         if zlib.crc32(own.astype("<u4").tobytes()) != checks[i]:
@@ -296,34 +384,35 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _MANIFEST = "partition int, part int, file string, docs long, ids long, bytes long"
 
 
-def _writer(folder: str, encoder: Callable[[], WordEncoder], end: int, file_ids: int):
+def _writer(folder: str, tokenizer: str, blank_joins: bool, end: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, fs, path = encoder(), *pafs.FileSystem.from_uri(folder)
-        docs, counts, ids, size, part, rows = [], [], [], 0, 0, []
-
-        def flush(partition: int) -> None:
-            nonlocal docs, counts, ids, size, part
-            data = pack_file(docs, np.concatenate(counts), np.concatenate(ids))
+        encode, fs, path = column_encoder(tokenizer, blank_joins), *pafs.FileSystem.from_uri(folder)
+        held, size, part, rows = [], 0, 0, []  # (doc_ids, counts, ids) of the slices that are not yet in a file
+
+        def flush(partition: int, n: int) -> None:
+            nonlocal size, part
+            docs, counts, ids = (list(x) for x in zip(*held[:n], strict=True))
+            del held[:n]
+            docs, counts, ids = [d for own in docs for d in own], np.concatenate(counts), np.concatenate(ids)
+            data = pack_file(docs, counts, ids)
             name = f"ids-{partition:06d}-{part:04d}.bin"
             temporary = f"{path}/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(temporary) as out:
                 out.write(data)
             fs.move(temporary, f"{path}/{name}")
-            rows.append((partition, part, name, len(docs), size, len(data)))
-            docs, counts, ids, size, part = [], [], [], 0, part + 1
+            rows.append((partition, part, name, len(docs), len(ids), len(data)))
+            size, part = size - len(ids), part + 1
 
         partition = 0
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 2048, 4 << 20):  # large: words are looked up once a slice
             partition = batch.column(2)[0].as_py()
-            new, n = with_ends(*enc.encode_all(texts_of(batch.column(1))), end)
-            docs += batch.column(0).to_pylist()
-            counts.append(n)
-            ids.append(new)
+            new, n = with_ends(*encode(batch.column(1)), end)
+            held.append((batch.column(0).to_pylist(), n, new))
             size += len(new)
-            if size >= file_ids:
-                flush(partition)
-        if docs:
-            flush(partition)
+            if size >= 2 * file_ids:  # short files cost as many steps as full ones
+                flush(partition, int(np.searchsorted(np.cumsum([len(x[2]) for x in held]), file_ids)) + 1)
+        if held:
+            flush(partition, len(held))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["partition", "part", "file", "docs", "ids", "bytes"])
@@ -340,7 +429,7 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id"
     rows = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text").withColumn("p", F.spark_partition_id())
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    rows.mapInArrow(_writer(folder, lambda: WordEncoder(tokenizer, blank_joins), end_id, file_ids), _MANIFEST).write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(_writer(folder, tokenizer, blank_joins, end_id, file_ids), _MANIFEST).write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 
 
@@ -353,7 +442,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             docs, counts, ids = unpack_file(data)
             ends = np.cumsum(counts)
-            plain = ids.astype("<u4")
+            plain = ids.astype("<u4", copy=False)
             for s in range(0, len(docs), 1000):
                 own = range(s, min(s + 1000, len(docs)))
                 bounds = pa.array(np.concatenate([[0], np.cumsum(counts[s:s + 1000])]).astype(np.int32))

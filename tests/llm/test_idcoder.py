@@ -54,6 +54,43 @@ def test_a_block_decodes_alone():
         assert (idcoder.decode([c], np.array([len(b)]), start)[0] == b).all()
 
 
+def test_the_blocks_of_a_file_advance_together(monkeypatch):
+    monkeypatch.setattr(idcoder, "BLOCK", 64)
+    steps, update = [], idcoder._Mixture.update
+    monkeypatch.setattr(idcoder._Mixture, "update", lambda *a: steps.append(1) or update(*a))
+    ids = np.random.default_rng(8).integers(0, 900, 1030 * 64 - 5).astype(np.uint32)
+    data = idcoder.pack_file([1], np.array([len(ids)]), ids)
+    assert len(steps) == 64
+    assert (idcoder.unpack_file(data)[2] == ids).all() and len(steps) == 128
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 0, 0, 1, 2, 3, 50, 130_000]), max_size=90), min_size=1, max_size=5))
+def test_blocks_of_any_lengths(blocks):
+    ranks = [np.array(b, np.int64) for b in blocks]
+    start = idcoder._start_row(np.concatenate([*ranks, np.arange(130_001)]))
+    coded = idcoder.code(ranks, start)
+    for want, got in zip(ranks, idcoder.decode(coded, np.array([len(r) for r in ranks]), start), strict=True):
+        assert (want == got).all()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 1e-5])
+def test_carries_run_through(share):
+    """Nearly certain ids leave long runs of equal words, into which carries go."""
+    r = np.random.default_rng(9)
+    blocks = [np.where(r.random(4096) < share, r.integers(0, 3, 4096), 0) for _ in range(40)]
+    start = idcoder._start_row(np.concatenate([np.zeros(10**6, np.int64), [1, 2]]))
+    for want, got in zip(blocks, idcoder.decode(idcoder.code(blocks, start), np.full(40, 4096), start), strict=True):
+        assert (want == got).all()
+
+
+def test_a_file_is_no_longer_than_its_entropy():
+    r = np.random.default_rng(10)
+    ids = np.minimum(r.zipf(1.3, 1 << 19), 49_407).astype(np.uint32)
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert len(idcoder.pack_file([1], np.array([len(ids)]), ids)) * 8 < 1.03 * -(p * np.log2(p)).sum() * len(ids) + 40 * len(p)
+
+
 def test_damage_is_found():
     data = bytearray(idcoder.pack_file([1], np.array([9000]), np.arange(9000, dtype=np.uint32) % 777))
     data[-3000] ^= 4
